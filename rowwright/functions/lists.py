@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 LONE_NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 LONE_QUOTED = r"""^\s*(?:'([^'\\]*)'|"([^"\\]*)")\s*$"""
 ROUND_LIST = r"^\s*\((.*?),?\s*\)\s*$"
+# Fixed value: every blank character, beyond the few that \s stands for.
+BLANK = r"[\s\x0B\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 
 
 def split_comma(column: Column) -> Column:
@@ -18,8 +20,7 @@ def split_comma(column: Column) -> Column:
 
 def split_blank(column: Column) -> Column:
     """Words between blanks; blank text has none."""
-    words = F.split(F.trim(F.regexp_replace(column, r"\s+", " ")), " ", -1)
-    return F.filter(words, lambda w: w != "")
+    return F.filter(F.split(column, f"{BLANK}+", -1), lambda word: word != "")
 
 
 def parse_literal(column: Column) -> Column:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lists import BLANK
 from ..functions.names import as_list, col
 from .evaluation import error_type
 
@@ -136,7 +137,7 @@ def chain_buckets(tasks: DataFrame, chain: str = "transform_chain") -> DataFrame
 
 # -- responses ---------------------------------------------------------------------
 def _trim(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+\z", "")
+    return F.regexp_replace(text, rf"\A{BLANK}+|{BLANK}+\z", "")
 
 
 def extract_code(response: Column) -> Column:

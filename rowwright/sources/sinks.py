@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.names import as_list, col
-from .tables import missing_as_null
+from .tables import MOMENT_LAYOUT, missing_as_null
+
+TEXT_OPTIONS = {"timestampFormat": MOMENT_LAYOUT, "timestampNTZFormat": MOMENT_LAYOUT}
+RECORD_OPTIONS = {**TEXT_OPTIONS, "ignoreNullFields": "false"}
 
 
 def write_csv(df: DataFrame, path: str, partition_by: str | list[str] | None = None) -> None:
     """A folder of CSV parts with headers; ``partition_by`` gives one folder per task."""
-    writer = df.write.options(header=True, escape='"')
+    writer = df.write.options(header=True, escape='"', **TEXT_OPTIONS)
     if partition_by:
         writer = writer.partitionBy(*as_list(partition_by))
     writer.csv(path)
@@ -23,7 +26,7 @@ def write_csv(df: DataFrame, path: str, partition_by: str | list[str] | None = N
 def write_corpus(tasks: DataFrame, path: str) -> None:
     """Tasks as JSON lines in ``tasks``, creation time and count in ``metadata``."""
     path = path.rstrip("/")
-    tasks.write.option("ignoreNullFields", False).json(f"{path}/tasks")
+    tasks.write.options(**RECORD_OPTIONS).json(f"{path}/tasks")
     stored = tasks.sparkSession.read.schema(tasks.schema).json(f"{path}/tasks")
     metadata = stored.agg(F.count("*").alias("task_count")).withColumn("creation_time", F.current_timestamp())
     metadata.write.json(f"{path}/metadata")
@@ -43,10 +46,10 @@ def read_corpus(spark: SparkSession, path: str, schema: T.StructType | str | Non
 
 def to_records(df: DataFrame) -> tuple[DataFrame, str]:
     """Rows as JSON texts, and the schema that restores types and column order."""
-    texts = df.select(F.to_json(F.struct(*[col(c) for c in df.columns]), {"ignoreNullFields": "false"}).alias("record"))
+    texts = df.select(F.to_json(F.struct(*[col(c) for c in df.columns]), RECORD_OPTIONS).alias("record"))
     return texts, json.dumps(df.schema.jsonValue())
 
 
 def from_records(records: DataFrame, schema_json: str) -> DataFrame:
     schema = T.StructType.fromJson(json.loads(schema_json))
-    return missing_as_null(records.select(F.from_json("record", schema).alias("r")).select("r.*"))
+    return missing_as_null(records.select(F.from_json("record", schema, TEXT_OPTIONS).alias("r")).select("r.*"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.names import as_list, col, is_binary_float, reject_ambiguous
+from ..functions.names import TIME_TYPES, as_list, col, is_binary_float, reject_ambiguous
 
 
 def missing_as_null(df: DataFrame) -> DataFrame:
@@ -22,20 +22,41 @@ def missing_as_null(df: DataFrame) -> DataFrame:
     return df.select(*output)
 
 
+# Fixed value: moments are written with all their digits.
+MOMENT_LAYOUT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+
+
 def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType | str | None = None,
-             index_column: bool = False, **options) -> DataFrame:
-    """CSV with a header row.  Without a schema the types are inferred by a pass of
-    their own; name a schema for large files.  ``index_column`` drops the first column."""
+             index_column: bool = False, dates: bool = False, **options) -> DataFrame:
+    """CSV with a header row.
+
+    Without a schema a pass of its own infers numbers, truth values and text; dates
+    stay text, to be cast by name, unless ``dates=True``.  Name a schema for large
+    files.  ``index_column`` drops the first column.
+    """
     reader = spark.read.options(header=True, escape='"', **options)
-    reader = reader.schema(schema) if schema is not None else reader.options(
-        inferSchema=True, preferDate=False, timestampFormat="yyyy-MM-dd HH:mm:ss[.SSSSSS]")
-    df = reader.csv(path)
+    if schema is None:
+        found = reader.option("inferSchema", True).csv(path).schema
+        schema = T.StructType([
+            T.StructField(f.name, _read_type(f.dataType, dates)) for f in found.fields
+        ])
+    df = reader.schema(schema).csv(path)
     if index_column:
         df = df.drop(df.columns[0])
     reject_ambiguous(df.columns, "read_csv")
     return missing_as_null(df)
 
 
+def _read_type(inferred: T.DataType, dates: bool) -> T.DataType:
+    if isinstance(inferred, T.IntegralType):
+        return T.LongType()
+    if isinstance(inferred, T.DecimalType):
+        return T.DoubleType()
+    if isinstance(inferred, TIME_TYPES):
+        return T.TimestampNTZType() if dates else T.StringType()
+    return inferred
+
+
 def read_json_records(spark: SparkSession, path: str | list[str], schema: T.StructType | str | None = None,
                       lines: bool = True) -> DataFrame:
     """A table of JSON records.  One record per line splits over tasks; a file that is
