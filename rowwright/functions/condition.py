@@ -21,7 +21,6 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.errors import ParseException
 
 from .names import col, is_missing, kind_of
 
@@ -279,7 +278,4 @@ def to_condition(text: str, schema: T.StructType) -> Column:
     single = _single_comparison(text, schema)
     if single is not None:
         return single
-    try:
-        return F.expr(text)
-    except ParseException as problem:
-        raise ValueError(f"cannot read condition: {text}") from problem
+    return F.expr(text)

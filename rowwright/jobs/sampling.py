@@ -14,6 +14,7 @@ OVERLAP_KEYS = 1 / 3
 BASE_ROWS, OVERLAP_ROWS, NULLED_ROWS = 0.6, 0.3, 0.1
 LOW_SHARE, MIDDLE_SHARE, SINGLE_STEP_SHARE = 0.15, 0.55, 0.6
 DRAW = "__draw"
+TOP_N = 10_000  # largest sample taken as a top-n
 
 
 def weighted_choice(key: Column, weights: dict[str, float], seed: object = 0) -> Column:
@@ -28,8 +29,15 @@ def weighted_choice(key: Column, weights: dict[str, float], seed: object = 0) ->
 
 
 def sample_rows(df: DataFrame, key: str, n: int, seed: object = 0) -> DataFrame:
-    """``n`` rows without replacement; ``key`` identifies the rows."""
-    return df.orderBy(draw(col(key), seed), col(key)).limit(n)
+    """``n`` rows without replacement; ``key`` identifies the rows.
+
+    A small sample is a distributed top-n; a large one would meet in one task there,
+    so it is cut by a parallel ranking instead.
+    """
+    if n <= TOP_N:
+        return df.orderBy(draw(col(key), seed), col(key)).limit(n)
+    ranked = rank_by_draw(df.withColumn(DRAW, draw(col(key), seed)), [], DRAW, [key], "__n")
+    return ranked.filter(F.col("__n") <= n).drop(DRAW, "__n")
 
 
 def sample_rounds(df: DataFrame, key: str, n: int, seed: object = 0) -> DataFrame:

@@ -9,12 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.names import col, kind_of, reject_ambiguous, require_columns
+from ..functions.names import col, is_binary_float, kind_of, reject_ambiguous, require_columns
 from ..functions.text import to_text
 
 JOIN_KINDS = ("inner", "left", "right", "outer", "cross")
 HOT_SHARE = 0.05  # a key with more than this share of a side's rows is treated on its own
-BROADCAST_ROWS = 1_000_000  # largest counted side that is sent to every executor
+# largest measured side that is sent to every executor
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 64 << 20
 
 
 def join_tables(left: DataFrame, right: DataFrame, left_on: str | None = None, right_on: str | None = None,
@@ -46,6 +47,7 @@ def join_tables(left: DataFrame, right: DataFrame, left_on: str | None = None, r
     if kind_of(left.schema[left_on].dataType) != kind_of(right.schema[right_on].dataType):
         left = left.withColumn(left_on, to_text(col(left_on), left.schema[left_on].dataType))
         right = right.withColumn(right_on, to_text(col(right_on), right.schema[right_on].dataType))
+    left, right = _without_nan(left, left_on), _without_nan(right, right_on)
     a, b = _numbered(left, right)
     keys = (f"l{left.columns.index(left_on)}", f"r{right.columns.index(right_on)}")
     if hot_keys == "split":
@@ -63,6 +65,13 @@ def _numbered(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
 
 
+def _without_nan(df: DataFrame, name: str) -> DataFrame:
+    """Missing keys have one mark, so that they meet each other."""
+    if not is_binary_float(df.schema[name].dataType):
+        return df
+    return df.withColumn(name, F.when(~F.isnan(col(name)), col(name)))
+
+
 def _same(left_key: str, right_key: str, match_nulls: bool) -> Column:
     a, b = F.col(left_key), F.col(right_key)
     return a.eqNullSafe(b) if match_nulls else a == b
@@ -97,12 +106,18 @@ def _join_on_condition(left: DataFrame, right: DataFrame, condition: str, how: s
     return _finish(numbered, left, right, None, how, suffixes)
 
 
+def _is_small(df: DataFrame) -> bool:
+    """Measured, not guessed: row count and text size, looking at no more rows than the limit."""
+    size = F.sum(F.octet_length(F.to_json(F.struct("*"))))
+    rows, width = df.limit(BROADCAST_ROWS + 1).agg(F.count(F.lit(1)), F.coalesce(size, F.lit(0))).first()
+    return rows <= BROADCAST_ROWS and width <= BROADCAST_BYTES
+
+
 def _small_side_hint(a: DataFrame, b: DataFrame) -> DataFrame:
-    """The product a caller asked for; a side counted as small goes to all executors."""
-    small_b = b.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    if small_b:
+    """The product a caller asked for; a side measured as small goes to all executors."""
+    if _is_small(b):
         return a.crossJoin(F.broadcast(b))
-    if a.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if _is_small(a):
         return F.broadcast(a).crossJoin(b)
     return a.crossJoin(b)
 
@@ -130,7 +145,7 @@ def _join_split(a: DataFrame, b: DataFrame, keys: tuple[str, str], how: str, mat
     """Join hot keys apart from the rest; together the pieces are the plain join.
 
     A hot key on both sides has no unmatched rows, so an inner join serves it: by
-    broadcast when the counted side is small, else by shuffle, where adaptive
+    broadcast when the measured side is small, else by shuffle, where adaptive
     execution may split either side.  A hot key on one side only needs no join.
     """
     types = (a.schema[keys[0]].dataType, b.schema[keys[1]].dataType)
@@ -144,9 +159,9 @@ def _join_split(a: DataFrame, b: DataFrame, keys: tuple[str, str], how: str, mat
     if both:
         one = a.filter(_is_one_of(keys[0], both, types[0]))
         two = b.filter(_is_one_of(keys[1], both, types[1]))
-        if sum(count_b[v] for v in both) <= BROADCAST_ROWS:
+        if sum(count_b[v] for v in both) <= BROADCAST_ROWS and _is_small(two):
             two = F.broadcast(two)
-        elif sum(count_a[v] for v in both) <= BROADCAST_ROWS:
+        elif sum(count_a[v] for v in both) <= BROADCAST_ROWS and _is_small(one):
             one = F.broadcast(one)
         pieces.append(one.join(two, _same(*keys, match_nulls)))
     alone_a = [v for v in values if v in count_a and v not in both]

@@ -5,11 +5,12 @@ from __future__ import annotations
 import operator
 from functools import reduce
 
+from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.condition import to_condition
-from ..functions.names import as_list, col, is_present, require_columns
+from ..functions.names import as_list, col, is_binary_float, is_present, require_columns
 
 RANK = "__rank"
 
@@ -18,9 +19,12 @@ def filter_rows(df: DataFrame, condition: str | Column | None = None) -> DataFra
     """Keep rows that satisfy ``condition``; no condition keeps all."""
     if condition is None or (isinstance(condition, str) and not condition.strip()):
         return df
-    if isinstance(condition, str):
-        condition = to_condition(condition, df.schema)
-    return df.filter(condition)
+    if not isinstance(condition, str):
+        return df.filter(condition)
+    try:
+        return df.filter(to_condition(condition, df.schema))
+    except (AnalysisException, ParseException) as problem:
+        raise ValueError(f"cannot use condition: {condition}") from problem
 
 
 def sort_directions(by, ascending=True) -> list[tuple[str, bool]]:
@@ -33,27 +37,30 @@ def sort_directions(by, ascending=True) -> list[tuple[str, bool]]:
     return list(zip(names, flags))
 
 
-def order_columns(directions: list[tuple[str, bool]], reverse: bool = False) -> list[Column]:
+def order_columns(df: DataFrame, directions: list[tuple[str, bool]], reverse: bool = False) -> list[Column]:
     """Sort keys with missing values last; ``reverse`` turns the whole order around."""
     keys = []
     for name, up in directions:
+        key = col(name)
+        if is_binary_float(df.schema[name].dataType):  # NaN counts as missing, not as the largest number
+            key = F.when(~F.isnan(key), key)
         if reverse:
-            keys.append(col(name).desc_nulls_first() if up else col(name).asc_nulls_first())
+            keys.append(key.desc_nulls_first() if up else key.asc_nulls_first())
         else:
-            keys.append(col(name).asc_nulls_last() if up else col(name).desc_nulls_last())
+            keys.append(key.asc_nulls_last() if up else key.desc_nulls_last())
     return keys
 
 
 def sort_rows(df: DataFrame, by, ascending=True) -> DataFrame:
     directions = sort_directions(by, ascending)
     require_columns(df, [n for n, _ in directions], "sort")
-    return df.orderBy(*order_columns(directions))
+    return df.orderBy(*order_columns(df, directions))
 
 
 def top_rows(df: DataFrame, k: int, order_by: list[tuple[str, bool]] | None = None) -> DataFrame:
     """First ``k`` rows in the given order, else in the order the plan delivers them."""
     if order_by:
-        df = df.orderBy(*order_columns(order_by))
+        df = df.orderBy(*order_columns(df, order_by))
     return df.limit(k)
 
 
@@ -79,8 +86,8 @@ def drop_duplicates(df: DataFrame, subset=None, keep: str = "first",
     require_columns(df, names, "deduplicate")
     used = {n for n, _ in order_by or []} | set(names)
     rest = [f.name for f in df.schema.fields if f.name not in used and f.dataType.typeName() != "map"]
-    keys = order_columns(list(order_by or []), reverse=keep == "last")
-    keys += order_columns([(n, True) for n in rest], reverse=keep == "last")
+    keys = order_columns(df, list(order_by or []), reverse=keep == "last")
+    keys += order_columns(df, [(n, True) for n in rest], reverse=keep == "last")
     if not keys:
         return df.dropDuplicates(names)
     ranked = Window.partitionBy(*[col(n) for n in names]).orderBy(*keys)
