@@ -21,7 +21,8 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 def session() -> SparkSession:
     spark = (
         SparkSession.builder.master("local[8]").appName("rowwright-tests")
-        .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
+        .config("spark.sql.shuffle.partitions", "8").config("spark.default.parallelism", "4")
+        .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g").config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
     )
