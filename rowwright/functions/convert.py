@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,16 +14,19 @@ from .names import kind_of
 NUMBER_TEXT = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity|nan))\s*$"
 INTEGER_TEXT = r"^\s*[+-]?\d+\s*$"
 DATE_LAYOUTS = (
-    "yyyy/MM/dd HH:mm:ss",
-    "yyyy/MM/dd",
-    "MM/dd/yyyy HH:mm:ss",
-    "MM/dd/yyyy",
-    "MM-dd-yyyy",
-    "dd-MMM-yyyy",
+    "yyyy/M/d HH:mm:ss",
+    "yyyy/M/d",
+    "M/d/yyyy HH:mm:ss",
+    "M/d/yyyy",
+    "M-d-yyyy",
+    "d-MMM-yyyy",
     "MMM d, yyyy",
     "MMMM d, yyyy",
     "yyyyMMdd",
 )
+LAYOUT_SHAPES = {"yyyy": r"\d{4}", "yy": r"\d{2}", "MMMM": r"\p{L}+", "MMM": r"\p{L}+\.?",
+                 "MM": r"\d{2}", "M": r"\d{1,2}", "dd": r"\d{2}", "d": r"\d{1,2}",
+                 "HH": r"\d{2}", "H": r"\d{1,2}", "mm": r"\d{2}", "m": r"\d{1,2}", "ss": r"\d{2}", "s": r"\d{1,2}"}
 EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
 
@@ -70,6 +75,23 @@ def to_boolean(column: Column, dtype: T.DataType) -> Column:
     return F.lit(True)
 
 
+def layout_shape(layout: str) -> str | None:
+    """Pattern of texts that can follow a layout; none for layouts with other letters."""
+    pieces = re.findall(r"([A-Za-z])(\1*)|(.)", layout)
+    shapes = [LAYOUT_SHAPES.get(a + b) if a else re.escape(other) for a, b, other in pieces]
+    return None if None in shapes else "".join(shapes)
+
+
+def parse_layout(column: Column, layout: str) -> Column:
+    """Moment of a text in one layout; text of another shape is not even tried.
+
+    A failed parse costs an exception per cell, a shape test next to nothing.
+    """
+    moment = F.try_to_timestamp(column, F.lit(layout)).cast("timestamp_ntz")
+    shape = layout_shape(layout)
+    return moment if shape is None else F.when(column.rlike(f"^{shape}$"), moment)
+
+
 def to_moment(column: Column, dtype: T.DataType, layouts=DATE_LAYOUTS, iso: bool = True) -> Column:
     """Timestamp without time zone; numbers count nanoseconds from 1970."""
     kind = kind_of(dtype)
@@ -81,5 +103,8 @@ def to_moment(column: Column, dtype: T.DataType, layouts=DATE_LAYOUTS, iso: bool
     if kind != "text":
         return F.lit(None).cast("timestamp_ntz")
     tries = [column.try_cast("timestamp_ntz")] if iso else []
-    tries += [F.try_to_timestamp(column, F.lit(layout)).cast("timestamp_ntz") for layout in layouts]
-    return F.coalesce(*tries)
+    parsed = [parse_layout(column, layout) for layout in layouts]
+    shapes = [layout_shape(layout) for layout in layouts]
+    if parsed and None not in shapes:  # one test for all layouts spares most texts the single ones
+        parsed = [F.when(column.rlike(f"^(?:{'|'.join(shapes)})$"), F.coalesce(*parsed))]
+    return F.coalesce(*tries, *parsed)

@@ -1,8 +1,8 @@
 """Row numbers that stay parallel when one group holds much of the table.
 
-A window over a group runs in one task.  Both helpers cut every group into chunks
-of bounded size first, number the rows inside a chunk, and add the number of rows
-in the chunks before.
+A window over a group runs in one task.  These helpers cut large groups into chunks
+of bounded size, number the rows inside a chunk, and add the number of rows in the
+chunks before.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from .hashing import RANGE_BITS
 from .names import col
 
 CHUNK, OFFSET, TIE = "__chunk", "__offset", "__tie"
+# a hash bucket is heavy above this many rows, if that is also far above the mean
+HEAVY_ROWS, HEAVY_FACTOR = 1_000_000, 5
 
 
 def _running_offsets(counts: DataFrame, groups: list[str]) -> DataFrame:
@@ -45,6 +47,34 @@ def rank_by_draw(df: DataFrame, groups: list[str], drawn: str, ties: list[str],
     return left.join(right, same).select(*[F.col(f"n.`{c}`") for c in df.columns], total)
 
 
+def rank_in_groups(df: DataFrame, groups: list[str], order: list[Column], name: str,
+                   spread: list[str]) -> DataFrame:
+    """Number the rows of each group by value order, whatever the size of the groups.
+
+    Rows are placed by the hash of ``spread`` (some of ``groups``) and numbered by a
+    plain window; a later grouping by ``spread`` and the number needs no new shuffle.
+    Buckets of that hash that hold far more rows than others are ranked by
+    ``rank_by_value`` instead.  Finding them is one pass over the ``spread`` columns
+    that shuffles one count per bucket and task.
+    """
+    if not spread:
+        return rank_by_value(df, groups, order, name)
+    buckets = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bucket = F.pmod(F.xxhash64(*[col(s) for s in spread]), F.lit(buckets))
+    counts = dict(map(tuple, df.groupBy(bucket.alias("bucket")).count().collect()))
+    bound = max(HEAVY_ROWS, HEAVY_FACTOR * sum(counts.values()) / buckets)
+    heavy = [b for b, n in counts.items() if n > bound]
+
+    def plain(rows: DataFrame) -> DataFrame:
+        window = Window.partitionBy(*[col(g) for g in groups]).orderBy(*order)
+        return rows.repartition(*[col(s) for s in spread]).withColumn(name, F.row_number().over(window))
+
+    if not heavy:
+        return plain(df)
+    light = plain(df.filter(~bucket.isin(*heavy)))
+    return light.unionByName(rank_by_value(df.filter(bucket.isin(*heavy)), groups, order, name))
+
+
 def rank_by_value(df: DataFrame, groups: list[str], order: list[Column], name: str,
                   partitions: int | None = None) -> DataFrame:
     """Number the rows of each group by value order (nulls first), from 1.

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions.convert import to_number
 from ..functions.names import col, is_binary_float, kind_of
-from ..functions.ranking import rank_by_value
+from ..functions.ranking import rank_in_groups
 from ..functions.text import to_text
 
 # Absolute and relative tolerance of numbers.
@@ -81,7 +81,7 @@ def align_rows(left: DataFrame, right: DataFrame) -> tuple[DataFrame, list[str],
     Within rows that agree in all exact columns, both sides are numbered in the order
     of their numeric columns and equal numbers meet.  If two numeric columns both carry
     noise and the first differs only by it, the second may meet another row's value.
-    The numbering splits large groups over tasks (``rank_by_value``).
+    The numbering splits large groups over tasks (``rank_in_groups``).
     """
     kinds = _plan_columns(left, right)
     exact = [n for n, k in kinds.items() if k != "number"]
@@ -89,7 +89,7 @@ def align_rows(left: DataFrame, right: DataFrame) -> tuple[DataFrame, list[str],
     shared = {n: _wider(left.schema[n].dataType, right.schema[n].dataType) for n in exact}
     both = left.select(*_comparable(left, kinds, shared), F.lit(0).alias(SIDE)).unionByName(
         right.select(*_comparable(right, kinds, shared), F.lit(1).alias(SIDE)))
-    ranked = rank_by_value(both, [SIDE, *exact], [col(n) for n in numbers], RANK)
+    ranked = rank_in_groups(both, [SIDE, *exact], [col(n) for n in numbers] or [F.lit(0)], RANK, spread=exact)
 
     pairs = [F.max(F.when(F.col(SIDE) == side, F.lit(True))).alias(there) for side, there in ((0, IN_LEFT), (1, IN_RIGHT))]
     for i, name in enumerate(numbers):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.convert import DATE_LAYOUTS, to_boolean, to_integer, to_moment, to_number
+from ..functions.convert import DATE_LAYOUTS, parse_layout, to_boolean, to_integer, to_moment, to_number
 from ..functions.names import as_list, col, reject_ambiguous, require_columns
 from ..functions.text import to_text
 
@@ -50,7 +50,7 @@ def cast_column(df: DataFrame, column: str, dtype: str, mode: str = "replace",
 
 def best_layout(df: DataFrame, column: str, layouts=DATE_LAYOUTS) -> tuple[str, ...]:
     """The one layout most values follow, for ``cast_column(layouts=...)``: one small aggregate."""
-    hits = [F.count(F.try_to_timestamp(col(column), F.lit(p))).alias(f"h{i}") for i, p in enumerate(layouts)]
+    hits = [F.count(parse_layout(col(column), p)).alias(f"h{i}") for i, p in enumerate(layouts)]
     found = df.agg(*hits).first()
     best = max(range(len(layouts)), key=lambda i: (found[i], -i))
     return (layouts[best],)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import rowwright as rw
 from rowwright.functions.hashing import draw
-from rowwright.functions.ranking import CHUNK, rank_by_draw, rank_by_value
+from rowwright.functions.ranking import CHUNK, rank_by_draw, rank_by_value, rank_in_groups
 from rowwright.jobs import comparing, corpus
 
 N = 6000
@@ -31,6 +31,14 @@ def test_ranks_by_value(skewed, groups):
     assert got == want
 
 
+@pytest.mark.parametrize("heavy_rows", [100, 1_000_000])
+def test_ranks_in_groups(skewed, heavy_rows, monkeypatch):
+    monkeypatch.setattr("rowwright.functions.ranking.HEAVY_ROWS", heavy_rows)
+    by_value = rank_by_value(skewed, ["key"], [F.col("x"), F.col("id")], "rank", 16)
+    got = rank_in_groups(skewed, ["key"], [F.col("x"), F.col("id")], "rank", ["key"])
+    assert sorted(map(str, got.collect())) == sorted(map(str, by_value.collect()))
+
+
 def test_ranks_by_value_of_equal_rows_are_gapless(spark):
     same = spark.range(N).select(F.lit(1).alias("g"), F.lit(2.0).alias("x"))
     ranks = rank_by_value(same, ["g"], [F.col("x")], "rank", 16)
@@ -73,7 +81,9 @@ def test_duplicates_of_a_hot_key(skewed):
     assert {r.key: r.id for r in kept.collect()} == best
 
 
-def test_comparison_with_a_hot_group(skewed):
+@pytest.mark.parametrize("heavy_rows", [100, 1_000_000])
+def test_comparison_with_a_hot_group(skewed, heavy_rows, monkeypatch):
+    monkeypatch.setattr("rowwright.functions.ranking.HEAVY_ROWS", heavy_rows)
     moved = skewed.withColumn("x", F.col("x") + F.when(F.col("id") % 100 == 0, 0.25).otherwise(1e-10))
     assert comparing.tables_equal(skewed.drop("id"), skewed.drop("id").repartition(9))
     report = comparing.compare_tables(skewed, moved).collect()

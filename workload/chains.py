@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 import rowwright as rw
 
-from .registry import as_double, money, query
+from .registry import cents, from_cents, query
 
 JOINED = "table_1_table_2_join"
 SALES_CHAIN = [
@@ -24,8 +24,8 @@ SALES_CHAIN = [
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity > 20
 GROUP BY o_orderpriority ORDER BY sum_qty DESC, o_orderpriority LIMIT 3""")
 def chain_sales(t):
-    orders = t("orders").withColumn("o_totalprice", money("o_totalprice"))
-    return as_double(rw.run_chain([t("lineitem"), orders], SALES_CHAIN).result, "sum_price")
+    orders = t("orders").withColumn("o_totalprice", cents("o_totalprice"))
+    return from_cents(rw.run_chain([t("lineitem"), orders], SALES_CHAIN).result, "sum_price")
 
 
 @query("""WITH c AS (SELECT c_custkey AS k, c_name AS name, c_nationkey AS nation, c_acctbal FROM customer WHERE c_acctbal > 0),

@@ -31,9 +31,13 @@ def query(sql: str | None = None):
     return enter
 
 
-def money(name: str) -> Column:
-    """A price as an exact decimal, so that sums do not depend on row order."""
-    return F.col(name).cast("decimal(18,2)")
+def cents(name: str) -> Column:
+    """A price in whole cents, so that sums are exact and do not depend on row order."""
+    return F.rint(F.col(name) * 100).cast("bigint")
+
+
+def from_cents(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.col(f"`{n}`") / F.lit(100.0) for n in names})
 
 
 def as_double(df: DataFrame, *names: str) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 import rowwright as rw
 from rowwright.jobs.profiling import infer_wide_to_long
 
-from .registry import as_double, money, query
+from .registry import as_double, cents, from_cents, query
 
 # The order priorities of the given tables.
 PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
@@ -15,8 +15,8 @@ PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
     f"sum(CAST(o_totalprice AS DECIMAL(18,2))) FILTER (o_orderpriority = '{p}')::DOUBLE AS \"{p}\"" for p in PRIORITIES
 ) + " FROM orders GROUP BY o_orderstatus")
 def pivot_sum(t):
-    rows = t("orders").withColumn("o_totalprice", money("o_totalprice"))
-    return as_double(rw.pivot_rows(rows, "o_orderstatus", "o_orderpriority", "o_totalprice", "sum"), *PRIORITIES)
+    rows = t("orders").withColumn("o_totalprice", cents("o_totalprice"))
+    return from_cents(rw.pivot_rows(rows, "o_orderstatus", "o_orderpriority", "o_totalprice", "sum"), *PRIORITIES)
 
 
 GAPPY = """(SELECT user_id, event_type, CASE WHEN event_type <> 'error' AND user_id % 10 <> 0

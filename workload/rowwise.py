@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 import rowwright as rw
 
-from .registry import as_double, money, query
+from .registry import cents, from_cents, query
 
 
 def events_with_gaps(t):
@@ -80,8 +80,8 @@ def filter_dates(t):
  max(l_discount) AS l_discount, min(l_tax) AS l_tax, count(l_orderkey) AS l_orderkey
 FROM lineitem GROUP BY l_returnflag, l_linestatus""")
 def groupby_basic(t):
-    rows = t("lineitem").withColumn("l_extendedprice", money("l_extendedprice"))
-    return as_double(rw.group_rows(rows, ["l_returnflag", "l_linestatus"], {
+    rows = t("lineitem").withColumn("l_extendedprice", cents("l_extendedprice"))
+    return from_cents(rw.group_rows(rows, ["l_returnflag", "l_linestatus"], {
         "l_quantity": "mean", "l_extendedprice": "sum", "l_discount": "max", "l_tax": "min", "l_orderkey": "count",
     }), "l_extendedprice")
 
@@ -95,8 +95,8 @@ def groupby_null_key(t):
 @query("""SELECT event_type, coalesce(sum(CASE WHEN event_type <> 'error' THEN CAST(value AS DECIMAL(18,2)) END), 0)::DOUBLE AS amount
 FROM events GROUP BY event_type""")
 def groupby_sum_allnull(t):
-    rows = t("events").select("event_type", F.when(F.col("event_type") != "error", money("value")).alias("amount"))
-    return as_double(rw.group_rows(rows, ["event_type"], {"amount": "sum"}), "amount")
+    rows = t("events").select("event_type", F.when(F.col("event_type") != "error", cents("value")).alias("amount"))
+    return from_cents(rw.group_rows(rows, ["event_type"], {"amount": "sum"}), "amount")
 
 
 @query("""SELECT l_returnflag, round(stddev_samp(l_quantity), 6) AS l_quantity_std,
