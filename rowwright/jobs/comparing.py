@@ -10,6 +10,7 @@ from ..functions.convert import to_number
 from ..functions.names import col, is_binary_float, kind_of
 from ..functions.ranking import rank_in_groups
 from ..functions.text import to_text
+from ..session import cut_lineage
 
 # Absolute and relative tolerance of numbers.
 ABSOLUTE, RELATIVE = 1e-6, 1e-5
@@ -70,7 +71,7 @@ def _comparable(df: DataFrame, kinds: dict[str, str], shared: dict[str, T.DataTy
     return output
 
 
-def _close(a: Column, b: Column) -> Column:
+def close(a: Column, b: Column) -> Column:
     near = F.abs(a - b) <= F.lit(ABSOLUTE) + F.lit(RELATIVE) * F.abs(b)
     return F.coalesce((a == b) | near, a.isNull() & b.isNull())
 
@@ -107,12 +108,15 @@ def _wider(a: T.DataType, b: T.DataType) -> T.DataType:
     return T.TimestampNTZType() if kinds == {"time"} else T.StringType()
 
 
-def compare_tables(left: DataFrame, right: DataFrame) -> DataFrame:
+def compare_tables(left: DataFrame, right: DataFrame, store: bool = False) -> DataFrame:
     """The report: no row when the tables are equal, else one row per failed check.
 
     Checks: ``columns`` (names on one side only), ``rows`` (different counts),
     ``unmatched`` (rows whose exact columns have no partner) and ``values`` (numeric
     columns outside the tolerance), with up to three sample pairs.
+
+    Both tables are read twice, first for the size of their groups; ``store=True`` puts
+    them into the shared folder once, for tables that are costly to compute.
     """
     spark = left.sparkSession
     absent_left, absent_right = same_columns(left, right)
@@ -120,6 +124,8 @@ def compare_tables(left: DataFrame, right: DataFrame) -> DataFrame:
         rows = [("columns", n, 1, [("absent", "present")]) for n in sorted(absent_left)]
         rows += [("columns", n, 1, [("present", "absent")]) for n in sorted(absent_right)]
         return spark.createDataFrame(rows, REPORT)
+    if store:
+        left, right = cut_lineage(left), cut_lineage(right)
     aligned, exact, numbers = align_rows(left, right)
     in_left, in_right = F.col(IN_LEFT).isNotNull(), F.col(IN_RIGHT).isNotNull()
     shown = F.to_json(F.struct(*[col(n) for n in exact])) if exact else F.lit("row")
@@ -128,7 +134,7 @@ def compare_tables(left: DataFrame, right: DataFrame) -> DataFrame:
     for i, name in enumerate(numbers):
         a, b = F.col(f"__a{i}"), F.col(f"__b{i}")
         pair = F.struct(a.cast("string").alias("left"), b.cast("string").alias("right"))
-        failed.append(("values", name, in_left & in_right & ~_close(a, b), pair))
+        failed.append(("values", name, in_left & in_right & ~close(a, b), pair))
     flags = aligned.select(
         in_left.alias("in_left"), in_right.alias("in_right"),
         *[bad.alias(f"bad{i}") for i, (_, _, bad, _) in enumerate(failed)],

@@ -1,7 +1,7 @@
 """What a table looks like, and which operators fit it.
 
-All measures of a table come from one aggregate; the rules over them are applied to
-its single row.  Column names are metadata and are handled while planning.
+All measures of a column come from one aggregate; the rules are applied to its single
+row.  Column names are metadata and are handled while planning.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 import itertools
 import re
 from collections import defaultdict
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,10 +33,7 @@ SEPARATORS = (" ", "_", "-", ".", "/")
 # Column kinds an operator asks for; operators not listed take any table.
 NEEDED_KINDS = {"filter": ("numeric", "categorical", "text")}
 
-PROFILE_SCHEMA = (
-    "column string, position int, kind string, dtype string, rows bigint, nulls bigint, distinct_values bigint, "
-    "numbers bigint, moments bigint, commas bigint"
-)
+COLUMNS_AT_ONCE = 8
 
 
 def _distinct(value: Column, approximate: bool) -> Column:
@@ -47,10 +45,19 @@ def profile_columns(df: DataFrame, approximate: bool = False) -> DataFrame:
 
     Text is *categorical* when less than half of its cells are distinct.  The exact
     distinct counts shuffle each distinct value once per column; ``approximate`` uses
-    sketches instead and shuffles one row per task.
+    sketches instead and shuffles one row per task.  Exact counting expands a row once
+    per column, so wide tables are measured a few columns at a time, each scan reading
+    its own columns only.
     """
+    fields = list(enumerate(df.schema.fields))
+    step = len(fields) if approximate else COLUMNS_AT_ONCE
+    parts = [_measure(df, fields[i:i + step], approximate) for i in range(0, len(fields), step)]
+    return reduce(DataFrame.unionAll, parts)
+
+
+def _measure(df: DataFrame, fields: list[tuple[int, T.StructField]], approximate: bool) -> DataFrame:
     measures, entries = [F.count(F.lit(1)).alias("rows")], []
-    for i, field in enumerate(df.schema.fields):
+    for i, field in fields:
         value, kind = col(field.name), kind_of(field.dataType)
         there = is_present(value, field.dataType)
         comparable = kind not in ("list", "other")

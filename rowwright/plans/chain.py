@@ -23,7 +23,7 @@ class ChainError(ValueError):
 
 @dataclass
 class ChainResult:
-    """Tables after the last step, in the reference order of their positions."""
+    """Tables after the last step, in the order of their positions."""
 
     tables: dict[str, DataFrame]
     steps: list[dict[str, Any]] = field(default_factory=list)

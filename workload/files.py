@@ -99,7 +99,7 @@ def pair_manifest_union(t):
     return rw.union_tables(one, two)
 
 
-# the reference keeps the first 100 rows by key and the first columns: a preview, not a way to save work
+# the first 100 rows by key and the first columns: the preview is the feature, not a way to save work
 @query("""SELECT c_acctbal, c_custkey, c_name FROM customer
 ORDER BY c_acctbal, c_custkey, c_name LIMIT 100""")
 def capped_table(t):

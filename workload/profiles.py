@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from rowwright.jobs import comparing, profiling
+from rowwright.jobs import comparing, profiling, scoring
 
 from .registry import query
 
@@ -156,3 +156,27 @@ def diff_large_groups(t):
     rows = t("orders").select("o_orderstatus", "o_totalprice")
     raised = rows.withColumn("o_totalprice", F.expr("case when o_totalprice > 490000 then o_totalprice + 1000 else o_totalprice end"))
     return comparing.compare_tables(rows, raised).select("check", "column", "mismatches")
+
+
+# every order is a small result table of two rows; some of them differ from their target
+@query("""SELECT 'order ' || o_orderkey AS item,
+ CASE WHEN o_custkey % 10 = 7 THEN 'error' WHEN o_custkey % 10 IN (1, 2, 3, 4) THEN 'partial' ELSE 'success' END AS status,
+ CASE o_custkey % 10 WHEN 7 THEN 'no result' WHEN 1 THEN 'missing column price' WHEN 2 THEN 'row count mismatch: 1 instead of 2'
+  WHEN 3 THEN 'column mismatch: price' WHEN 4 THEN 'column mismatch: status' END AS error FROM orders""")
+def score_result_tables(t):
+    rows = t("orders").select(
+        F.concat(F.lit("order "), "o_orderkey").alias("item"), F.explode(F.array(F.lit(0), F.lit(1))).alias("row"),
+        F.col("o_custkey") % 10, "o_orderstatus", "o_totalprice").toDF("item", "row", "kind", "status", "price")
+
+    def cells(df):
+        return df.select("item", "row", F.inline(F.array(
+            F.struct(F.lit("status").alias("column"), F.col("status").alias("value")),
+            F.struct(F.lit("price").alias("column"), (F.col("price") + F.col("row")).cast("string").alias("value")))))
+
+    made = rows.filter("kind <> 7").withColumns({
+        "row": 1 - F.col("row"),  # the order of rows does not matter
+        "price": F.col("price") + F.expr("case kind when 3 then 10D else 1e-8D end"),
+        "status": F.expr("case kind when 4 then 'X' else status end")})
+    got = cells(made.filter("not (kind = 2 and row = 0)")).join(
+        rows.filter("kind = 1").select("item").distinct().withColumn("column", F.lit("price")), ["item", "column"], "left_anti")
+    return scoring.score_results(got, cells(rows))
