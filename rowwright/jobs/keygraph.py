@@ -46,12 +46,12 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     pairs = edges.filter(F.col("a") != F.col("b"))
     links = cut_lineage(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    rounds = 0
-    while not _is_settled(links):
-        if rounds == max_rounds:
-            raise RuntimeError(f"components: not settled after {max_rounds} rounds")
+    for _ in range(max_rounds):
         links = cut_lineage(_small_star(cut_lineage(_large_star(links))))
-        rounds += 1
+        if _is_settled(links):
+            break
+    else:
+        raise RuntimeError(f"components: not settled after {max_rounds} rounds")
     least = links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least"))
     return nodes.join(least, "node", "left").select("node", F.coalesce("least", "node").alias("component"))
 
@@ -64,16 +64,20 @@ def _is_settled(links: DataFrame) -> bool:
     return twice.unionAll(passed_on).isEmpty()
 
 
+def _least(links: DataFrame) -> DataFrame:
+    """The least neighbour of every node that has smaller ones; a link runs from large to small."""
+    return links.groupBy("a").agg(F.min("b").alias("m"))
+
+
 def _large_star(links: DataFrame) -> DataFrame:
-    """Link every larger neighbour of a node to the least of node and neighbours."""
-    both = _both_ways(links)
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    """Link every node to the least neighbour of its smaller neighbours instead of to those."""
+    least = _least(links).withColumnRenamed("a", "b")
+    return links.join(least, "b", "left").select("a", F.coalesce("m", "b").alias("b"))
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     """Link a node and its smaller neighbours to the least of them."""
-    least = links.groupBy("a").agg(F.min("b").alias("m"))
+    least = _least(links)
     moved = links.join(least, "a").filter(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionAll(least.select("a", F.col("m").alias("b"))).distinct()
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.convert import DATE_LAYOUTS, parse_layout, to_boolean, to_integer, to_moment, to_number
-from ..functions.names import as_list, col, reject_ambiguous, require_columns
+from ..functions.names import as_list, col, quoted, reject_ambiguous, require_columns
 from ..functions.text import to_text
 
 # Accepted spellings of the five target types.
@@ -24,7 +24,7 @@ def select_columns(df: DataFrame, columns) -> DataFrame:
     known = [c for c in as_list(columns) if c in set(df.columns)]
     if not known:
         raise ValueError(f"select: none of {columns} is a column of {df.columns}")
-    return df.select(*[col(c) for c in known])
+    return df.select(*[quoted(c) for c in known])
 
 
 def cast_column(df: DataFrame, column: str, dtype: str, mode: str = "replace",
@@ -63,4 +63,4 @@ def rename_columns(df: DataFrame, rename_map: dict[str, str], mode: str = "repla
         reject_ambiguous([*df.columns, *known.values()], "rename")
         return df.select("*", *[col(old).alias(new) for old, new in known.items()])
     reject_ambiguous([known.get(c, c) for c in df.columns], "rename")
-    return df.select(*[col(c).alias(known.get(c, c)) for c in df.columns])
+    return df.toDF(*[known.get(c, c) for c in df.columns])

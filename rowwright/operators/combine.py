@@ -60,8 +60,7 @@ def join_tables(left: DataFrame, right: DataFrame, left_on: str | None = None, r
 def _numbered(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Positional names, so that shared and odd column names cannot clash."""
     return tuple(
-        df.select(*[col(c).alias(f"{mark}{i}") for i, c in enumerate(df.columns)])
-        for mark, df in (("l", left), ("r", right))
+        df.toDF(*[f"{mark}{i}" for i in range(len(df.columns))]) for mark, df in (("l", left), ("r", right))
     )
 
 
@@ -81,18 +80,15 @@ def _finish(joined: DataFrame, left: DataFrame, right: DataFrame, keys, how: str
     """Give the positional columns their final names."""
     merged = keys[0] if keys and keys[0] == keys[1] else None
     shared = (set(left.columns) & set(right.columns)) - {merged}
-    output = []
-    for i, name in enumerate(left.columns):
-        column = F.col(f"l{i}")
-        if name == merged:
-            other = F.col(f"r{right.columns.index(merged)}")
-            column = {"right": other, "outer": F.coalesce(column, other)}.get(how, column)
-        output.append((column, name + suffixes[0] if name in shared else name))
-    for i, name in enumerate(right.columns):
-        if name != merged:
-            output.append((F.col(f"r{i}"), name + suffixes[1] if name in shared else name))
-    reject_ambiguous([name for _, name in output], "join")
-    return joined.select(*[column.alias(name) for column, name in output])
+    kept = [f"l{i}" for i in range(len(left.columns))]
+    kept += [f"r{i}" for i, name in enumerate(right.columns) if name != merged]
+    names = [name + suffixes[0] if name in shared else name for name in left.columns]
+    names += [name + suffixes[1] if name in shared else name for name in right.columns if name != merged]
+    reject_ambiguous(names, "join")
+    if merged and how in ("right", "outer"):
+        at, other = f"l{left.columns.index(merged)}", F.col(f"r{right.columns.index(merged)}")
+        joined = joined.withColumn(at, other if how == "right" else F.coalesce(F.col(at), other))
+    return joined.select(*kept).toDF(*names)
 
 
 def _join_on_condition(left: DataFrame, right: DataFrame, condition: str, how: str, suffixes, names) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.names import as_list, col, is_binary_float, is_present, kind_of, require_columns
+from ..functions.names import as_list, col, is_binary_float, is_present, kind_of, reject_ambiguous, require_columns
 
 AGGREGATES = ("mean", "avg", "sum", "max", "min", "count", "nunique", "std", "var")
 
@@ -45,12 +45,14 @@ def group_rows(df: DataFrame, by, agg: dict[str, str | list[str]], naming: str =
     both = [k for k in keys if k in agg]
     if both:
         raise ValueError(f"groupby: key columns {both} cannot be aggregated as well")
-    results = []
+    results, labels = [], []
     for name, funcs in agg.items():
         several = not isinstance(funcs, str)
         for func in as_list(funcs):
             label = f"{name}_{func}" if several or naming == "suffix" else name
+            labels.append(label)
             results.append(aggregate(func.lower(), name, df.schema[name].dataType, approximate).alias(label))
+    reject_ambiguous([*keys, *labels], "groupby")
     for key in keys:
         df = df.filter(is_present(col(key), df.schema[key].dataType))
     return df.groupBy(*[col(k) for k in keys]).agg(*results)

@@ -62,6 +62,7 @@ def unpivot_columns(df: DataFrame, id_vars, value_vars, var_name: str = "variabl
     """One row per cell of ``value_vars``, its value as text; missing cells stay."""
     ids, names = as_list(id_vars), as_list(value_vars)
     require_columns(df, [*ids, *names], "unpivot")
+    reject_ambiguous([*ids, var_name, value_name], "unpivot")
     spelled = shared_text([df.schema[n] for n in names])
     flat = df.select(*[col(i) for i in ids], *[spelled[n].alias(f"__v{k}") for k, n in enumerate(names)])
     stacked = F.inline(F.array(*[
@@ -127,6 +128,7 @@ def wide_to_long(df: DataFrame, subnames: list[str], i: list[str], j: str = "var
 
     used = {name for found in folded.values() for name in found.values()}
     passed = [c for c in df.columns if c not in used and c not in ids]
+    reject_ambiguous([*ids, j, *passed, *subnames], "wide_to_long")
     texts = {stub: shared_text([df.schema[n] for n in found.values()]) for stub, found in folded.items()}
     nothing = F.lit(None).cast("string")
     entries = [

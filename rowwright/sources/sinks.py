@@ -32,6 +32,11 @@ def write_corpus(tasks: DataFrame, path: str) -> None:
     metadata.write.json(f"{path}/metadata")
 
 
+def write_report(rows: DataFrame, path: str) -> None:
+    """Metrics, a run summary or flattened results as JSON lines."""
+    rows.write.options(**RECORD_OPTIONS).json(path)
+
+
 def read_corpus(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
                 lines: bool = True) -> DataFrame:
     """Tasks from JSON lines, or from one ``{"metadata", "tasks"}`` document per file."""

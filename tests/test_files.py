@@ -6,7 +6,9 @@ import pandas as pd
 import pytest
 from frames import assert_same, random_frame, rows_of, to_spark
 from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
 
+from rowwright.jobs import evaluation
 from rowwright.session import scratch_path, shared_folder
 from rowwright.sources import nested, sinks, tables
 
@@ -95,6 +97,8 @@ def test_corpus_files(spark, tmp_path):
     sinks.write_corpus(tasks, str(tmp_path / "out"))
     assert sinks.read_corpus(spark, str(tmp_path / "out" / "tasks"), schema).count() == 1
     assert spark.read.json(str(tmp_path / "out" / "metadata")).first().task_count == 1
+    sinks.write_report(evaluation.run_summary(tasks.withColumn("exec_time", F.lit(2.0))), str(tmp_path / "report"))
+    assert spark.read.json(str(tmp_path / "report")).first().success_rate == 1.0
 
 
 def test_records_keep_types_and_order(spark):

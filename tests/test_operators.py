@@ -18,7 +18,7 @@ CONDITIONS = [
     "price > size * 10", "price / 2 < size + 10", "size % 3 == 1", "size // 2 == -1", "-size > 2", "price == price",
     "price != price", "price.isnull()", "price.notnull()", "not price.isnull()", "word.isin(['red', 'green'])",
     "price.between(10, 60)", "word.str.contains('re', na=False)", "word == 5", "word != 5", "size == '2'",
-    "`size` >= 3", "`word` == \"blue\"", "size == [1, 2]", "key == 3", "key != 3", "size ** 2 == 4",
+    "`size` >= 3", "size % (size - 1) == 0 and size > 2", "`word` == \"blue\"", "size == [1, 2]", "key == 3", "key != 3", "size ** 2 == 4",
 ]
 
 
@@ -204,6 +204,19 @@ def test_deduplicate(spark, keep, subset):
     assert_same(got, frame.drop_duplicates(subset=subset, keep=keep))
 
 
+def test_name_clashes_are_refused(spark):
+    df = to_spark(spark, random_frame(1))
+    for clash in (
+        lambda: rw.unpivot_columns(df, ["id"], ["size"], "id"),
+        lambda: rw.unpivot_columns(df, ["id"], ["size"], "x", "X"),
+        lambda: rw.group_rows(df.withColumnRenamed("word", "size_sum"), ["size_sum"], {"size": ["sum"]}),
+        lambda: rw.wide_to_long(df.withColumnRenamed("size", "price_1"), ["price"], ["id"]),
+        lambda: rw.rename_columns(df, {"id": "Word"}, mode="add"),
+    ):
+        with pytest.raises(ValueError, match="duplicate"):
+            clash()
+
+
 def test_topk_select_rename(spark):
     df = to_spark(spark, random_frame(1))
     assert [r.id for r in rw.top_rows(df, 3, [("id", False)]).collect()] == [59, 58, 57]

@@ -27,18 +27,13 @@ def t(spark, folder):
 
 
 @pytest.mark.parametrize("name", NAMES)
-def test_no_python_and_no_products(spark, folder, name):
+def test_no_python_no_products_nothing_in_one_partition(spark, folder, name):
+    """A single partition may receive partial aggregates or a limit, never a windowed table."""
     plan = plan_of(QUERIES[name](spark, folder))
     for operator in ("PythonUDF", "ArrowEvalPython", "BatchEvalPython", "MapInPandas", "FlatMapGroupsInPandas", "CartesianProduct"):
         assert operator not in plan
     if name not in PRODUCTS:
         assert "BroadcastNestedLoopJoin" not in plan
-
-
-@pytest.mark.parametrize("name", NAMES)
-def test_nothing_is_moved_to_one_partition_but_totals(spark, folder, name):
-    """A single partition may receive partial aggregates, never rows of a table."""
-    plan = plan_of(QUERIES[name](spark, folder))
     if "SinglePartition" in plan:
         windows = re.findall(r"\(\d+\) Window\n.*?\n\n", plan, re.S)
         assert not any(re.search(r"\], \[\]", w) for w in windows)
