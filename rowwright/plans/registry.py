@@ -187,3 +187,5 @@ register("topk", top_rows, _check_topk, ordered=True)
 register("select", select_columns, _check_select, narrow=True)
 register("cast", cast_column, _check_cast, narrow=True)
 register("rename", _rename, _check_rename, narrow=True)
+
+BUILT_IN = tuple(_OPERATORS)

@@ -76,7 +76,7 @@ def read_pair(spark: SparkSession, folder: str, query_table: str, candidate_tabl
               max_columns: int = 10) -> tuple[DataFrame, DataFrame]:
     """Both tables of one pair, cut to their first columns."""
     return tuple(
-        cap_columns(read_csv(spark, f"{folder.rstrip('/')}/{name}"), max_columns)
+        cap_columns(read_csv(spark, f"{folder.rstrip('/')}/{name}", multiline=True), max_columns)
         for name in (query_table, candidate_table)
     )
 

@@ -27,14 +27,15 @@ MOMENT_LAYOUT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
 
 def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType | str | None = None,
-             index_column: bool = False, dates: bool = False, **options) -> DataFrame:
+             index_column: bool = False, dates: bool = False, multiline: bool = False, **options) -> DataFrame:
     """CSV with a header row.
 
     Without a schema a pass of its own infers numbers, truth values and text; dates
     stay text, to be cast by name, unless ``dates=True``.  Name a schema for large
-    files.  ``index_column`` drops the first column.
+    files.  ``index_column`` drops the first column.  Cells that hold line breaks need
+    ``multiline=True``, which gives every file to one task; without it large files split.
     """
-    reader = spark.read.options(header=True, escape='"', **options)
+    reader = spark.read.options(header=True, escape='"', multiLine=multiline, **options)
     if schema is None:
         found = reader.option("inferSchema", True).csv(path).schema
         schema = T.StructType([

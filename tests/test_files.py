@@ -31,6 +31,10 @@ def test_csv_sink_round_trip_of_odd_texts(spark, tmp_path):
     sinks.write_csv(df, str(tmp_path / "out"))
     back = tables.read_csv(spark, str(tmp_path / "out"), schema=df.schema)
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+    broken = df.withColumn("t", F.concat(F.col("t"), F.lit("\nnext, line")))
+    sinks.write_csv(broken, str(tmp_path / "lines"))
+    back = tables.read_csv(spark, str(tmp_path / "lines"), schema=df.schema, multiline=True)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, broken.collect()))
 
 
 def test_duplicate_names_are_refused(spark, tmp_path):

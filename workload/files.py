@@ -125,3 +125,12 @@ def corpus_metadata(t):
     path = scratch_path(t.spark, "corpus")
     sinks.write_corpus(t("events").select(F.col("event_id").cast("string").alias("task_id")), path)
     return t.spark.read.schema("task_count bigint").json(f"{path}/metadata")
+
+
+# texts with commas, quotes and line breaks survive the way through CSV files
+@query("SELECT doc_id, text, lang FROM documents")
+def csv_texts_with_line_breaks(t):
+    path = scratch_path(t.spark, "csv")
+    documents = t("documents").select("doc_id", "text", "lang")
+    sinks.write_csv(documents, path)
+    return tables.read_csv(t.spark, path, schema=documents.schema, multiline=True)

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from rowwright.jobs import comparing, profiling, scoring
+from rowwright.plans.registry import BUILT_IN
 
 from .registry import query
 
@@ -87,7 +88,7 @@ UNION ALL SELECT 'pivot' FROM o WHERE s / n < 0.5 AND p / n < 0.5 AND least(s, p
 def compatible_ops(t):
     orders = t("orders")
     flags = profiling.table_flags(profiling.profile_columns(orders), orders.columns)
-    return profiling.compatible_ops(flags).filter("op <> 'with_revenue'")
+    return profiling.compatible_ops(flags, BUILT_IN)
 
 
 @query("""SELECT * FROM (
