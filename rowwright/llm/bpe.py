@@ -3,20 +3,22 @@
 A sequence of tokens is the BPE encoding of a text exactly when every two neighbours
 are the encoding of their joined bytes: merges never cross the border between two
 final tokens, and which merge comes first inside a pair does not depend on what is
-outside.  So the merges compile into a relation "may follow" between tokens, checked
-by merging the bytes of one pair the first time it is asked for.
+outside.  So the merges compile into a relation "may follow" between tokens, worked out
+for a pair the first time it is asked for.
 
 Reading bytes, the machine follows every token of the vocabulary trie that may still
-be under way.  A reading is (tokens not yet emitted, last token, trie node); the
-set of readings is one state of the deterministic machine.  States and arcs are made
-when first met.  Of two readings at least one ends within the longest token, so what
-all readings share is emitted after bounded lookahead.
+be under way: a reading is (the token before, trie node).  The set of readings is one
+state of the deterministic machine; states and arcs are made when first met.  An arc
+gives the token that ends the encoding of what has been read so far.  No reading is longer
+than the longest token, so tokens on the common path of all readings are emitted after
+bounded lookahead.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from functools import lru_cache
 
 import regex
@@ -25,8 +27,12 @@ from pyspark.sql import DataFrame
 from .common import Memo, map_rows, pick
 
 #: States kept before the machine forgets them and starts anew.
-MAX_STATES = 50_000
+MAX_STATES = 150_000
+#: Bytes of one piece between two looks for tokens that can be emitted.
+STRETCH = 4_096
 SEGMENT = 512
+SHIFT, MASK = 20, (1 << 20) - 1
+NOTHING = MASK  # stands for "no token before"
 
 
 def read_ranks(data: bytes) -> list[bytes]:
@@ -36,92 +42,141 @@ def read_ranks(data: bytes) -> list[bytes]:
 
 
 class Transducer:
-    """Encodes byte strings; ``tokens`` by rank must hold every single byte."""
+    """Encodes byte strings; ``tokens`` by rank hold every single byte, and joins come after their parts."""
 
     def __init__(self, tokens: list[bytes], max_states: int = MAX_STATES):
         self.tokens, self.rank = tokens, {t: i for i, t in enumerate(tokens)}
         self.max_states = max_states
-        self.arcs, self.ends, self.inner = self._trie()
-        self.follows = Memo(lambda pair: self.merge(tokens[pair[0]] + tokens[pair[1]]) == list(pair), 1_000_000)
-        self.reached = Memo(lambda t: self.merge(tokens[t]) == [t], 1_000_000)
+        self.arcs, self.ends, self.depth, self.inner = self._trie()
+        self.edges = Memo(self._edges, len(tokens))
+        self.follows = Memo(lambda pair: self._may_follow(pair >> SHIFT, pair & MASK), 500_000)
         self._forget()
 
-    def _trie(self) -> tuple[dict[int, int], list[int], set[int]]:
+    def _trie(self) -> tuple[dict[int, int], list[int], list[int], set[int]]:
         arcs: dict[int, int] = {}
-        ends, inner = [-1], {0}
+        ends, depth, inner = [-1], [0], {0}
         for i, token in enumerate(self.tokens):
             node = 0
             for byte in token:
                 key = node << 8 | byte
                 inner.add(node)
-                node = arcs.get(key) or arcs.setdefault(key, len(ends))
-                if node == len(ends):
+                if key not in arcs:
+                    arcs[key] = len(ends)
                     ends.append(-1)
+                    depth.append(depth[node] + 1)
+                node = arcs[key]
             ends[node] = i
-        return arcs, ends, inner
+        return arcs, ends, depth, inner
 
-    def merge(self, data: bytes) -> list[int]:
+    def _merges(self, data: bytes):
         """The definition: join the neighbours of least rank, leftmost first, until none is left."""
         parts = [bytes([b]) for b in data]
+        yield parts
         while len(parts) > 1:
             joined = [self.rank.get(a + b) for a, b in zip(parts, parts[1:], strict=False)]
             least = min((r for r in joined if r is not None), default=None)
             if least is None:
                 break
             at = joined.index(least)
-            parts[at:at + 2] = [parts[at] + parts[at + 1]]
+            parts = [*parts[:at], parts[at] + parts[at + 1], *parts[at + 2:]]
+            yield parts
+
+    def merge(self, data: bytes) -> list[int]:
+        *_, parts = self._merges(data)
         return [self.rank[p] for p in parts]
 
+    def _edges(self, token: int) -> tuple[list[tuple[bytes, int, int]], list[tuple[bytes, int, int]]] | None:
+        """The parts that stand at the left and at the right edge of a token while it is merged,
+        each with the ranks that make it and make the next; None if merging doesn't end in the token."""
+        *_, last = steps = list(self._merges(self.tokens[token]))
+        if len(last) > 1:
+            return None
+        sides = []
+        for at in (0, -1):
+            parts = list(dict.fromkeys(step[at] for step in steps))
+            made = [-1, *[self.rank[p] for p in parts[1:]], len(self.tokens)]
+            sides.append(list(zip(parts, made, made[1:], strict=False)))
+        return sides[0], sides[1]
+
+    def _may_follow(self, one: int, two: int) -> bool:
+        """Whether no merge crosses the border.  Merges run by rank, so a part at the edge is there
+        from the rank that makes it to the rank that makes the next; of equal ranks the left goes first."""
+        right, left = self.edges[one][1], self.edges[two][0]
+        for a, a_made, a_gone in right:
+            for b, b_made, b_gone in left:
+                joined = self.rank.get(a + b)
+                if joined is not None and a_made < joined < a_gone and b_made < joined <= b_gone:
+                    return False
+        return True
+
     def _forget(self) -> None:
-        self.states: list[tuple] = []
-        self.number: dict[tuple, int] = {}
-        self.moves: list[dict[int, tuple[int, tuple[int, ...]]]] = []
-        self.start = self._state(((), -1, 0),)
-
-    def _state(self, *readings: tuple) -> int:
-        key = tuple(sorted(readings))
-        if key not in self.number:
-            self.number[key] = len(self.states)
-            self.states.append(key)
-            self.moves.append({})
-        return self.number[key]
-
-    def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """Make one arc: the next state and what it emits."""
-        found = []
-        for held, last, node in self.states[state]:
-            node = self.arcs.get(node << 8 | byte, 0)
-            if not node:
+        self.states: list[tuple[int, ...]] = []
+        self.number: dict[tuple[int, ...], int] = {}
+        self.moves: dict[int, int] = {}
+        self.start = self._state((NOTHING << SHIFT,))
+
+    def _state(self, readings: tuple[int, ...]) -> int:
+        found = self.number.setdefault(readings, len(self.states))
+        if found == len(self.states):
+            self.states.append(readings)
+        return found
+
+    def _move(self, state: int, byte: int) -> int:
+        """Make one arc: the next state and the token that ends there."""
+        found, ended = [], -1
+        for reading in self.states[state]:
+            before, node = reading >> SHIFT, reading & MASK
+            node = self.arcs.get(node << 8 | byte)
+            if node is None:
                 continue
             if node in self.inner:
-                found.append((held, last, node))
+                found.append(before << SHIFT | node)
             token = self.ends[node]
-            if token >= 0 and self.reached[token] and (last < 0 or self.follows[last, token]):
-                found.append(((*held, token), token, 0))
-        shared = 0
-        while all(len(h) > shared and h[shared] == found[0][0][shared] for h, _, _ in found):
-            shared += 1
-        out = found[0][0][:shared]
-        arc = self._state(*[(h[shared:], last, node) for h, last, node in found]), out
-        self.moves[state][byte] = arc
+            if ended < 0 <= token and self.edges[token] and (before == NOTHING or self.follows[before << SHIFT | token]):
+                ended = token
+        found.append(ended << SHIFT)
+        arc = self.moves[state << 8 | byte] = self._state(tuple(found)) << SHIFT | ended
         return arc
 
+    def _path(self, ended: list[int], at: int) -> list[int]:
+        """The tokens that lead to a place, last first."""
+        out = []
+        while at:
+            out.append(ended[at])
+            at -= len(self.tokens[ended[at]])
+        return out
+
     def encode(self, data: bytes) -> list[int]:
-        """Token ranks of one piece of text, from start to end of the machine."""
+        """Token ranks of one piece of text."""
+        out: list[int] = []
         if len(self.states) > self.max_states:
             self._forget()
-        out: list[int] = []
-        state = self.start
-        for byte in data:
-            state, emitted = self.moves[state].get(byte) or self._move(state, byte)
-            if emitted:
-                out += emitted
-            if len(self.states) > 2 * self.max_states:  # within one very long piece
-                readings = self.states[state]
-                self._forget()
-                state = self._state(*readings)
-        ended = [held for held, _, node in self.states[state] if node == 0]
-        return out + list(ended[0])
+        state, ended = self.start, [NOTHING]
+        for at in range(0, len(data), STRETCH):
+            if at:
+                state, ended = self._emit(state, ended, out)
+            moves, add = self.moves, ended.append
+            for byte in data[at:at + STRETCH]:
+                arc = moves.get(state << 8 | byte)
+                if arc is None:
+                    arc = self._move(state, byte)
+                state = arc >> SHIFT
+                add(arc & MASK)
+        return out + self._path(ended, len(ended) - 1)[::-1]
+
+    def _emit(self, state: int, ended: list[int], out: list[int]):
+        """Move the tokens on the common path of all readings to ``out`` and forget their bytes."""
+        readings = self.states[state]
+        paths = [self._path(ended, len(ended) - 1 - self.depth[r & MASK])[::-1] for r in readings]
+        shared = 0
+        while all(len(p) > shared and p[shared] == paths[0][shared] for p in paths):
+            shared += 1
+        out += paths[0][:shared]
+        gone = sum(len(self.tokens[t]) for t in paths[0][:shared])
+        if len(self.states) > self.max_states:
+            self._forget()
+            state = self._state(readings)
+        return state, [NOTHING, *ended[gone + 1:]]
 
 
 class Utf8Stream:
@@ -194,24 +249,48 @@ class Utf8Stream:
         return cut
 
 
+class Pieces:
+    """Applies ``function`` to every match of ``pattern`` and adds the results up, remembering words.
+
+    The pattern must let a piece hold a space at its start only, and treat a lone space between
+    other characters as the start of a piece (patterns of public byte-level tokenizers do).  Then a
+    text without double spaces may be cut before each space, and a word met again costs one look-up.
+    """
+
+    def __init__(self, pattern: str, function, nothing, limit: int = 300_000):
+        self.split, self.nothing = regex.compile(pattern).findall, nothing
+        self.pieces = Memo(function, limit)
+        self.words = Memo(lambda word: self._sum(" " + word), limit)
+
+    def _sum(self, text: str):
+        total = self.nothing
+        for value in map(self.pieces.__getitem__, self.split(text)):
+            total += value
+        return total
+
+    def parts(self, text: str) -> list:
+        """Results that add up to that of the text."""
+        if "  " in text:
+            return [self.pieces[p] for p in self.split(text)]
+        first, *words = text.split(" ")
+        return [self._sum(first), *map(self.words.__getitem__, words)]
+
+
 class Codec:
-    """Encoder and decoder of whole texts; pieces of ``pattern`` are encoded one by one."""
+    """Encoder and decoder of whole texts; pieces of ``pattern`` (see ``Pieces``) are encoded one by one."""
 
     def __init__(self, tokens: list[bytes], pattern: str):
         self.tokens, self.machine, self.stream = tokens, Transducer(tokens), Utf8Stream(tokens)
-        self.split = regex.compile(pattern).findall
-        self.pieces = Memo(self._piece)
+        self.pieces = Pieces(pattern, self._piece, b"")
 
-    def _piece(self, piece: str) -> tuple[int, ...]:
+    def _piece(self, piece: str) -> bytes:
+        """Ranks of one piece, four bytes each; a piece that is a token stays one."""
         data = piece.encode()
-        whole = self.machine.rank.get(data)  # a piece that is a token stays one
-        return (whole,) if whole is not None else tuple(self.machine.encode(data))
+        whole = self.machine.rank.get(data)
+        return array("I", [whole] if whole is not None else self.machine.encode(data)).tobytes()
 
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        for found in map(self.pieces.__getitem__, self.split(text)):
-            out += found
-        return out
+        return array("I", b"".join(self.pieces.parts(text))).tolist()
 
     def decode(self, ids: list[int]) -> str:
         stream = self.stream

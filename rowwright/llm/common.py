@@ -21,15 +21,19 @@ OUT_ROWS = 2_000
 
 
 class Memo(dict):
-    """A function's results, forgotten all at once beyond ``limit`` entries."""
+    """A function's results; of two generations of ``limit`` entries the older is forgotten."""
 
-    def __init__(self, function: Callable, limit: int = 200_000):
-        self.function, self.limit = function, limit
+    def __init__(self, function: Callable, limit: int = 150_000):
+        self.function, self.limit, self.older = function, limit, {}
 
     def __missing__(self, key):
         if len(self) >= self.limit:
+            self.older = dict(self)
             self.clear()
-        value = self[key] = self.function(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.function(key)
+        self[key] = value
         return value
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, pseudonyms, wordpiece
+from . import bpe, gam, minmax, mixing, pseudonyms, recipes, sql, wordpiece
 
 #: A key for demonstration; a deployment passes its own secret.
 KEY = b"replace this key"
@@ -29,5 +29,23 @@ def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return wordpiece.count_pieces(table(spark, folder, "documents"), path, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_pseudonyms, op2_byte_bpe, op4_token_counts)}
-SQL: dict[str, str] = {}
+def op5_exact_copies(spark: SparkSession, folder: str) -> DataFrame:
+    found = recipes.exact_copies(table(spark, folder, "documents"))
+    return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def op6_mix(spark: SparkSession, folder: str) -> DataFrame:
+    found = mixing.mix(table(spark, folder, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return gam.quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op9_near_copies(spark: SparkSession, folder: str) -> DataFrame:
+    return minmax.near_copies(table(spark, folder, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pseudonyms, op2_byte_bpe, op4_token_counts, op5_exact_copies, op6_mix, op7_quality, op9_near_copies)}
+SQL = {name: text for name, text in sql.SQL.items() if name in QUERIES}

@@ -11,13 +11,12 @@ from __future__ import annotations
 from collections import deque
 from functools import lru_cache
 
-import regex
 from pyspark.sql import DataFrame
 
-from .bpe import read_ranks
-from .common import Memo, map_rows, pick
+from .bpe import Pieces, read_ranks
+from .common import map_rows, pick
 
-NONE = -1
+NONE, BITS = -1, 40
 
 
 class LongestMatch:
@@ -89,9 +88,10 @@ class LongestMatch:
 
 
 @lru_cache(maxsize=4)
-def _counter(data: bytes) -> Memo:
+def _counter(data: bytes, pattern: str) -> Pieces:
+    """Words and pieces of a text in one number: words in the bits above ``BITS``."""
     machine = LongestMatch(read_ranks(data))
-    return Memo(lambda word: machine.count(word.encode()))
+    return Pieces(pattern, lambda word: 1 << BITS | machine.count(word.encode()), 0)
 
 
 def count_pieces(df: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -105,10 +105,10 @@ def count_pieces(df: DataFrame, ranks_path: str, pattern: str, doc_id: str = "do
         ranks = df.sparkSession.sparkContext.broadcast(file.read())
 
     def run(rows):
-        counts, split = _counter(ranks.value), regex.compile(pattern).findall
+        counts = _counter(ranks.value, pattern)
         for i, t in rows:
-            words = split(t or "")
-            yield i, len(words), sum(map(counts.__getitem__, words))
+            total = sum(counts.parts(t or ""))
+            yield i, total >> BITS, total & ((1 << BITS) - 1)
 
     kind = df.schema[doc_id].dataType.simpleString()
     return map_rows(pick(df, id=doc_id, text=text), run, f"doc_id {kind}, n_words long, n_pieces long")
