@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, gam, minmax, mixing, pseudonyms, recipes, sql, wordpiece
+from . import bpe, gam, imatch, lbl, minmax, mixing, pseudonyms, recipes, sql, wordpiece, wrapper
 
 #: A key for demonstration; a deployment passes its own secret.
 KEY = b"replace this key"
@@ -24,6 +24,10 @@ def op2_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(table(spark, folder, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op3_wrapper(spark: SparkSession, folder: str) -> DataFrame:
+    return wrapper.main_texts(table(spark, folder, "pages"))
+
+
 def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return wordpiece.count_pieces(table(spark, folder, "documents"), path, public_tokenizers.PATTERN)
@@ -43,9 +47,17 @@ def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
     return gam.quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op8_imatch(spark: SparkSession, folder: str) -> DataFrame:
+    return imatch.fingerprints(table(spark, folder, "documents"))
+
+
 def op9_near_copies(spark: SparkSession, folder: str) -> DataFrame:
     return minmax.near_copies(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pseudonyms, op2_byte_bpe, op4_token_counts, op5_exact_copies, op6_mix, op7_quality, op9_near_copies)}
+def op10_log_bilinear(spark: SparkSession, folder: str) -> DataFrame:
+    return lbl.score_texts(table(spark, folder, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pseudonyms, op2_byte_bpe, op3_wrapper, op4_token_counts, op5_exact_copies, op6_mix, op7_quality, op8_imatch, op9_near_copies, op10_log_bilinear)}
 SQL = {name: text for name, text in sql.SQL.items() if name in QUERIES}
