@@ -56,7 +56,7 @@ def word_counts(df: DataFrame, text: str) -> DataFrame:
 
 
 def common_words(counts: DataFrame, limit: int) -> tuple[list[tuple[str, int]], DataFrame]:
-    """At most ``limit`` most frequent words that are not long, and the counts of all others.
+    """At most ``limit`` most frequent words that are not long, with the end, and the counts of all others.
 
     The least count comes from a histogram over powers of 2^(1/8), so the number is bounded
     without sorting all words.
@@ -70,7 +70,7 @@ def common_words(counts: DataFrame, limit: int) -> tuple[list[tuple[str, int]],
         if total > limit:
             break
         least = r.step
-    chosen = (step >= least) & short
+    chosen = ((step >= least) & short) | (F.col("word") == END)
     rows = counts.filter(chosen).collect()
     return sorted(((r.word, r.n) for r in rows), key=lambda x: (-x[1], x[0])), counts.filter(~chosen)
 

@@ -43,34 +43,29 @@ def targets(sources: DataFrame, most: int, block: int) -> DataFrame:
             break
         fixed, level = got.n, (total - most * (got.size or 0)) / got.weight
     target = F.least(F.col("source_size") * F.lit(float(most)), F.col("weight") * F.lit(level))
-    return sources.withColumns({"target": target.cast("double"), "house": F.lit(round(total / block)).cast("long")})
+    return sources.withColumns({"target": target.cast("double"), "house": F.lit(int(total / block + 0.5)).cast("long")})
 
 
 def apportion(parties: DataFrame, groups: list[str], weight: str, house: str, ids: list[str]) -> DataFrame:
     """Adds ``seats``: in each group, ``house`` seats by highest quotients ``weight / (2 k + 1)``.
 
-    Rounding at the mean price of a seat comes close; what is left over (at most half a seat
-    per party) is given to, or taken from, the highest or lowest quotients.  A party can win
-    or lose only about its share of those, so few quotients are ranked.
+    Ties go to the least ids.  Every party first gets what it is sure of: rounding errs by half a seat
+    per party in all, and a party's part in that is about its share.  Only quotients near the
+    price of the last seat are ranked, a few per party.
     """
     sums = parties.groupBy(*groups).agg(F.sum(weight).alias("whole"), F.count("*").alias("parties"))
-    joined = parties.join(sums, groups)
     share = F.when(F.col("whole") > 0, F.col(weight) / F.col("whole")).otherwise(0.0)
-    rounded = cut_lineage(joined.withColumn("share", share).withColumn(
-        "seats", F.floor(F.col("share") * F.col(house) + 0.5)))
-    left = rounded.groupBy(*groups).agg((F.max(house) - F.sum("seats")).alias("left")).filter(F.col("left") != 0)
-    open_ = rounded.join(left, groups)
-    reach = F.ceil(F.col("share") * (F.abs("left") + F.col("parties"))) + 1
-    steps = F.when(F.col("left") > 0, F.sequence("seats", F.col("seats") + reach))
-    steps = steps.otherwise(F.sequence(F.greatest(F.col("seats") - reach, F.lit(0)), F.col("seats") - 1))
-    some = open_.filter((F.col("left") > 0) | (F.col("seats") > 0)).filter(F.col(weight) > 0)
-    each = some.select(*groups, *[i for i in ids if i not in groups], "left", F.explode(steps).alias("k"), F.col(weight).alias("w"))
-    quotient = F.col("w") / (2 * F.col("k") + 1)
-    urgency = F.when(F.col("left") > 0, -quotient).otherwise(quotient)
-    ranked = rank_in_groups(each.withColumn("urgency", urgency), groups, [F.col("urgency"), *[F.col(i) for i in ids]],
-                            "place", groups)
-    moved = ranked.filter(F.col("place") <= F.abs("left")).groupBy(*ids).agg(F.sum(F.signum("left")).cast("long").alias("moved"))
-    return rounded.join(moved, ids, "left").withColumn("seats", F.col("seats") + F.coalesce("moved", F.lit(0))).select(
+    slack = 1.5 * F.col("share") * F.col("parties")
+    sure = F.greatest(F.lit(0), F.floor(F.col("share") * F.col(house) - slack - 1))
+    sure = cut_lineage(parties.join(sums, groups).withColumn("share", share).withColumn("sure", sure))
+    left = sure.groupBy(*groups).agg((F.max(house) - F.sum("sure")).alias("left"))
+    near = F.sequence("sure", F.col("sure") + F.ceil(2 * slack) + 4)
+    each = sure.filter(F.col(weight) > 0).join(left, groups).select(
+        *dict.fromkeys([*groups, *ids]), "left", F.explode(near).alias("k"), F.col(weight).alias("w"))
+    each = each.withColumn("low", -(F.col("w") / (2 * F.col("k") + 1)))
+    ranked = rank_in_groups(each, groups, [F.col("low"), *[F.col(i) for i in ids]], "place", groups)
+    won = ranked.filter(F.col("place") <= F.col("left")).groupBy(*ids).agg(F.count("*").alias("won"))
+    return sure.join(won, ids, "left").withColumn("seats", F.col("sure") + F.coalesce("won", F.lit(0))).select(
         *parties.columns, "seats")
 
 

@@ -1,7 +1,7 @@
 """Main text of web pages by wrapper induction.
 
-Pages of one host are parsed to trees, in which runs of siblings with the same tag fold to
-one node.  Each tree is aligned with a reference page of its group by simple tree
+Pages of one host are parsed to trees, in which runs of like siblings fold to one
+node.  Each tree is aligned with a reference page of its group by simple tree
 matching.  Aligned nodes that have the same text on nearly all pages belong to the
 template, varying ones are slots for content.  What remains of the article after
 template and parts that never are content (menus, forms, ...) is the main text.
@@ -42,6 +42,11 @@ MARKS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "bann
          "navbar", "navigation", "newsletter", "notice", "notices", "pagination", "pager", "popup", "promo", "promotion", "related",
          "respond", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget"}
 
+# what repeats freely inside content; other siblings fold in runs longer than LONG only
+REPEATED, LONG = {"p", "li", "a", "b", "i", "em", "strong", "span", "img", "br", "tr", "td", "th", "dt", "dd", "option", "code", "hr"}, 8
+# nodes below are part of the one above when trees are aligned
+DEEPEST = 60
+
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 
@@ -127,11 +132,11 @@ def never(node: Node) -> bool:
 
 
 class Fold:
-    """A node with its children, equal neighbours folded into one."""
+    """A node with its children, like neighbours folded into one."""
 
     __slots__ = ("key", "members", "children", "weight")
 
-    def __init__(self, members: list[Node]):
+    def __init__(self, members: list[Node], depth: int = 0):
         self.members = members
         self.key = members[0].tag, members[0].names
         runs: list[list[Node]] = []
@@ -143,7 +148,8 @@ class Fold:
                     runs[-1].append(child)
                 else:
                     runs.append([child])
-        self.children = [Fold(r) for r in runs] if len(members) == 1 else []
+        parts = [[r] if r[0].tag in REPEATED or len(r) > LONG else [[m] for m in r] for r in runs]
+        self.children = [Fold(r, depth + 1) for part in parts for r in part] if len(members) == 1 and depth < DEEPEST else []
         self.weight = 1 + sum(c.weight for c in self.children)
 
     def text(self) -> str:
