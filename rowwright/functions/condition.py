@@ -33,7 +33,8 @@ ARITHMETIC = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.m
 
 BACKTICKED = re.compile(r"`((?:[^`\\]|\\`|``)+)`")
 QUOTED = re.compile(r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*\"""")
-SIMPLE = re.compile(r"\s*(?P<name>.+?)\s*(?P<op>==|!=|>=|<=|>|<)\s*(?P<value>.+?)\s*", re.DOTALL)
+OPERATOR = re.compile("[=!<>]=|[<>]")
+CONNECTIVE = re.compile(r"\b(and|or|not|like|rlike|in|between|is)\b", re.IGNORECASE)
 SYMBOLS = {"==": ast.Eq, "!=": ast.NotEq, ">=": ast.GtE, "<=": ast.LtE, ">": ast.Gt, "<": ast.Lt}
 
 
@@ -241,23 +242,30 @@ def _named(text: str) -> tuple[str, dict[str, str]]:
     return "".join([*pieces, text[at:]]), aliases
 
 
-def _single_comparison(text: str, schema: T.StructType) -> Column | None:
-    """``name op value`` whose name or value is no valid expression, such as ``unit price > 3``."""
-    match = SIMPLE.fullmatch(text)
-    if not match:
-        return None
-    name, value = match["name"], match["value"]
-    if name.startswith("`") and name.endswith("`"):
-        name = name[1:-1].replace("\\`", "`")
-    if name not in schema.fieldNames():
+def _literal(text: str) -> ast.Constant | None:
+    """A number, a quoted text or bare words; None if more than one literal is there."""
+    if QUOTED.fullmatch(text):
+        return ast.Constant(text[1:-1])
+    if not text or OPERATOR.search(text) or CONNECTIVE.search(text) or QUOTED.search(text):
         return None
-    if len(value) > 1 and value[0] == value[-1] and value[0] in "'\"":
-        value = value[1:-1]
     try:
-        constant = ast.Constant(float(value))
+        return ast.Constant(float(text))
     except ValueError:
-        constant = ast.Constant(value)
-    return _Condition(schema, {}).comparison(ast.Name(name), SYMBOLS[match["op"]], constant, False)
+        return ast.Constant(text)
+
+
+def _single_comparison(text: str, schema: T.StructType) -> Column | None:
+    """One column name, one operator, one literal, such as ``unit price > 3``; None for anything else.
+
+    The name is looked for in the schema, longest first, so it may hold blanks or signs."""
+    for name in sorted(schema.fieldNames(), key=len, reverse=True):
+        for spelled in (name, "`" + name.replace("`", "\\`") + "`"):
+            rest = text.strip().removeprefix(spelled).lstrip()
+            sign = OPERATOR.match(rest) if text.strip().startswith(spelled) else None
+            literal = sign and _literal(rest[sign.end():].strip())
+            if literal:
+                return _Condition(schema, {}).comparison(ast.Name(name), SYMBOLS[sign[0]], literal, False)
+    return None
 
 
 def to_condition(text: str, schema: T.StructType) -> Column:

@@ -57,6 +57,8 @@ def to_integer(column: Column, dtype: T.DataType) -> Column:
         return F.coalesce(column.cast("bigint"), zero)
     if kind == "time":
         return F.coalesce(epoch_nanos(column), zero)
+    if isinstance(dtype, T.DecimalType):
+        return F.coalesce(column.try_cast("bigint"), zero)
     truncated = to_number(column, dtype).try_cast("bigint")
     if kind != "text":
         return F.coalesce(truncated, zero)

@@ -72,3 +72,9 @@ def is_missing(column: Column, dtype: T.DataType) -> Column:
 def is_present(column: Column, dtype: T.DataType) -> Column:
     """Conjunction of plain terms, so the null test still reaches the file scan."""
     return column.isNotNull() & ~F.isnan(column) if is_binary_float(dtype) else column.isNotNull()
+
+
+def nan_as_null(df: DataFrame) -> DataFrame:
+    """Floats that are no number become null, so that all missing cells are one value."""
+    floats = [f.name for f in df.schema.fields if is_binary_float(f.dataType)]
+    return df.withColumns({n: F.when(~F.isnan(col(n)), col(n)) for n in floats}) if floats else df

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import itertools
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterable
 from functools import reduce
 
@@ -149,63 +149,73 @@ def castable_columns(profile: DataFrame) -> DataFrame:
 
 
 # -- names -------------------------------------------------------------------------
-def _segments(name: str) -> list[str]:
-    pattern = "[" + re.escape("".join(SEPARATORS)) + r"]|(?<=\D)(?=\d)|(?<=\d)(?=\D)"
-    return [s for s in re.split(pattern, name) if s]
+def _words(name: str) -> tuple[str, ...]:
+    """A name cut at separators and between digits and anything else."""
+    blanked = re.sub("[" + re.escape("".join(SEPARATORS)) + "]", "\0", name)
+    return tuple(re.findall(r"[0-9]+|[^0-9\0]+", blanked))
 
 
 def wide_name_pairs(columns: list[str]) -> list[tuple[str, str, int]]:
-    """Pairs of name endings that share two or more name beginnings."""
-    beginnings = defaultdict(set)
-    for name in columns:
-        parts = _segments(name)
-        for cut in range(1, len(parts)):
-            beginnings[tuple(parts[cut:])].add(tuple(parts[:cut]))
-    pairs = []
-    for a, b in itertools.combinations(beginnings, 2):
-        shared = len(beginnings[a] & beginnings[b])
-        if shared >= 2:
-            pairs.append(("_".join(a), "_".join(b), shared))
-    return pairs
+    """Pairs of name endings that share two or more name beginnings.
+
+    Only endings that occur behind the same beginning are paired."""
+    endings: dict[tuple, dict[tuple, None]] = defaultdict(dict)  # ordered sets
+    for words in map(_words, columns):
+        for cut in range(1, len(words)):
+            endings[words[:cut]][words[cut:]] = None
+    shared = Counter(pair for behind in endings.values() for pair in itertools.combinations(behind, 2))
+    total: Counter = Counter()
+    for (a, b), n in shared.items():
+        total[(b, a) if (b, a) in total else (a, b)] += n
+    return [("_".join(a), "_".join(b), n) for (a, b), n in total.items() if n >= 2]
 
 
 def is_wide(columns: list[str]) -> bool:
     return bool(wide_name_pairs(columns))
 
 
+def _readings(columns: list[str]) -> list[dict]:
+    """Every reading of a name as stub, separator and ending: at the last of each separator in it,
+    or, in a name without any, where letters pass into a final number."""
+    found = []
+    for name in columns:
+        parted = [name.rpartition(sep) for sep in SEPARATORS if sep in name]
+        number = re.search("[0-9]+$", name)
+        if not parted and number and re.fullmatch(r"[A-Za-z\s]+", name[:number.start()]):
+            parted = [(name[:number.start()].strip(), "", number[0])]
+        found += [{"name": name, "stub": stub, "sep": sep, "ending": ending} for stub, sep, ending in parted]
+    return found
+
+
 def infer_wide_to_long(columns: list[str]) -> dict:
     """Parameters for ``wide_to_long`` read off the column names.
 
-    A name is cut once, at the last separator or between letters and digits.  The
-    part shared by most names, beginning or ending, is the sub-name; other columns
-    identify the rows.
+    The stub or ending that goes with most different others, under one separator, is the
+    sub-name; stubs win ties.  Columns without it identify the rows.
     """
-    by_start, by_end = defaultdict(set), defaultdict(set)
-    for name in columns:
-        for sep, start, end in _cuts(name):
-            by_start[start, sep].add(end)
-            by_end[end, sep].add(start)
-    sizes = [max(map(len, groups.values()), default=0) for groups in (by_start, by_end)]
-    groups, at_start = (by_start, True) if sizes[0] >= sizes[1] else (by_end, False)
-    best = [key for key, members in groups.items() if len(members) == max(sizes)] if max(sizes) >= 2 else []
-    if not best:
-        return {"subnames": [], "i": list(columns), "j": "var", "sep": "", "suffix": ""}
+    nothing = {"subnames": [], "i": list(columns), "j": "var", "sep": "", "suffix": ""}
+    readings = _readings(columns)
+    partners: dict[str, dict[tuple, set]] = {"stub": defaultdict(set), "ending": defaultdict(set)}
+    for side, other in (("stub", "ending"), ("ending", "stub")):
+        for r in readings:
+            partners[side][r[side], r["sep"]].add(r[other])
+    most = {side: max((len(p) for p in known.values()), default=0) for side, known in partners.items()}
+    side = max(most, key=most.get)
+    if most[side] < 2:
+        return nothing
+    best = [key for key, others in partners[side].items() if len(others) == most[side]]
     sep = best[-1][1]
     subnames = list(dict.fromkeys(part.strip() for part, _ in best if part.strip()))
-    ids = [c for c in columns if not any(_belongs(c, s, sep, at_start) for s in subnames)]
-    return {"subnames": subnames, "i": ids, "j": "var", "sep": sep, "suffix": r"\w+"}
-
-
-def _cuts(name: str) -> list[tuple[str, str, str]]:
-    found = [(sep, *name.rsplit(sep, 1)) for sep in SEPARATORS if sep in name]
-    glued = re.fullmatch(r"([a-zA-Z\s]+)(\d+)", name)
-    return found or ([("", glued[1].strip(), glued[2])] if glued else [])
 
+    def measured(name: str) -> bool:
+        for sub in subnames:
+            marked = f"{sub}{sep}" if side == "stub" else f"{sep}{sub}"
+            rest = name.removeprefix(marked) if side == "stub" else name.removesuffix(marked)
+            if rest != name and (sep or (rest.isdigit() if side == "stub" else rest.isalpha())):
+                return True
+        return False
 
-def _belongs(name: str, sub: str, sep: str, at_start: bool) -> bool:
-    if at_start:
-        return name.startswith(sub + sep) and (bool(sep) or name[len(sub):].isdigit())
-    return name.endswith(sep + sub) and (bool(sep) or name[: -len(sub)].isalpha())
+    return {"subnames": subnames, "i": [c for c in columns if not measured(c)], "j": "var", "sep": sep, "suffix": r"\w+"} if subnames else nothing
 
 
 # -- operators ---------------------------------------------------------------------

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.names import col, is_binary_float, kind_of, reject_ambiguous, require_columns
+from ..functions.names import col, is_binary_float, kind_of, nan_as_null, reject_ambiguous, require_columns
 from ..functions.text import to_text
 
 JOIN_KINDS = ("inner", "left", "right", "outer", "cross")
@@ -182,7 +182,7 @@ def union_tables(left: DataFrame, right: DataFrame, how: str = "all") -> DataFra
     shared = [c for c in left.columns if c in set(right.columns)]
     wanted = {c: _common_type(left.schema[c].dataType, right.schema[c].dataType) for c in shared}
     both = _retyped(left, wanted).unionByName(_retyped(right, wanted), allowMissingColumns=True)
-    return both.dropDuplicates() if how == "distinct" else both
+    return nan_as_null(both).dropDuplicates() if how == "distinct" else both
 
 
 def _common_type(a: T.DataType, b: T.DataType) -> T.DataType:
@@ -192,6 +192,10 @@ def _common_type(a: T.DataType, b: T.DataType) -> T.DataType:
     kinds = {kind_of(a), kind_of(b)}
     if kinds == {"int"}:
         return T.LongType()
+    if isinstance(a, T.DecimalType) and isinstance(b, T.DecimalType):
+        scale, whole = max(a.scale, b.scale), max(a.precision - a.scale, b.precision - b.scale)
+        if scale + whole <= 38:
+            return T.DecimalType(scale + whole, scale)
     if kinds <= {"int", "float"}:
         return T.DoubleType()
     if kinds == {"time"}:

@@ -20,6 +20,8 @@ def aggregate(func: str, name: str, dtype: T.DataType, approximate: bool = False
         return F.avg(_numeric(value, dtype))
     if func == "sum":
         total = F.sum(_numeric(value, dtype))
+        if isinstance(dtype, T.DecimalType):  # the sum of decimals is one, ten digits wider
+            return F.coalesce(total, F.lit(0).cast(T.DecimalType(min(38, dtype.precision + 10), dtype.scale)))
         return F.coalesce(total, F.lit(0.0) if kind_of(dtype) == "float" else F.lit(0).cast("bigint"))
     if func == "nunique":
         return F.approx_count_distinct(value) if approximate else F.count_distinct(value)

@@ -7,10 +7,11 @@ from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.lists import parse_literal, split_blank, split_comma
 from ..functions.names import (
-    as_list, col, is_present, kind_of, reject_ambiguous, require_columns,
+    as_list, col, is_binary_float, is_present, kind_of, reject_ambiguous, require_columns,
 )
 from ..functions.text import shared_text, to_text
 from .grouping import aggregate
@@ -35,17 +36,28 @@ def pivot_rows(df: DataFrame, index, columns, values, aggfunc: str = "mean",
     if pivot_values is None:
         seen = rows if aggfunc in ("sum", "count") else rows.filter(is_present(col(values), types[values]))
         pivot_values = _header_texts(seen, columns)
-    headers = [str(v) for v in pivot_values]
+        headers = pivot_values
+    else:
+        headers = [_header_text(v, types[columns]) for v in pivot_values]
     reject_ambiguous([index, *headers], "pivot")
 
     cell = aggregate(aggfunc, values, types[values]).alias("__cell")
     header = to_text(col(columns), types[columns]).alias("__header")
     cells = rows.groupBy(col(index).alias("__row"), header).agg(cell)
-    cells = cells.filter(F.col("__cell").isNotNull())
+    cells = cells.filter(F.col("__cell").isNotNull() & F.col("__header").isin(headers))
     wide = cells.groupBy("__row").pivot("__header", headers).agg(F.first("__cell"))
     return wide.toDF(index, *headers)
 
 
+def _header_text(value, dtype: T.DataType) -> str:
+    """A given header as cells of that type are spelled."""
+    if isinstance(value, str):
+        return value
+    if is_binary_float(dtype):
+        return str(float(value))
+    return str(int(value)) if kind_of(dtype) == "int" else str(value)
+
+
 def _header_texts(df: DataFrame, name: str) -> list[str]:
     """Distinct values of a column that becomes headers: in value order, as text."""
     limit = _column_limit(df)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.condition import to_condition
-from ..functions.names import as_list, col, is_binary_float, is_present, require_columns
+from ..functions.names import as_list, col, is_binary_float, is_present, nan_as_null, require_columns
 
 RANK = "__rank"
 
@@ -78,9 +78,11 @@ def drop_duplicates(df: DataFrame, subset=None, keep: str = "first",
     Rows have no position in Spark: "first" follows ``order_by``, and rows equal in
     it (or all rows, when there is none) follow the remaining columns, so the same
     row survives in every run.  The rank limit is applied before the shuffle too,
-    which leaves one row per key and task however many copies a key has.
+    which leaves one row per key and task however many copies a key has.  NaN is missing
+    and comes out as null.
     """
     names = as_list(subset)
+    df = nan_as_null(df)
     if not names or set(names) == set(df.columns):
         return df.dropDuplicates()
     require_columns(df, names, "deduplicate")

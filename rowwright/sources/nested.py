@@ -6,35 +6,43 @@ job over thousands of tables is one scan and one shuffle, not a loop.
 
 from __future__ import annotations
 
+import os
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.names import col
+from ..functions.names import as_list, col
 from .tables import cap_columns, read_csv
 
 NESTED_SCHEMA = "{id} string, `table` struct<columns: array<string>, data: array<array<string>>>"
 
 
-def read_nested_tables(spark: SparkSession, path: str, id_column: str = "id", max_columns: int = 10) -> DataFrame:
+def read_nested_tables(spark: SparkSession, path: str, id_column: str = "id", max_columns: int | None = None) -> DataFrame:
     """Cells of JSON lines such as ``{"id": .., "table": {"columns": [..], "data": [[..]]}}``."""
     lines = spark.read.schema(NESTED_SCHEMA.format(id=f"`{id_column}`")).json(path)
     return nested_cells(lines, id_column, max_columns)
 
 
-def nested_cells(lines: DataFrame, id_column: str = "id", max_columns: int = 10) -> DataFrame:
+def _first(values, limit: int | None):
+    return values if limit is None else F.slice(values, 1, limit)
+
+
+def nested_cells(lines: DataFrame, id_column: str = "id", max_columns: int | None = None) -> DataFrame:
+    """Cells of all columns, or of the first ``max_columns`` where the caller names a limit."""
     rows = lines.select(
         col(id_column).alias("item"),
-        F.slice(F.col("table.columns"), 1, max_columns).alias("names"),
+        _first(F.col("table.columns"), max_columns).alias("names"),
         F.posexplode("table.data").alias("row", "values"),
     )
-    cells = rows.select("item", "row", F.posexplode(F.arrays_zip("names", F.slice("values", 1, max_columns).alias("v"))))
+    cells = rows.select("item", "row", F.posexplode(F.arrays_zip("names", _first(F.col("values"), max_columns).alias("v"))))
     return cells.select(
         "item", "row", F.col("pos").alias("position"),
         F.col("col.names").alias("column"), F.col("col.v").alias("value"),
     ).filter(F.col("column").isNotNull())
 
 
-def nested_table(lines: DataFrame, item: str, id_column: str = "id", max_columns: int = 10) -> DataFrame:
+def nested_table(lines: DataFrame, item: str, id_column: str = "id", max_columns: int | None = None) -> DataFrame:
     """One of the tables with its own columns (as text); reads its header first."""
     found = lines.filter(col(id_column) == item)
     header = found.select("table.columns").first()
@@ -44,16 +52,21 @@ def nested_table(lines: DataFrame, item: str, id_column: str = "id", max_columns
     return rows.select(*[F.get("values", F.lit(i)).alias(n) for i, n in enumerate(header[0][:max_columns])])
 
 
-def read_table_folder(spark: SparkSession, path: str | list[str], max_columns: int = 10) -> DataFrame:
-    """Cells of a folder of CSV files with different headers; ``item`` is the file name.
+def read_table_folder(spark: SparkSession, path: str | list[str], max_columns: int | None = None) -> DataFrame:
+    """Cells of a folder of CSV files with different headers; ``item`` is the file's path below the
+    folder (below what all given paths have in common, if there are several).
 
-    The files are read as ``max_columns`` text columns.  A file is never split, so the
-    running id grows within it and its least id marks the header line.
+    The files are read as text columns, as many as the line with most commas can have, which
+    takes a narrow pass of its own; ``max_columns`` spares it and cuts wider files.  A file is never
+    split, so the running id grows within it and its least id marks the header line.
     """
+    if max_columns is None:
+        cells = F.max(F.size(F.split("value", ",")))
+        max_columns = spark.read.text(path).agg(cells.alias("n")).first().n or 1
     width = ", ".join(f"c{i} string" for i in range(max_columns))
     lines = spark.read.schema(width).options(header=False, multiLine=True, escape='"').csv(path)
     lines = lines.select(
-        F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("item"),
+        _below(path).alias("item"),
         F.monotonically_increasing_id().alias("line"),
         F.array(*[F.col(f"c{i}") for i in range(max_columns)]).alias("values"),
     )
@@ -67,18 +80,26 @@ def read_table_folder(spark: SparkSession, path: str | list[str], max_columns: i
     ).filter(F.col("column").isNotNull())
 
 
+def _below(path: str | list[str]):
+    """The decoded path of a row's file without the folder that was read."""
+    folders = [re.split(r"[*?\[{]", re.sub(r"^[a-z0-9+.-]+:(//[^/]*)?", "", p))[0] for p in as_list(path)]
+    folder = folders[0].rstrip("/") if len(folders) == 1 else os.path.commonpath(folders)
+    whole = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    at = F.locate(f"{folder}/", whole)
+    name = F.element_at(F.split(whole, "/"), -1)
+    return F.when(at > 0, F.substr(whole, at + F.lit(len(folder) + 1))).otherwise(name)
+
+
 def read_pair_manifest(spark: SparkSession, path: str) -> DataFrame:
     """Which table of a folder belongs to which: ``query_table``, ``candidate_table``."""
     return spark.read.schema("query_table string, candidate_table string").option("header", True).csv(path)
 
 
 def read_pair(spark: SparkSession, folder: str, query_table: str, candidate_table: str,
-              max_columns: int = 10) -> tuple[DataFrame, DataFrame]:
-    """Both tables of one pair, cut to their first columns."""
-    return tuple(
-        cap_columns(read_csv(spark, f"{folder.rstrip('/')}/{name}", multiline=True), max_columns)
-        for name in (query_table, candidate_table)
-    )
+              max_columns: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Both tables of one pair, cut to their first columns where the caller names a limit."""
+    both = [read_csv(spark, f"{folder.rstrip('/')}/{name}", multiline=True) for name in (query_table, candidate_table)]
+    return tuple(both if max_columns is None else [cap_columns(df, max_columns) for df in both])
 
 
 def pair_cells(manifest: DataFrame, cells: DataFrame) -> DataFrame:

@@ -72,7 +72,7 @@ def read_parquet(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.parquet(*as_list(path))
 
 
-def cap_columns(df: DataFrame, limit: int = 10, key: str | None = None) -> DataFrame:
+def cap_columns(df: DataFrame, limit: int, key: str | None = None) -> DataFrame:
     """First ``limit`` columns; a join key comes first and always stays."""
     names = df.columns
     if key in names and len(names) > limit:
@@ -80,9 +80,9 @@ def cap_columns(df: DataFrame, limit: int = 10, key: str | None = None) -> DataF
     return df.select(*[col(n) for n in names[:limit]])
 
 
-def cap_rows(df: DataFrame, limit: int = 100, key: str | None = None) -> DataFrame:
+def cap_rows(df: DataFrame, limit: int, key: str) -> DataFrame:
     """The ``limit`` rows with the smallest key, a preview; ties follow the other columns."""
     if key not in df.columns:
-        return df.limit(limit)
+        raise ValueError(f"no column {key!r} to choose rows by")
     rest = [n for n in df.columns if n != key]
     return df.orderBy(col(key).asc_nulls_last(), *[col(n).asc_nulls_last() for n in rest]).limit(limit)

@@ -17,8 +17,8 @@ from ..plans.registry import lookup
 def stream_chain(stream: DataFrame, chain: Sequence[dict]) -> DataFrame:
     """Apply narrow steps to a streaming table; any other step is an error.
 
-    Choices that would need a look at all data must be made by the caller: ``explode``
-    takes a ``mode``, ``wide_to_long`` drops its uniqueness check.
+    Choices that would need a look at all data must be made by the caller: ``explode`` needs
+    a ``mode`` other than "auto", ``wide_to_long`` needs ``check_unique=False``.
     """
     steps = []
     for number, step in enumerate(chain, start=1):
@@ -27,8 +27,8 @@ def stream_chain(stream: DataFrame, chain: Sequence[dict]) -> DataFrame:
         if not operator.narrow:
             raise ChainError(f"step {number} ({operator.name}) needs the whole table")
         if operator.name == "explode" and params.get("mode", "auto") == "auto" and not params.get("split_comma"):
-            params["mode"] = "blank"
-        if operator.name == "wide_to_long":
-            params["check_unique"] = False
+            raise ChainError(f"step {number} (explode) needs a mode on a stream")
+        if operator.name == "wide_to_long" and params.get("check_unique", True):
+            raise ChainError(f"step {number} (wide_to_long) needs check_unique=False on a stream")
         steps.append({**step, "params": params})
     return run_chain(stream, steps).result

@@ -108,3 +108,6 @@ def test_narrow_chain_on_a_stream(spark, df, tmp_path):
     assert sorted(spark.table("narrow_chain").collect(), key=key) == sorted(batch.collect(), key=key)
     with pytest.raises(rw.ChainError, match="whole table"):
         stream_chain(stream, [step("sort", by=["id"])])
+    for open_choice in (step("explode", column="word"), step("wide_to_long", subnames=["a"], i=["id"], j="k", sep="_", suffix="x")):
+        with pytest.raises(rw.ChainError, match="on a stream"):
+            stream_chain(stream, [open_choice])

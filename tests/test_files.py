@@ -56,13 +56,13 @@ def test_nested_tables(spark, tmp_path):
              for i in range(2)]
     (tmp_path / "n.jsonl").write_text("\n".join(map(json.dumps, items)))
     cells = nested.read_nested_tables(spark, str(tmp_path / "n.jsonl"))
-    assert cells.count() == 2 * 3 * 10
+    assert cells.count() == 2 * 3 * 12
     lines = spark.read.schema(nested.NESTED_SCHEMA.format(id="id")).json(str(tmp_path / "n.jsonl"))
     one = nested.nested_table(lines, "t1")
-    assert one.columns == [f"c{k}" for k in range(10)]
+    assert one.columns == [f"c{k}" for k in range(12)]
     assert sorted(r.c0 for r in one.collect()) == ["0", "1", "2"]
     shown = nested.previews(cells, 2)
-    assert shown.count() == 4 and all(len(r.cells) == 10 for r in shown.collect())
+    assert shown.count() == 4 and all(len(r.cells) == 12 for r in shown.collect())
     with pytest.raises(ValueError):
         nested.nested_table(lines, "nope")
 
@@ -83,12 +83,21 @@ def test_table_folder_and_pairs(spark, tmp_path):
     assert one.columns == ["x", "y"] and two.columns == ["y", "z"]
 
 
+def test_wide_files_equal_names_and_blanks_in_folders(spark, tmp_path):
+    for part in ("a", "b"):
+        (tmp_path / part).mkdir()
+        pd.DataFrame([range(13)], columns=[f"{part}{k}" for k in range(13)]).to_csv(tmp_path / part / "my table+1.csv", index=False)
+    cells = nested.read_table_folder(spark, [str(tmp_path / "a"), str(tmp_path / "b")]).collect()
+    assert {(r.item, r.row) for r in cells} == {("a/my table+1.csv", 0), ("b/my table+1.csv", 0)} and len(cells) == 26
+
+
 def test_caps(spark):
     df = to_spark(spark, random_frame(1))
     assert tables.cap_columns(df, 2, key="size").columns == ["size", "id"]
     assert tables.cap_columns(df, 9, key="size").columns == df.columns
     assert [r["size"] for r in tables.cap_rows(df, 3, key="size").collect()] == sorted(random_frame(1)["size"])[:3]
-    assert tables.cap_rows(df, 3, key="nope").count() == 3
+    with pytest.raises(ValueError):
+        tables.cap_rows(df, 3, key="nope")
 
 
 def test_corpus_files(spark, tmp_path):

@@ -270,3 +270,35 @@ def test_number_text(spark):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id int, x double")
     got = [r.x for r in rw.cast_column(df, "x", "str").orderBy("id").collect()]
     assert got == pd.Series(values).astype(str).tolist()
+
+
+def test_decimals_keep_their_digits(spark):
+    df = spark.sql("SELECT 1 AS k, CAST('9007199254740993.01' AS decimal(20, 2)) AS d")
+    total = rw.group_rows(df, "k", {"d": "sum"})
+    assert str(total.first().d) == "9007199254740993.01"
+    assert rw.cast_column(df, "d", "int").first().d == 9007199254740993
+    other = spark.sql("SELECT 2 AS k, CAST('0.125' AS decimal(5, 3)) AS d")
+    assert {str(r.d) for r in rw.union_tables(df, other).collect()} == {"9007199254740993.010", "0.125"}
+
+
+def test_nan_is_null_where_rows_are_compared(spark):
+    df = spark.createDataFrame([(1, float("nan")), (1, None), (2, 0.5)], "a int, b double")
+    assert rw.drop_duplicates(df).count() == rw.drop_duplicates(df, ["b"]).count() == 2
+    assert rw.union_tables(df, df, how="distinct").count() == 2
+
+
+def test_given_pivot_values_are_read_by_type(spark):
+    df = spark.createDataFrame([("r", 1.0, 5), ("r", 2.0, 7), ("s", 3.0, 9)], "i string, c double, v int")
+    got = rw.pivot_rows(df, "i", "c", "v", "sum", pivot_values=[1, 2])
+    assert got.columns == ["i", "1.0", "2.0"] and [tuple(r) for r in got.collect()] == [("r", 5, 7)]
+
+
+@pytest.mark.parametrize("text, kept", [("n != 2 AND w LIKE 'r%'", [1]), ("n == 2 AND w LIKE 'r%'", [2]), ("n > 1 AND w LIKE 'r%'", [2])])
+def test_a_condition_of_several_parts_is_not_one_comparison(spark, text, kept):
+    df = spark.createDataFrame([(1, "red"), (None, "red"), (2, "red"), (1, "blue")], "n int, w string")
+    assert [r.n for r in rw.filter_rows(df, text).collect()] == kept
+
+
+def test_single_comparison_with_odd_names(spark):
+    df = spark.createDataFrame([(1, "a b"), (5, "c")], "`unit price` int, w string")
+    assert rw.filter_rows(df, "unit price > 3").count() == rw.filter_rows(df, "w == a b").count() == 1
