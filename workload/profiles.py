@@ -65,7 +65,7 @@ UNION ALL SELECT 'event_type', 'str' FROM e HAVING count(DISTINCT event_type) /
 UNION ALL SELECT 'amount_text', 'float' FROM e HAVING count(DISTINCT amount_text) / count(*) >= 0.5 AND count(try_cast(amount_text AS DOUBLE)) / count(*) > 0.8
 UNION ALL SELECT 'amount_text', 'str' FROM e HAVING count(DISTINCT amount_text) / count(*) < 0.5
 UNION ALL SELECT 'id_text', 'float' FROM e HAVING count(try_cast(id_text AS DOUBLE)) / count(*) > 0.8
-UNION ALL SELECT 'id_text', 'datetime64' FROM e HAVING count(*) FILTER (regexp_full_match(id_text, '[0-9]{4,6}') AND id_text::BIGINT <= 294246) / count(*) > 0.8
+UNION ALL SELECT 'id_text', 'datetime64' FROM e HAVING count(*) FILTER (regexp_full_match(id_text, '[0-9]{{4,6}}') AND id_text::BIGINT <= 294246) / count(*) > 0.8
 UNION ALL SELECT 'day_text', 'datetime64' FROM e HAVING count(DISTINCT day_text) / count(*) >= 0.5 AND count(try_cast(day_text AS TIMESTAMP)) / count(*) > 0.8
 UNION ALL SELECT 'day_text', 'str' FROM e HAVING count(DISTINCT day_text) / count(*) < 0.5""")
 def castable_columns(t):
