@@ -2,8 +2,10 @@
 
 Python's own expression grammar covers what data-frame queries use: comparisons,
 ``and``/``or``/``not`` (also ``&``, ``|``, ``~``), ``in [...]``, chained comparisons,
-arithmetic and a few column methods.  Text outside that grammar (``BETWEEN``,
-``LIKE``, ``IS NULL``) goes to Spark SQL as it is, with SQL's null rules.
+arithmetic and a few column methods.  SQL's words for the same things (``AND``, ``=``,
+``<>``, ``IN (..)``, ``LIKE``, ``BETWEEN``, ``IS NULL``) are respelled in that grammar and
+follow the same rules.  Only text that uses more of SQL, such as its functions, goes to
+Spark SQL as it is, with SQL's null rules.
 
 Missing values follow data frames, not SQL: a comparison with a missing value is
 false, hence ``!=``, ``not in`` and a negated comparison keep such rows.  Negations
@@ -211,6 +213,9 @@ class _Condition:
         if name == "between":
             low, high = (ast.Compare(owner, [op], [arg]) for op, arg in zip((ast.GtE(), ast.LtE()), node.args))
             return self.truth(ast.BoolOp(ast.And(), [low, high]), negated)
+        if name in ("like", "rlike"):
+            hit = getattr(target.column.cast("string"), name)(ast.literal_eval(node.args[0]))
+            return ~hit | absent if negated else hit
         if on_text and name in ("contains", "startswith", "endswith"):
             word = ast.literal_eval(node.args[0])
             if name == "contains":
@@ -268,6 +273,46 @@ def _single_comparison(text: str, schema: T.StructType) -> Column | None:
     return None
 
 
+SQL_TEXT = re.compile(r"'(?:[^'\\]|'')*'")
+SQL_SPELLINGS = [(re.compile(pattern, re.IGNORECASE), to) for pattern, to in (
+    (r"(\w+)\s+is\s+not\s+null\b", r"\1.notnull()"),
+    (r"(\w+)\s+is\s+null\b", r"\1.isnull()"),
+    (r"(\w+)\s+not\s+between\s+([-\w.]+)\s+and\s+([-\w.]+)", r"(not \1.between(\2, \3))"),
+    (r"(\w+)\s+between\s+([-\w.]+)\s+and\s+([-\w.]+)", r"\1.between(\2, \3)"),
+    (r"(\w+)\s+not\s+(r?like)\s+(\w+)", r"(not \1.\2(\3))"),
+    (r"(\w+)\s+(r?like)\s+(\w+)", r"\1.\2(\3)"),
+    (r"\bin\s*\(([^()]*)\)", r"in [\1]"),
+    (r"<>", "!="),
+    (r"(?<![<>=!])=(?!=)", "=="),
+)]
+
+
+def _respelled(text: str) -> str | None:
+    """SQL's words as Python's; None where a text holds marks that the two read differently."""
+    texts: list[str] = []
+
+    def put_aside(match: re.Match) -> str:
+        texts.append(match[0][1:-1].replace("''", "'"))
+        return f" quoted_text_{len(texts) - 1} "
+
+    plain = SQL_TEXT.sub(put_aside, text)
+    if any(mark in plain for mark in "'\"\\"):
+        return None
+    for pattern, spelling in SQL_SPELLINGS:
+        plain = pattern.sub(spelling, plain)
+    plain = re.sub(r"\b(and|or|not|in|like|rlike|between|isnull|notnull)\b", lambda m: m[0].lower(), plain, flags=re.IGNORECASE)
+    return re.sub(r"\bquoted_text_(\d+)\b", lambda m: repr(texts[int(m[1])]), plain)
+
+
+def _sql_words(text: str, aliases: dict[str, str], schema: T.StructType) -> Column | None:
+    """A condition in SQL's words read by the rules of this module; None if it says more than those."""
+    spelled = _respelled(text)
+    try:
+        return spelled and _Condition(schema, aliases).truth(ast.parse(spelled.strip(), mode="eval").body)
+    except (SyntaxError, KeyError, ValueError):
+        return None
+
+
 def to_condition(text: str, schema: T.StructType) -> Column:
     """The ``Column`` that is true for the rows to keep."""
     renamed, aliases = _named(text.strip())
@@ -286,4 +331,5 @@ def to_condition(text: str, schema: T.StructType) -> Column:
     single = _single_comparison(text, schema)
     if single is not None:
         return single
-    return F.expr(text)
+    worded = _sql_words(renamed, aliases, schema)
+    return F.expr(text) if worded is None else worded

@@ -14,11 +14,20 @@ from ..session import cut_lineage
 from .hashing import RANGE_BITS
 from .names import col
 
-CHUNK, OFFSET, TIE = "__chunk", "__offset", "__tie"
+CHUNK, OFFSET, TIE, COPIES, COPY = "__chunk", "__offset", "__tie", "__copies", "__copy"
+BLOCK = 4096  # copies made from one row of an inner list
 # a hash bucket is heavy above this many rows, if that is also far above the mean
 HEAVY_ROWS, HEAVY_FACTOR = 1_000_000, 5
 
 
+def repeat_rows(counted: DataFrame, count: str, number: str) -> DataFrame:
+    """Every row as often as its ``count``, copies numbered from 0; two short lists instead of a long one."""
+    blocks = counted.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col(count) - 1) / BLOCK))))
+    low = F.col("__block") * BLOCK
+    inside = F.sequence(low, F.least(low + (BLOCK - 1), F.col(count) - 1))
+    return blocks.withColumn(number, F.explode(inside)).drop("__block")
+
+
 def _running_offsets(counts: DataFrame, groups: list[str]) -> DataFrame:
     """Rows in earlier chunks of the same group; ``counts`` has one row per chunk."""
     keys = [col(g) for g in groups] or [F.lit(0)]
@@ -79,8 +88,9 @@ def rank_by_value(df: DataFrame, groups: list[str], order: list[Column], name: s
                   partitions: int | None = None) -> DataFrame:
     """Number the rows of each group by value order (nulls first), from 1.
 
-    Rows are range-partitioned by group, order and a random tie-break, so even rows
-    that are equal throughout spread over partitions.  Only a group that crosses a
+    Rows are range-partitioned by group, order and a hash of the whole row and the
+    number of its copy, so even rows that are equal throughout spread over partitions,
+    and a row lost with its executor returns to the same place.  Only a group that crosses a
     partition border needs an offset: fewer groups than partitions, hence the
     broadcast is bounded by the partition count, not by the data.  The ranges come
     from a sample, so the placement is stored before it is used twice.
@@ -88,7 +98,9 @@ def rank_by_value(df: DataFrame, groups: list[str], order: list[Column], name: s
     spark = df.sparkSession
     width = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = [o.alias(f"__o{i}") for i, o in enumerate(order)]
-    keyed = df.select("*", *ordered, F.rand(7).alias(TIE))
+    copies = df.groupBy(*[col(c) for c in df.columns]).agg(F.count("*").alias(COPIES))
+    keyed = repeat_rows(copies, COPIES, COPY).select(
+        *[col(c) for c in df.columns], *ordered, F.xxhash64(*[col(c) for c in df.columns], F.col(COPY)).alias(TIE))
     order_names = [f"__o{i}" for i in range(len(order))] + [TIE]
     placed = keyed.repartitionByRange(width, *[col(g) for g in groups], *order_names)
     placed = cut_lineage(placed.withColumn(CHUNK, F.spark_partition_id()))

@@ -8,12 +8,13 @@ from pyspark.sql import types as T
 
 from ..functions.convert import to_number
 from ..functions.names import col, is_binary_float, kind_of
-from ..functions.ranking import rank_in_groups
+from ..functions.ranking import COPIES, COPY, rank_in_groups, repeat_rows
 from ..functions.text import to_text
 from ..session import cut_lineage
 
 # Absolute and relative tolerance of numbers.
 ABSOLUTE, RELATIVE = 1e-6, 1e-5
+SAMPLES = 5  # pairs shown per failed check, at most
 SIDE, RANK, IN_LEFT, IN_RIGHT = "__side", "__rank", "__in_left", "__in_right"
 REPORT = "check string, column string, mismatches bigint, samples array<struct<left: string, right: string>>"
 
@@ -71,32 +72,52 @@ def _comparable(df: DataFrame, kinds: dict[str, str], shared: dict[str, T.DataTy
     return output
 
 
-def close(a: Column, b: Column) -> Column:
-    near = F.abs(a - b) <= F.lit(ABSOLUTE) + F.lit(RELATIVE) * F.abs(b)
+def close(a: Column, b: Column, tolerance: float = ABSOLUTE, relative: float = RELATIVE) -> Column:
+    near = F.abs(a - b) <= F.lit(tolerance) + F.lit(relative) * F.abs(b)
     return F.coalesce((a == b) | near, a.isNull() & b.isNull())
 
 
-def align_rows(left: DataFrame, right: DataFrame) -> tuple[DataFrame, list[str], list[str]]:
-    """Rows of both sides laid beside each other: exact columns, rank, and per side the numbers.
+def grid_cell(number: Column, tolerance: float = ABSOLUTE) -> Column:
+    """Numbers of one cell differ by no more than the tolerance."""
+    return F.rint(number / F.lit(tolerance)) if tolerance > 0 else number
 
-    Within rows that agree in all exact columns, both sides are numbered in the order
-    of their numeric columns and equal numbers meet.  If two numeric columns both carry
-    noise and the first differs only by it, the second may meet another row's value.
-    The numbering splits large groups over tasks (``rank_in_groups``).
+
+def _leftovers(left: DataFrame, right: DataFrame, exact: list[str], numbers: list[str],
+               kinds: dict[str, str], tolerance: float) -> DataFrame:
+    """What remains of both sides when rows that agree within the tolerance have cancelled out.
+
+    One shuffle of partial counts over exact columns and grid cells; of a cell with more
+    rows on one side the surplus is kept, with its ``COPIES``.  Stored, as it is read twice.
     """
-    kinds = _plan_columns(left, right)
-    exact = [n for n, k in kinds.items() if k != "number"]
-    numbers = [n for n, k in kinds.items() if k == "number"]
     shared = {n: _wider(left.schema[n].dataType, right.schema[n].dataType) for n in exact}
     both = left.select(*_comparable(left, kinds, shared), F.lit(0).alias(SIDE)).unionByName(
         right.select(*_comparable(right, kinds, shared), F.lit(1).alias(SIDE)))
-    ranked = rank_in_groups(both, [SIDE, *exact], [col(n) for n in numbers] or [F.lit(0)], RANK, spread=exact)
-
+    cells = [grid_cell(col(n), tolerance).alias(f"__cell{i}") for i, n in enumerate(numbers)]
+    least = [F.min(F.when(F.col(SIDE) == side, col(n))).alias(f"__{mark}{i}")
+             for i, n in enumerate(numbers) for side, mark in ((0, "a"), (1, "b"))]
+    surplus = F.sum(F.when(F.col(SIDE) == 0, 1).otherwise(-1)).alias(COPIES)
+    counted = both.groupBy(*[col(n) for n in exact], *cells).agg(surplus, *least).filter(F.col(COPIES) != 0)
+    mine = F.col(COPIES) > 0
+    return cut_lineage(counted.select(
+        *[col(n) for n in exact], *[F.col(f"__cell{i}") for i in range(len(numbers))],
+        *[F.when(mine, F.col(f"__a{i}")).otherwise(F.col(f"__b{i}")).alias(n) for i, n in enumerate(numbers)],
+        F.when(mine, 0).otherwise(1).alias(SIDE), F.abs(COPIES).alias(COPIES)))
+
+
+def _aligned(rest: DataFrame, exact: list[str], numbers: list[str]) -> DataFrame:
+    """Leftover rows laid beside each other: exact columns, rank, and per side the numbers.
+
+    Within rows that agree in all exact columns both sides are numbered in the order of
+    their grid cells, and equal numbers meet.  Large groups are split (``rank_in_groups``).
+    """
+    rows = repeat_rows(rest, COPIES, COPY).drop(COPIES, COPY)
+    order = [F.col(f"__cell{i}") for i in range(len(numbers))] + [col(n) for n in numbers]
+    ranked = rank_in_groups(rows, [SIDE, *exact], order or [F.lit(0)], RANK, spread=exact)
     pairs = [F.max(F.when(F.col(SIDE) == side, F.lit(True))).alias(there) for side, there in ((0, IN_LEFT), (1, IN_RIGHT))]
     for i, name in enumerate(numbers):
         pairs += [F.max(F.when(F.col(SIDE) == side, col(name))).alias(f"__{mark}{i}")
                   for side, mark in ((0, "a"), (1, "b"))]
-    return ranked.groupBy(*[col(n) for n in exact], RANK).agg(*pairs), exact, numbers
+    return ranked.groupBy(*[col(n) for n in exact], RANK).agg(*pairs)
 
 
 def _wider(a: T.DataType, b: T.DataType) -> T.DataType:
@@ -108,15 +129,21 @@ def _wider(a: T.DataType, b: T.DataType) -> T.DataType:
     return T.TimestampNTZType() if kinds == {"time"} else T.StringType()
 
 
-def compare_tables(left: DataFrame, right: DataFrame, store: bool = False) -> DataFrame:
+def compare_tables(left: DataFrame, right: DataFrame, store: bool = False, tolerance: float = ABSOLUTE,
+                   relative: float = RELATIVE) -> DataFrame:
     """The report: no row when the tables are equal, else one row per failed check.
 
     Checks: ``columns`` (names on one side only), ``rows`` (different counts),
     ``unmatched`` (rows whose exact columns have no partner) and ``values`` (numeric
-    columns outside the tolerance), with up to three sample pairs.
+    columns outside ``tolerance + relative * |right|``), with up to five sample pairs.
+
+    Rows cancel out where they agree in all exact columns and in the grid cells of all
+    numbers, so noise in several columns at once does no harm.  What is left is paired by
+    order within its exact columns; there a pair that differs by the relative tolerance in
+    one column may still meet another row's value in the next.
 
-    Both tables are read twice, first for the size of their groups; ``store=True`` puts
-    them into the shared folder once, for tables that are costly to compute.
+    Each table is read once; if the counts differ, once more to count its rows.
+    ``store=True`` puts them into the shared folder first, for tables that are costly to compute.
     """
     spark = left.sparkSession
     absent_left, absent_right = same_columns(left, right)
@@ -126,7 +153,12 @@ def compare_tables(left: DataFrame, right: DataFrame, store: bool = False) -> Da
         return spark.createDataFrame(rows, REPORT)
     if store:
         left, right = cut_lineage(left), cut_lineage(right)
-    aligned, exact, numbers = align_rows(left, right)
+    kinds = _plan_columns(left, right)
+    exact, numbers = ([n for n, k in kinds.items() if (k == "number") == is_number] for is_number in (False, True))
+    rest = _leftovers(left, right, exact, numbers, kinds, tolerance)
+    surplus = rest.agg(F.sum(F.when(F.col(SIDE) == 0, F.col(COPIES)).otherwise(-F.col(COPIES)))).first()[0]
+    sizes = (str(left.count()), str(right.count())) if surplus else ("", "")
+    aligned = _aligned(rest, exact, numbers)
     in_left, in_right = F.col(IN_LEFT).isNotNull(), F.col(IN_RIGHT).isNotNull()
     shown = F.to_json(F.struct(*[col(n) for n in exact])) if exact else F.lit("row")
     alone = F.struct(F.when(in_left, shown).alias("left"), F.when(in_right, shown).alias("right"))
@@ -134,7 +166,7 @@ def compare_tables(left: DataFrame, right: DataFrame, store: bool = False) -> Da
     for i, name in enumerate(numbers):
         a, b = F.col(f"__a{i}"), F.col(f"__b{i}")
         pair = F.struct(a.cast("string").alias("left"), b.cast("string").alias("right"))
-        failed.append(("values", name, in_left & in_right & ~close(a, b), pair))
+        failed.append(("values", name, in_left & in_right & ~close(a, b, tolerance, relative), pair))
     flags = aligned.select(
         in_left.alias("in_left"), in_right.alias("in_right"),
         *[bad.alias(f"bad{i}") for i, (_, _, bad, _) in enumerate(failed)],
@@ -145,11 +177,11 @@ def compare_tables(left: DataFrame, right: DataFrame, store: bool = False) -> Da
         measures.append(F.count_if(f"bad{i}").alias(f"n{i}"))
         measures += _sample_measures(i)
     total = flags.agg(*measures)
-    counts = F.array(F.struct(F.col("n_left").cast("string").alias("left"), F.col("n_right").cast("string").alias("right")))
+    counts = F.array(F.struct(F.lit(sizes[0]).alias("left"), F.lit(sizes[1]).alias("right")))
     lines = [F.struct(F.lit("rows").alias("check"), F.lit("*").alias("column"),
                       F.abs(F.col("n_left") - F.col("n_right")).alias("mismatches"), counts.alias("samples"))]
     for i, (check, name, _, _) in enumerate(failed):
-        samples = F.array_compact(F.array(F.col(f"least{i}"), F.col(f"most{i}"), F.col(f"some{i}")))
+        samples = F.array_compact(F.array(*[F.col(f"sample{i}_{s}") for s in range(SAMPLES)]))
         lines.append(F.struct(F.lit(check).alias("check"), F.lit(name).alias("column"),
                               F.col(f"n{i}").alias("mismatches"), F.array_distinct(samples).alias("samples")))
     return total.select(F.inline(F.array(*lines))).filter(F.col("mismatches") > 0)
@@ -158,8 +190,8 @@ def compare_tables(left: DataFrame, right: DataFrame, store: bool = False) -> Da
 def _sample_measures(i: int) -> list[Column]:
     """A few sample pairs by aggregates of constant size, never a collected list."""
     pair = F.col(f"pair{i}")
-    return [F.min(pair).alias(f"least{i}"), F.max(pair).alias(f"most{i}"),
-            F.first(pair, ignorenulls=True).alias(f"some{i}")]
+    slot = F.pmod(F.xxhash64(pair), F.lit(SAMPLES))
+    return [F.min(F.when(slot == s, pair)).alias(f"sample{i}_{s}") for s in range(SAMPLES)]
 
 
 def tables_equal(left: DataFrame, right: DataFrame) -> bool:

@@ -6,6 +6,8 @@ many databases puts the database id into the table name or into ``group``.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,28 +88,52 @@ def component_sizes(found: DataFrame) -> DataFrame:
     return found.groupBy("component").agg(F.count("*").alias("tables"))
 
 
-def key_paths(edges: DataFrame, n: int, seed: object = 0) -> DataFrame:
-    """One simple path of ``n`` tables per start table, as ``(start, path)``.
+def _avoiding(paths: DataFrame, spare: int, seed: object) -> DataFrame:
+    """Per first table ``a`` so few paths that any ``spare`` tables can be avoided if all paths could.
 
-    Each step goes to the unvisited neighbour with the least draw.  A path of up to
-    ``n`` tables can have visited at most ``n - 1`` neighbours, so the ``n`` least
-    drawn neighbours of a table always hold the one to take: a table sends a list of
-    bounded length however many neighbours it has.  A walk that meets a dead end
-    before ``n`` tables gives no path.
+    The least drawn path serves unless one of its tables must be avoided: for each of
+    them the least drawn path without it is added, and so on ``spare`` times.  With
+    paths of ``j`` further tables at most ``1 + j + ... + j ** spare`` stay.  Minima are
+    taken before the shuffle, so a table with very many paths is no single task's work.
+    """
+    rest = F.slice("path", F.lit(2), F.size("path") - 1)
+    drawn = cut_lineage(paths.select(
+        "a", rest.alias("rest"), F.struct(draw(F.array_join("path", ">"), seed).alias("d"), "path").alias("drawn")))
+    first = drawn.groupBy("a").agg(F.min("drawn").alias("best"))
+    kept, newest = [], first.select("a", F.array().cast("array<string>").alias("avoid"), "best")
+    for left in range(spare, -1, -1):
+        kept.append(newest.select("a", "best.path"))
+        if left == 0:
+            break
+        wanted = newest.select("a", "avoid", F.explode(F.slice("best.path", F.lit(2), F.size("best.path") - 1)).alias("x"))
+        wanted = wanted.select("a", F.array_sort(F.array_append("avoid", F.col("x"))).alias("avoid")).distinct()
+        allowed = drawn.join(wanted, "a").filter(~F.arrays_overlap("rest", "avoid"))
+        newest = cut_lineage(allowed.groupBy("a", "avoid").agg(F.min("drawn").alias("best")))
+    return reduce(DataFrame.unionAll, kept).distinct()
+
+
+def key_paths(edges: DataFrame, n: int, seed: object = 0) -> DataFrame:
+    """A simple path of ``n`` tables for every start table that has one, as ``(start, path)``.
+
+    Paths grow at their front: paths of ``j + 1`` tables from ``a`` put ``a`` before the
+    paths of ``j`` tables of its neighbours.  As at most ``n - j`` tables can come before
+    those, ``_avoiding`` thins them without losing the last way round a dead end; this
+    bounds what a table hands on by ``n`` alone, not by its number of neighbours, and the
+    bound grows fast with ``n``, which is meant to be small (2 to 6).  Of several paths
+    the draws decide.  Neighbour lists are stored once.
     """
-    both = _both_ways(edges).distinct()
-    drawn = both.withColumn("__draw", draw(F.concat_ws(">", "a", "b"), seed))
-    order = Window.partitionBy("a").orderBy("__draw", "b")
-    near = drawn.withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= n)
-    lists = near.groupBy("a").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("__n", "b"))), lambda x: x.b).alias("next"))
-    paths = lists.select(F.col("a").alias("start"), F.array("a").alias("path"))
-    for _ in range(n - 1):
-        tips = paths.withColumn("a", F.element_at("path", -1))
-        taken = tips.join(lists, "a").withColumn(
-            "to", F.get(F.array_except("next", "path"), F.lit(0)))
-        paths = taken.filter(F.col("to").isNotNull()).select("start", F.array_append("path", F.col("to")).alias("path"))
-    return paths
+    if n < 2:
+        nodes = edges.select(F.explode(F.array("a", "b")).alias("start")).distinct()
+        return nodes.select("start", F.array("start").alias("path"))
+    near = cut_lineage(_both_ways(edges).distinct())
+    paths = near.select("a", F.array("a", "b").alias("path"))
+    for tables in range(2, n + 1):
+        thinned = _avoiding(paths, n - tables, seed)
+        if tables == n:
+            return thinned.select(F.col("a").alias("start"), "path")
+        tails = thinned.select(F.col("a").alias("b"), F.col("path").alias("tail"))
+        paths = near.join(tails, "b").filter(~F.array_contains("tail", F.col("a"))).select(
+            "a", F.concat(F.array("a"), "tail").alias("path"))
 
 
 def path_columns(paths: DataFrame, edges: DataFrame) -> DataFrame:
@@ -126,7 +152,7 @@ def path_columns(paths: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def joinable_tables(edges: DataFrame, n: int, seed: object = 0) -> DataFrame:
-    """Per component of two or more tables: a path of ``n`` tables if a walk found one,
+    """Per component of two or more tables: a path of ``n`` tables if it has one,
     else its first ``n`` tables by name, as ``(component, tables)``."""
     found = components(edges)
     walks = key_paths(edges, n, seed).join(found.withColumnRenamed("node", "start"), "start")

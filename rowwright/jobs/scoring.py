@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from ..functions.convert import to_number
 from ..functions.ranking import rank_in_groups
 from ..session import cut_lineage
-from .comparing import close
+from .comparing import close, grid_cell
 
 SIDE, RANK = "__side", "__rank"
 
@@ -55,7 +55,8 @@ def score_results(results: DataFrame, targets: DataFrame) -> DataFrame:
     # one line per table row: as many cells as the table has columns, texts before numbers
     lines = typed.groupBy("item", SIDE, "row").agg(F.array_sort(F.collect_list(cell)).alias("cells"))
     lines = cut_lineage(lines)  # read twice below
-    ranked = rank_in_groups(lines, [SIDE, "item"], [F.col("cells.text"), F.col("cells.number")], RANK, spread=["item"])
+    ranked = rank_in_groups(lines, [SIDE, "item"], [
+        F.col("cells.text"), F.transform("cells.number", lambda n: grid_cell(n)), F.col("cells.number")], RANK, spread=["item"])
     pairs = ranked.groupBy("item", RANK).agg(
         *[F.max(F.when(F.col(SIDE) == side, F.col("cells"))).alias(name) for side, name in ((0, "got"), (1, "want"))])
     differing = F.filter(F.arrays_zip("got", "want"), lambda p: ~_same_cell(p.got, p.want))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -13,14 +12,14 @@ from ..functions.names import col, is_binary_float, kind_of, nan_as_null, reject
 from ..functions.text import to_text
 
 JOIN_KINDS = ("inner", "left", "right", "outer", "cross")
-HOT_SHARE = 0.05  # a key with more than this share of a side's rows is treated on its own
+HOT_ROWS = 1000  # keys with fewer rows are never worth a join of their own
 # largest measured side that is sent to every executor
 BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 64 << 20
 
 
 def join_tables(left: DataFrame, right: DataFrame, left_on: str | None = None, right_on: str | None = None,
                 how: str = "inner", suffixes=("_x", "_y"), on: str | None = None, match_nulls: bool = True,
-                hot_keys: str = "adaptive", names: tuple[str, str] = ("left", "right")) -> DataFrame:
+                hot_keys: str = "auto", names: tuple[str, str] = ("left", "right")) -> DataFrame:
     """Join on one key per side, on a shared column, or on a condition.
 
     Missing keys match each other unless ``match_nulls=False``.  Keys of different
@@ -28,9 +27,12 @@ def join_tables(left: DataFrame, right: DataFrame, left_on: str | None = None, r
     other shared names get the suffixes.  ``on`` may be a shared column name or a
     condition over ``names``, such as ``left.k = right.k AND left.t >= right.t``.
 
-    Inner joins leave hot keys to adaptive execution, which can split either side.
-    It cannot split both sides of an outer join: ``hot_keys="split"`` finds the keys
-    above 5 % of a side (at most 20 per side) and joins them as an inner join.
+    ``hot_keys`` chooses a plan, never a result.  ``"adaptive"`` leaves hot keys to adaptive
+    execution, which can split either side of an inner join, but not both sides of an
+    outer join.  ``"split"`` joins keys with more rows than a shuffle partition holds on
+    average (and more than ``HOT_ROWS``) apart; each side's keys are read once more to
+    find them.  ``"auto"`` splits outer joins.  A side goes to all executors only if it
+    measures at most ``BROADCAST_ROWS`` and ``BROADCAST_BYTES``.
     """
     if how not in JOIN_KINDS:
         raise ValueError(f"join: unknown kind {how!r}; known are {JOIN_KINDS}")
@@ -50,7 +52,9 @@ def join_tables(left: DataFrame, right: DataFrame, left_on: str | None = None, r
     left, right = _without_nan(left, left_on), _without_nan(right, right_on)
     a, b = _numbered(left, right)
     keys = (f"l{left.columns.index(left_on)}", f"r{right.columns.index(right_on)}")
-    if hot_keys == "split":
+    if hot_keys not in ("auto", "adaptive", "split"):
+        raise ValueError(f"join: unknown hot_keys {hot_keys!r}")
+    if hot_keys == "split" or (hot_keys == "auto" and how != "inner"):
         joined = _join_split(a, b, keys, how, match_nulls)
     else:
         joined = a.join(b, _same(*keys, match_nulls), how)
@@ -120,10 +124,19 @@ def _small_side_hint(a: DataFrame, b: DataFrame) -> DataFrame:
 
 # -- hot keys ----------------------------------------------------------------------
 def _hot_values(df: DataFrame, key: str) -> list:
-    """Keys above the share; there are fewer than 1 / share of them."""
-    least = df.count() * HOT_SHARE
-    ranked = df.groupBy(key).count().filter(F.col("count") > least)
-    return [r[0] for r in ranked.limit(math.ceil(1 / HOT_SHARE)).collect()]
+    """Keys above the mean load of a shuffle partition; there are fewer than partitions.
+
+    Counts per hash bucket find the buckets that could hold one; only their keys are counted.
+    """
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bucket = F.pmod(F.xxhash64(key), F.lit(4 * width))
+    loads = dict(map(tuple, df.groupBy(bucket.alias("bucket")).count().collect()))
+    bound = max(HOT_ROWS, sum(loads.values()) / width)
+    full = [b for b, n in loads.items() if n > bound]
+    if not full:
+        return []
+    counted = df.filter(bucket.isin(*full)).groupBy(key).count().filter(F.col("count") > bound)
+    return [r[0] for r in counted.collect()]
 
 
 def _is_one_of(key: str, values: list, dtype: T.DataType) -> Column:

@@ -78,6 +78,16 @@ def test_shuffled_copy_is_equal(spark):
     assert comparing.run_status(None, failed=True) == "error" and comparing.run_status(None, timed_out=True) == "timeout"
 
 
+def test_noise_in_two_columns_and_a_chosen_tolerance(spark):
+    a = spark.sql("select id % 7 + 0D as x, id + 0D as y from range(50)")
+    b = spark.sql("select id % 7 + 1e-9 * (id % 3 - 1) as x, id + 1e-9 as y from range(50)")
+    assert comparing.tables_equal(a, b)
+    found = {r.column: r for r in comparing.compare_tables(a, b, tolerance=0, relative=0).collect()}
+    assert found["y"].mismatches > 40 and len(found["y"].samples) == 5
+    shifted = a.withColumn("y", F.col("y") + 0.25)
+    assert comparing.compare_tables(a, shifted, tolerance=0.5).isEmpty() and not comparing.tables_equal(a, shifted)
+
+
 def report(left, right):
     return {(r.check, r.column): r.mismatches for r in comparing.compare_tables(left, right).collect()}
 
@@ -241,6 +251,25 @@ def test_paths_are_simple_and_follow_edges(spark):
     assert {p for p, _ in both} == {r.start for r in keygraph.key_paths(df, 2).collect()}
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_every_path_that_exists_is_found(spark, seed):
+    rng = random.Random(seed)
+    edges = {(f"t{rng.randrange(9)}", f"t{rng.randrange(9)}") for _ in range(9)} | {("b", "a"), ("a", "c"), ("c", "d")}
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+
+    def reaches(path, n):
+        return len(path) == n or any(reaches([*path, x], n) for x in near[path[-1]] if x not in path)
+
+    df = spark.createDataFrame(sorted(edges), "a string, b string")
+    for n in (3, 4, 5):
+        paths = {r.start: r.path for r in keygraph.key_paths(df, n, seed).collect()}
+        assert set(paths) == {a for a in near if reaches([a], n)}
+        assert all(len(set(p)) == n and all(y in near[x] for x, y in itertools.pairwise(p)) for p in paths.values())
+
+
 def test_catalogue(spark):
     record = {"db_id": "d", "table_names": ["x", "y", "z", "alone"], "column_names": [[0, "id"], [1, "x_id"], [1, "id"], [2, "y_id"]],
               "foreign_keys": [[1, 0], [3, 2]]}

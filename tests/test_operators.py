@@ -136,7 +136,8 @@ def test_wide_to_long(spark):
 @pytest.mark.parametrize("how", ["inner", "left", "right", "outer"])
 @pytest.mark.parametrize("hot_keys", ["adaptive", "split"])
 @pytest.mark.parametrize("seed", SEEDS)
-def test_join(spark, how, hot_keys, seed):
+def test_join(spark, how, hot_keys, seed, monkeypatch):
+    monkeypatch.setattr("rowwright.operators.combine.HOT_ROWS", 0)
     left, right = random_frame(seed, 40), random_frame(seed + 10, 12)
     right = right[right["key"] != 2].rename(columns={"size": "depth"})
     frames = to_spark(spark, left), to_spark(spark, right, "id bigint, key double, word string, price double, depth bigint")
@@ -293,12 +294,21 @@ def test_given_pivot_values_are_read_by_type(spark):
     assert got.columns == ["i", "1.0", "2.0"] and [tuple(r) for r in got.collect()] == [("r", 5, 7)]
 
 
-@pytest.mark.parametrize("text, kept", [("n != 2 AND w LIKE 'r%'", [1]), ("n == 2 AND w LIKE 'r%'", [2]), ("n > 1 AND w LIKE 'r%'", [2])])
+@pytest.mark.parametrize("text, kept", [("n != 2 AND w LIKE 'r%'", [1, None]), ("n == 2 AND w LIKE 'r%'", [2]), ("n > 1 AND w LIKE 'r%'", [2])])
 def test_a_condition_of_several_parts_is_not_one_comparison(spark, text, kept):
     df = spark.createDataFrame([(1, "red"), (None, "red"), (2, "red"), (1, "blue")], "n int, w string")
     assert [r.n for r in rw.filter_rows(df, text).collect()] == kept
 
 
+@pytest.mark.parametrize("text, kept", [
+    ("n <> 1", [None, 2, None]), ("NOT n = 1", [None, 2, None]), ("n IS NOT NULL AND w = 'it''s'", [2]),
+    ("n NOT BETWEEN 1 AND 1 AND w NOT LIKE 'b%'", [None, 2, None]), ("w IN ('red') OR n IS NULL", [1, None, None]),
+    ("`n` in (2) or w rlike '^b.*e$'", [1, 2]), ("length(w) > 3 AND n <> 1", [2])])
+def test_sql_words_follow_the_same_rules(spark, text, kept):
+    df = spark.createDataFrame([(1, "red"), (1, "blue"), (None, "red"), (2, "it's"), (None, None)], "n int, w string")
+    assert [r.n for r in rw.filter_rows(df, text).collect()] == kept
+
+
 def test_single_comparison_with_odd_names(spark):
     df = spark.createDataFrame([(1, "a b"), (5, "c")], "`unit price` int, w string")
     assert rw.filter_rows(df, "unit price > 3").count() == rw.filter_rows(df, "w == a b").count() == 1

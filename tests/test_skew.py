@@ -67,7 +67,8 @@ def test_split_join_is_the_plain_join(spark, skewed, how, small_limit, monkeypat
         monkeypatch.setattr("rowwright.operators.combine.BROADCAST_ROWS", 0)
     right = spark.range(100).select(F.expr("if(id = 3, null, id)").alias("key"), F.col("id").alias("right_id"))
     right = right.unionAll(spark.range(100).select(F.lit(777).cast("bigint"), F.col("id") + 1000))  # hot on one side only
-    plain = rw.join_tables(skewed, right, "key", "key", how)
+    monkeypatch.setattr("rowwright.operators.combine.HOT_ROWS", 20)
+    plain = rw.join_tables(skewed, right, "key", "key", how, hot_keys="adaptive")
     split = rw.join_tables(skewed, right, "key", "key", how, hot_keys="split")
     assert split.columns == plain.columns
     assert split.exceptAll(plain).count() == plain.exceptAll(split).count() == 0
@@ -81,6 +82,12 @@ def test_duplicates_of_a_hot_key(skewed):
     assert {r.key: r.id for r in kept.collect()} == best
 
 
+def test_outer_joins_split_hot_keys_unasked(spark, skewed):
+    right = spark.range(300).select(F.expr("if(id = 3, null, id)").alias("key"))
+    plan = lambda how: rw.join_tables(skewed, right, "key", "key", how)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan("outer") and "Union" not in plan("inner")
+
+
 @pytest.mark.parametrize("heavy_rows", [100, 1_000_000])
 def test_comparison_with_a_hot_group(skewed, heavy_rows, monkeypatch):
     monkeypatch.setattr("rowwright.functions.ranking.HEAVY_ROWS", heavy_rows)

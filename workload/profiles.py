@@ -134,6 +134,16 @@ def diff_tolerance(t):
     return comparing.compare_tables(rows, other).select("check", "column", "mismatches")
 
 
+# noise in two columns at once, far below the tolerance; the pairs still differ in every tenth row
+@query("""SELECT 'values' AS "check", 'l_tax' AS "column", count(*) AS mismatches FROM lineitem WHERE l_orderkey % 10 = 3 HAVING count(*) > 0""")
+def diff_two_noisy(t):
+    rows = t("lineitem").select("l_orderkey", "l_discount", "l_tax", "l_linenumber")
+    other = rows.withColumns({
+        "l_discount": F.col("l_discount") + 1e-9 * (F.col("l_linenumber") % 3 - 1),
+        "l_tax": F.col("l_tax") + F.when(F.col("l_orderkey") % 10 == 3, 2.0).otherwise(1e-9)})
+    return comparing.compare_tables(rows.drop("l_linenumber"), other.drop("l_linenumber")).select("check", "column", "mismatches")
+
+
 @query("""WITH a AS (SELECT o_orderkey, o_orderstatus FROM orders),
 b AS (SELECT o_orderkey, CASE WHEN o_custkey % 13 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderpriority <> '5-LOW')
 SELECT 'rows' AS "check", '*' AS "column", (SELECT count(*) FROM a) - (SELECT count(*) FROM b) AS mismatches

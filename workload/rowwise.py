@@ -69,6 +69,21 @@ def filter_sql_words(t):
     return kept.select("o_orderkey", "o_totalprice")
 
 
+ORDERS_WITH_GAPS = """(SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN o_custkey % 5 END AS n,
+ CASE WHEN o_custkey % 3 <> 1 THEN o_orderpriority END AS w FROM orders)"""
+
+
+# missing cells stay where a comparison is negated, whichever words say so
+@query(f"""SELECT o_orderkey, n, w FROM {ORDERS_WITH_GAPS} WHERE ((n <> 2 OR n IS NULL) AND w LIKE '%-%I%')
+ OR ((n NOT IN (1, 2) OR n IS NULL) AND (w NOT LIKE '1-%' OR w IS NULL) AND (n NOT BETWEEN 0 AND 3 OR n IS NULL)) OR (w IS NULL AND n = 3)""")
+def filter_sql_nulls(t):
+    rows = t("orders").select(
+        "o_orderkey", F.expr("case when o_orderstatus <> 'P' then o_custkey % 5 end").alias("n"),
+        F.expr("case when o_custkey % 3 <> 1 then o_orderpriority end").alias("w"))
+    return rw.filter_rows(
+        rows, "(n != 2 AND w LIKE '%-%I%') OR (n NOT IN (1, 2) AND w NOT LIKE '1-%' AND n NOT BETWEEN 0 AND 3) OR (w IS NULL AND n = 3)")
+
+
 @query("SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate >= TIMESTAMP '1998-06-01' AND year(o_orderdate) < 2000")
 def filter_dates(t):
     kept = rw.filter_rows(t("orders"), "o_orderdate >= '1998-06-01' and o_orderdate.dt.year < 2000")
