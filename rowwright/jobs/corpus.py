@@ -25,7 +25,6 @@ NO_CHAIN = "No transformation operations"
 NO_PARAMS = "No parameters"
 NO_TABLES = "No tables"
 UNKNOWN_OP = "Unknown operation"
-PLAIN_JSON = r"^(-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?)$"
 
 
 # -- chains ------------------------------------------------------------------------
@@ -85,14 +84,25 @@ def _spell(value: Column) -> Column:
 
 
 def _quote(value: Column) -> Column:
-    plain = value.isNull() | value.isin("true", "false", "null") | value.rlike(PLAIN_JSON)
-    return F.when(plain, _spell(value)).otherwise(F.concat(F.lit("'"), value, F.lit("'")))
+    """A text in quotes as Python prints it: double ones only around a single quote without double ones."""
+    safe = value
+    for plain, written in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        safe = F.replace(safe, F.lit(plain), F.lit(written))
+    double = value.contains("'") & ~value.contains('"')
+    return F.when(double, F.concat(F.lit('"'), safe, F.lit('"'))).otherwise(
+        F.concat(F.lit("'"), F.replace(safe, F.lit("'"), F.lit("\\'")), F.lit("'")))
+
+
+def _spell_element(value: Column, typed: Column) -> Column:
+    """An element of a list; its type tells the text ``"2019"`` from the number."""
+    return F.when(F.schema_of_variant(typed) == "STRING", _quote(value)).otherwise(_spell(value))
 
 
 def _spell_param(value: Column) -> Column:
     listed = F.from_json(value, "array<string>")
+    typed = F.when(value.startswith("["), F.try_parse_json(value)).cast("array<variant>")
     mapped = F.from_json(value, "map<string, string>")
-    list_text = F.concat(F.lit("["), F.array_join(F.transform(listed, _quote), ", "), F.lit("]"))
+    list_text = F.concat(F.lit("["), F.array_join(F.zip_with(listed, typed, _spell_element), ", "), F.lit("]"))
     pairs = F.transform(F.map_entries(mapped), lambda e: F.concat(
         F.lit("'"), e.key, F.lit("': '"), _spell(e.value), F.lit("'")))
     map_text = F.concat(F.lit("{"), F.array_join(pairs, ", "), F.lit("}"))

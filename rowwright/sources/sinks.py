@@ -16,7 +16,10 @@ RECORD_OPTIONS = {**TEXT_OPTIONS, "ignoreNullFields": "false"}
 
 
 def write_csv(df: DataFrame, path: str, partition_by: str | list[str] | None = None) -> None:
-    """A folder of CSV parts with headers; ``partition_by`` gives one folder per task."""
+    """A folder of CSV parts with headers; ``partition_by`` gives one folder per
+    value, its rows placed together first (large values split), so that files are few."""
+    if partition_by:
+        df = df.hint("rebalance", *[col(c) for c in as_list(partition_by)])
     writer = df.write.options(header=True, escape='"', **TEXT_OPTIONS)
     if partition_by:
         writer = writer.partitionBy(*as_list(partition_by))
@@ -24,10 +27,10 @@ def write_csv(df: DataFrame, path: str, partition_by: str | list[str] | None = N
 
 
 def write_corpus(tasks: DataFrame, path: str) -> None:
-    """Tasks as JSON lines in ``tasks``, creation time and count in ``metadata``."""
+    """Tasks as JSON lines in ``tasks``, creation time and count in ``metadata``; lines are counted without parsing."""
     path = path.rstrip("/")
     tasks.write.options(**RECORD_OPTIONS).json(f"{path}/tasks")
-    stored = tasks.sparkSession.read.schema(tasks.schema).json(f"{path}/tasks")
+    stored = tasks.sparkSession.read.text(f"{path}/tasks")
     metadata = stored.agg(F.count("*").alias("task_count")).withColumn("creation_time", F.current_timestamp())
     metadata.write.json(f"{path}/metadata")
 

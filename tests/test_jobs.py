@@ -143,6 +143,7 @@ RENDERED = [
     '1. transpose (No parameters) (op_tables: No tables)\n'
     '2. dropna (subset: None, how: any) (op_tables: table_1)\n'
     '3. topk (k: 3) (op_tables: table_1)',
+    r"""1. select (columns: ['2019', 'true', 2019, 1.5, True, None, "it's", 'say "x"', 'a\\b']) (op_tables: table_1)""",
 ]
 
 
@@ -153,6 +154,7 @@ CHAINS = [
      {"op": "groupby", "params": {"by": ["k"], "agg": {"x": "sum", "y": "mean"}}, "op_tables": ["table_1_table_2_join"]}],
     [{"op": "transpose", "params": {}, "op_tables": []}, {"op": "dropna", "params": {"subset": None, "how": "any"}, "op_tables": ["table_1"]},
      {"op": "topk", "params": {"k": 3}, "op_tables": ["table_1"]}],
+    [{"op": "select", "params": {"columns": ["2019", "true", 2019, 1.5, True, None, "it's", 'say "x"', "a\\b"]}, "op_tables": ["table_1"]}],
 ]
 
 
