@@ -121,7 +121,7 @@ def render_chain(chain: Column) -> Column:
         params = F.transform(F.map_entries(step.params), lambda e: F.concat(
             e.key, F.lit(": "),
             F.coalesce(side(e.key, ("left_table", 0)), side(e.key, ("right_table", 1)), _spell_param(e.value))))
-        shown = F.when(F.coalesce(F.size(params), F.lit(0)) > 0, F.array_join(params, ", ")).otherwise(NO_PARAMS)
+        shown = F.when(F.coalesce(F.size(step.params), F.lit(0)) > 0, F.array_join(params, ", ")).otherwise(NO_PARAMS)
         tables = F.when(F.coalesce(F.size(step.op_tables), F.lit(0)) > 0,
                         F.array_join(step.op_tables, ", ")).otherwise(NO_TABLES)
         return F.concat((i + 1).cast("string"), F.lit(". "), F.coalesce(step.op, F.lit(UNKNOWN_OP)),

@@ -50,14 +50,16 @@ def name_tables(tables: DataFrame | Sequence[DataFrame] | Mapping[str, DataFrame
 
 
 def run_chain(tables: DataFrame | Sequence[DataFrame] | Mapping[str, DataFrame], chain: Sequence[dict],
-              check_empty: bool = False) -> ChainResult:
+              check_empty: bool | str = False) -> ChainResult:
     """Apply the steps in turn; nothing runs until the result is used.
 
     A step replaces its table.  A join or union removes both and appends
     ``{a}_{b}_{op}``.  A sort is remembered and decides what a later ``topk`` or
-    ``deduplicate`` calls first.  ``check_empty`` runs a job per step to name the
-    one that leaves no rows.
+    ``deduplicate`` calls first.  ``check_empty="end"`` runs one job to refuse
+    an empty result; ``check_empty=True`` runs a job per step to name the one that leaves no rows.
     """
+    if check_empty not in (False, True, "end"):
+        raise ValueError(f"check_empty is False, True or 'end', not {check_empty!r}")
     state = name_tables(tables)
     orders: dict[str, Directions] = {}
     done: list[dict[str, Any]] = []
@@ -74,7 +76,8 @@ def run_chain(tables: DataFrame | Sequence[DataFrame] | Mapping[str, DataFrame],
             output = operator.build([state[u] for u in used], params)
         except (ValueError, TypeError) as problem:
             raise ChainError(f"step {number} ({name}): {problem}") from problem
-        if check_empty and output.isEmpty():
+        last = check_empty == "end" and number == len(chain)
+        if (check_empty is True or last) and output.isEmpty():
             raise ChainError(f"step {number} ({name}) leaves no rows")
         positions = [list(state).index(u) for u in used]
         _replace(state, orders, used, operator, params, output)

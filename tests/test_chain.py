@@ -73,6 +73,11 @@ def test_empty_result_is_named_on_request(df):
     assert rw.run_chain(df, chain).result.isEmpty()
     with pytest.raises(rw.ChainError, match=r"step 1 \(filter\) leaves no rows"):
         rw.run_chain(df, chain, check_empty=True)
+    with pytest.raises(rw.ChainError, match=r"step 2 \(sort\) leaves no rows"):
+        rw.run_chain(df, chain, check_empty="end")
+    assert not rw.run_chain(df, chain[1:], check_empty="end").result.isEmpty()
+    with pytest.raises(ValueError, match="check_empty"):
+        rw.run_chain(df, chain, check_empty="sometimes")
 
 
 def test_custom_operator(df):
