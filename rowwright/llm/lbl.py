@@ -12,6 +12,7 @@ by the number of words they saw.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 from pyspark import Broadcast
@@ -22,11 +23,13 @@ from ..session import cut_lineage
 from .common import map_rows, pick, remainder
 
 #: Words the model predicts one by one, and numbers of a word vector.
-WORDS, SIZE = 511, 24
+WORDS, SIZE = 2047, 24
 #: Words whose counts are broadcast, and the longest of them in bytes (at most 8 MB); all others are joined.
 COMMON, LONGEST = 2**18, 32
-#: One of so many places in a text is trained on; noise words a batch; places a batch; step size.
-THIN, NOISE, BATCH, RATE = 8, 128, 2048, 0.08
+#: Noise words a batch; places a batch; step size.
+NOISE, BATCH, RATE = 128, 2048, 0.08
+#: Logits held at a time while sums are made.
+CELLS = 2**20
 #: Distinct words a task counts before it hands them on.
 HELD = 400_000
 SLICES = 8
@@ -95,10 +98,13 @@ class Model:
         return self.before[one] * self.place[0] + self.before[two] * self.place[1]
 
     def _step(self, which: int, part: np.ndarray, rows, slope: np.ndarray) -> None:
-        """Adagrad: steps shrink where there were many."""
-        spent = self.spent[which]
-        np.add.at(spent, rows, slope * slope)
-        np.add.at(part, rows, RATE * slope / np.sqrt(spent[rows]))
+        """Adagrad: steps shrink where there were many. Slopes of the same row are summed first."""
+        order = np.argsort(rows, kind="stable")
+        rows, slope, spent = rows[order], slope[order], self.spent[which]
+        starts = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+        rows = rows[starts]
+        spent[rows] += np.add.reduceat(slope * slope, starts)
+        part[rows] += RATE * np.add.reduceat(slope, starts) / np.sqrt(spent[rows])
 
     def train(self, one: np.ndarray, two: np.ndarray, target: np.ndarray, rng: np.random.Generator) -> None:
         """One batch: tell the words that followed from noise words shared by the batch."""
@@ -133,8 +139,9 @@ class Scorer:
         m, k = self.model, len(self.model.bias)
         pair = one * k + two
         fresh = np.unique(pair[np.isnan(self.sums[pair])])
-        for at in range(0, len(fresh), 4096):
-            some = fresh[at:at + 4096]
+        step = -(-CELLS // k)
+        for at in range(0, len(fresh), step):
+            some = fresh[at:at + step]
             logits = m.context(some // k, some % k) @ m.after.T + m.bias
             top = logits.max(1)
             self.sums[some] = top + np.log(np.exp(logits - top[:, None]).sum(1))
@@ -175,24 +182,33 @@ def coder(shared: Broadcast) -> Coder:
     return _made[id(common)]
 
 
+def batches(places: Iterable[tuple[np.ndarray, ...]]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Every place of all texts, in order, ``BATCH`` at a time; long texts are cut, short ones share a batch."""
+    held: list[tuple] = []
+    size = 0
+    for parts in places:
+        at, n = 0, len(parts[-1])
+        while at < n:
+            end = min(n, at + BATCH - size)
+            held.append(tuple(p[at:end] for p in parts))
+            size += end - at
+            at = end
+            if size == BATCH:
+                yield tuple(map(np.concatenate, zip(*held, strict=True)))
+                held, size = [], 0
+    if size:
+        yield tuple(map(np.concatenate, zip(*held, strict=True)))
+
+
 def fit(df: DataFrame, text: str, shared: Broadcast, frequency: np.ndarray) -> np.ndarray:
     """The average of the tasks' models, as one flat array of fixed length."""
     def run(rows):
         code, model = coder(shared), Model(frequency)
         rng = np.random.default_rng(3)
-        held: list[tuple] = []
-        size = seen = 0
-        for (t,) in rows:
-            one, two, target = code.classes(code(words(t)))
-            mine = np.arange(rng.integers(THIN), len(target), THIN)
-            held.append((one[mine], two[mine], target[mine]))
-            size += len(mine)
-            seen += len(target)
-            if size >= BATCH:
-                model.train(*map(np.concatenate, zip(*held, strict=True)), rng)
-                held, size = [], 0
-        if size:
-            model.train(*map(np.concatenate, zip(*held, strict=True)), rng)
+        seen = 0
+        for batch in batches(code.classes(code(words(t))) for (t,) in rows):
+            model.train(*batch, rng)
+            seen += len(batch[-1])
         if seen:
             for s, part in enumerate(np.array_split(model.flat, SLICES)):
                 yield s, seen, (part * seen).tobytes()

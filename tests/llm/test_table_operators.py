@@ -252,6 +252,23 @@ def test_model_is_normalised_and_learns():
     assert total == pytest.approx(1) and scorer(ids[1:-1], ids[:-2], ids[2:]).mean() > before + 0.15
 
 
+def test_batches_hold_every_place_once():
+    lengths = [3, 1, 3 * lbl.BATCH + 5, 7, lbl.BATCH, 1]
+    ids = np.split(np.arange(sum(lengths)), np.cumsum(lengths)[:-1])
+    got = list(lbl.batches((i, i + 1, i + 2) for i in ids))
+    assert [len(t) for *_, t in got] == [lbl.BATCH] * (sum(lengths) // lbl.BATCH) + [sum(lengths) % lbl.BATCH]
+    for k in range(3):
+        assert np.concatenate([b[k] for b in got]).tolist() == list(range(k, sum(lengths) + k))
+    assert list(lbl.batches([])) == []
+
+
+def test_all_places_of_a_long_text_are_learned(spark):
+    learned = next(i for i in range(9) if crc32(str(i).encode()) % 7 != 2)
+    df = spark.createDataFrame([(learned, "a b c d e f g h " * 40_000)], "doc_id long, text string")
+    row = lbl.score_texts(df).first()
+    assert row.base_score / row.n_tokens < -0.85 and row.score / row.n_tokens > -0.3
+
+
 def test_held_out_texts_score_better_than_by_counts(spark):
     got = lbl.score_texts(queries.table(spark, "/root/testdata/sf0.01", "documents")).filter("held_out").collect()
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
