@@ -249,16 +249,21 @@ class Utf8Stream:
         return cut
 
 
+#: Characters of a word that is remembered; longer stretches are cut into pieces each time.
+WORD = 64
+
+
 class Pieces:
     """Applies ``function`` to every match of ``pattern`` and adds the results up, remembering words.
 
-    The pattern must let a piece hold a space at its start only, and treat a lone space between
-    other characters as the start of a piece (patterns of public byte-level tokenizers do).  Then a
-    text without double spaces may be cut before each space, and a word met again costs one look-up.
+    The pattern must treat a lone space between two characters that are not white space as the start
+    of a piece (patterns of public byte-level tokenizers do).  So a text is cut before each such
+    space only, and a word met again costs one look-up; any other white space stays inside its stretch.
     """
 
     def __init__(self, pattern: str, function, nothing, limit: int = 300_000):
         self.split, self.nothing = regex.compile(pattern).findall, nothing
+        self.cut = regex.compile(r"(?<=\S) (?=\S)").split
         self.pieces = Memo(function, limit)
         self.words = Memo(lambda word: self._sum(" " + word), limit)
 
@@ -270,10 +275,14 @@ class Pieces:
 
     def parts(self, text: str) -> list:
         """Results that add up to that of the text."""
-        if "  " in text:
-            return [self.pieces[p] for p in self.split(text)]
-        first, *words = text.split(" ")
-        return [self._sum(first), *map(self.words.__getitem__, words)]
+        first, *words = self.cut(text)
+        parts = [self.pieces[p] for p in self.split(first)]
+        for word in words:
+            if len(word) <= WORD:
+                parts.append(self.words[word])
+            else:
+                parts += [self.pieces[p] for p in self.split(" " + word)]
+        return parts
 
 
 class Codec:

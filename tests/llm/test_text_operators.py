@@ -32,6 +32,18 @@ def test_runs_and_odd_texts(text):
     assert OURS.encode(text) == THEIRS.encode_ordinary(text) and OURS.decode(OURS.encode(text)) == text
 
 
+MIXED = ["a \u00a0 \u00a0 b", "x\n \ny", "a \t b", "\t a\u00a0 b \n", " \n", "a  b c \u2003d", "q" * 90 + " " + "r" * 90 + "\n s"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(" \n\t\u00a0\r\x1c\x85\u2003ab1.'", max_size=40))
+def test_runs_of_mixed_white_space(text):
+    count = wordpiece._counter(DATA, P.PATTERN)
+    for t in (text, *MIXED):
+        assert OURS.encode(t) == THEIRS.encode_ordinary(t)
+        assert sum(count.parts(t)) >> wordpiece.BITS == len(bpe.regex.findall(P.PATTERN, t))
+
+
 def test_machine_alone_equals_merging_with_few_states():
     machine = bpe.Transducer(bpe.read_ranks(DATA), max_states=30)
     rng = random.Random(3)
