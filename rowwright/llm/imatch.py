@@ -25,6 +25,7 @@ from .common import Memo, map_rows, pick
 #: lexicon: at most (mean distinct terms per document) / RAREST terms, whatever the number of documents.
 RAREST, COMMONEST = 0.001, 0.1
 LEVELS, PARTS, FEW = 6, 16, 2
+HEAD = LEVELS * PARTS // 8
 #: Distinct terms a task counts before it hands them on.
 HELD = 400_000
 SCATTER = np.uint64(0x9E3779B97F4A7C15)
@@ -84,7 +85,7 @@ def fingerprint(hashes: np.ndarray) -> bytes:
                 hashed = xxhash.xxh3_64_digest(data[8 * at:8 * (at + count)], seed=slot)
                 out.append(bytes([slot]) + hashed[:7])
             at += count
-    return dense.to_bytes(LEVELS * PARTS // 8, "big") + b"".join(out)
+    return dense.to_bytes(HEAD, "big") + b"".join(out)
 
 
 def likeness(one: bytes, two: bytes) -> float:
@@ -92,15 +93,18 @@ def likeness(one: bytes, two: bytes) -> float:
     fingerprints are 1, and 0 if no slot can be compared."""
     if one == two:
         return 1.0
-    head = LEVELS * PARTS // 8
-    dense = int.from_bytes(one[:head], "big") | int.from_bytes(two[:head], "big")
-    a, b = ({x[i]: x[i + 1:i + 8] for i in range(head, len(x), 8) if not dense >> x[i] & 1} for x in (one, two))
+    dense = int.from_bytes(one[:HEAD], "big") | int.from_bytes(two[:HEAD], "big")
+    a, b = ({x[i]: x[i + 1:i + 8] for i in range(HEAD, len(x), 8) if not dense >> x[i] & 1} for x in (one, two))
     slots = a.keys() | b.keys()
     return sum(a.get(s) == b.get(s) for s in slots) / len(slots) if slots else 0.0
 
 
 class Printer:
-    """Fingerprints of texts by a given lexicon."""
+    """Fingerprints of texts by a given lexicon.
+
+    Without a sparse slot four more slots hold a digest, of the terms in the lexicon or, if there are
+    none, of the text, so the fingerprint tells such texts apart.
+    """
 
     def __init__(self, words: np.ndarray):
         self.words = words
@@ -113,7 +117,12 @@ class Printer:
 
     def __call__(self, text: str) -> bytes:
         found = [h for h in map(self.known.__getitem__, terms(text)) if h is not False]
-        return fingerprint(np.sort(np.array(found, np.int64)))
+        hashes = np.sort(np.array(found, np.int64))
+        made = fingerprint(hashes)
+        if len(made) > HEAD:
+            return made
+        whole = hashlib.sha256(hashes.tobytes() or text.encode()).digest()
+        return made + b"".join(bytes([LEVELS * PARTS + k]) + whole[7 * k:7 * k + 7] for k in range(4))
 
 
 def edited(text: str, after: str) -> str:
@@ -177,8 +186,8 @@ def neighbours(df: DataFrame, doc_id: str, text: str, function, schema: str) ->
 def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: ``(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next)``.
 
-    Null texts count as empty; a text without a term of the lexicon has a fingerprint without
-    slots, like only to its equals.  Equal texts have equal fingerprints.  Fingerprints are in hex.
+    Null texts count as empty; a text without a term of the lexicon has a digest of itself
+    in its slots and is like only to its equals.  Equal texts have equal fingerprints.  Fingerprints are in hex.
     """
     words = df.sparkSession.sparkContext.broadcast(lexicon(df, text))
     kind = df.schema[doc_id].dataType.simpleString()

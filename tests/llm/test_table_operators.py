@@ -203,6 +203,20 @@ def test_fingerprints(spark, odd):
     assert imatch.fingerprints(nulls).count() == 3
 
 
+def test_texts_without_terms_of_the_band_are_told_apart(spark):
+    texts = ["one two", "three four five", "three five four", "three five four", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")  # some terms are in more than a tenth
+    got = {r.doc_id: r for r in imatch.fingerprints(df).collect()}
+    assert [got[i].near_next for i in range(6)] == [0, 0, 1, 0, 1, 0] and got[1].near_edited == 0
+    assert len({r.fingerprint for r in got.values()}) == 4
+    words = [b"a%d" % k for k in range(1500)]
+    known = np.sort(np.array([imatch.xxhash.xxh3_64_intdigest(w) - 2**63 for w in words], np.int64))
+    printer, seen = imatch.Printer(known), {}
+    for k in range(0, 1500, 3):  # some have all terms in one part of the first level
+        text = b" ".join(words[k:k + 3]).decode()
+        assert seen.setdefault(printer(text), text) == text
+
+
 def test_lexicon_is_the_band(spark):
     docs = [(i, "all " + ("half " if i % 20 == 0 else "") + f"own{i}") for i in range(2000)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
