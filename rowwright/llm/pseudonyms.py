@@ -11,6 +11,7 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 
@@ -176,19 +177,32 @@ SHAPES = {
              r"\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4})(?![0-9])",
 }
 PATTERNS = {kind: re.compile(shape) for kind, shape in SHAPES.items()}
+#: Kinds with a check digit whose groups may be followed by groups of something else (an expiry, a code, BIC, a year).
+GROUPED = {"card", "iban"}
 #: Where something may begin; everything else is skipped without trying the shapes.
 BEGIN = re.compile(r"[0-9]|[+(][0-9]|[A-Z]{2}[0-9]{2}|(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@")
 
 
+def candidates(kind: str, text: str, at: int) -> Iterator[re.Match]:
+    """What may be a value of the kind at this place; numbers in groups also without their last groups, longest first."""
+    pattern = PATTERNS[kind]
+    hit = pattern.match(text, at)
+    if hit:
+        yield hit
+        for end in range(hit.end() - 1, at, -1) if kind in GROUPED else ():
+            if text[end] in " -" and (shorter := pattern.fullmatch(text, at, end)):
+                yield shorter
+
+
 def replace(text: str, formats: Formats, memo: dict) -> tuple[str, list[tuple[str, int, int, str]]]:
     """The text with pseudonyms, and per finding its kind, start and length in the old text, and pseudonym."""
     found, out, done, at = [], [], 0, 0
     while start := BEGIN.search(text, at):
         at = start.start()
-        for kind, pattern in PATTERNS.items():
-            hit = pattern.match(text, at)
-            new = hit and memo[kind, hit[0]]
-            if new:
+        for kind in PATTERNS:
+            hit = next((h for h in candidates(kind, text, at) if memo[kind, h[0]]), None)
+            if hit:
+                new = memo[kind, hit[0]]
                 found.append((kind, at, len(hit[0]), new))
                 out += text[done:at], new
                 done = at = hit.end()

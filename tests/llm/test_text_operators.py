@@ -127,6 +127,16 @@ def test_invalid_numbers_and_plain_texts_stay(spark):
         assert (r.text, r.n_found) == (plain[r.doc_id] or "", 0)
 
 
+@pytest.mark.parametrize("value, kind", [("4111 1111 1111 1111", "card"), ("4111-1111-1111-1111", "card"), ("5500 0000 0000 0004", "card"),
+                                         ("3782 822463 10005", "card"), ("BE68 5390 0754 7034", "iban"), ("DE89 3704 0044 0532 0130 00", "iban")])
+@pytest.mark.parametrize("after", ["", " 12/26", " 12 26", " 123", " 1234", " 2026", " BIC", " IBAN", " IBAN BIC", " KREDBEBB"])
+def test_numbers_are_found_before_other_groups(value, kind, after):
+    formats = pseudonyms.Formats(pseudonyms.Feistel(b"k").forward)
+    memo = pseudonyms.Memo(lambda hit: getattr(formats, hit[0])(hit[1]))
+    new, found = pseudonyms.replace(f"pay {value}{after}", formats, memo)
+    assert found == [(kind, 4, len(value), getattr(formats, kind)(value))] and new == f"pay {found[0][3]}{after}"
+
+
 def test_equal_values_stay_linked_and_texts_turn_back(spark):
     texts = ["Call +1 (743) 555-3824 or mail Anna.B@x.example.org!", "call +1-743-555-3824 on 04/05/2020, 2020-04-05", "227.5.221.1*** is up"] * 2
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
