@@ -42,6 +42,9 @@ MARKS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "bann
          "navbar", "navigation", "newsletter", "notice", "notices", "pagination", "pager", "popup", "promo", "promotion", "related",
          "respond", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget"}
 
+# elements that no name rules out, and parts of names that tell of a layout
+OPEN = {"html", "body", "article", "main"}
+LAYOUT = {"no", "has", "with"}
 # what repeats freely inside content; other siblings fold in runs longer than LONG only
 REPEATED, LONG = {"p", "li", "a", "b", "i", "em", "strong", "span", "img", "br", "tr", "td", "th", "dt", "dd", "option", "code", "hr"}, 8
 # nodes below are part of the one above when trees are aligned
@@ -118,15 +121,30 @@ def _close_implied(path: list[Node], tag: str) -> None:
 
 def never(node: Node) -> bool:
     """Whether a node by its tag, role or names never is content."""
+    return barred(node) or marked(node)
+
+
+def barred(node: Node) -> bool:
+    """By its tag or role, or hidden."""
     if node.tag in NEVER:
         return True
-    if not node.names or node.tag in ("html", "body", "article", "main"):
+    if not node.names or node.tag in OPEN:
         return False
     for name in node.names.lower().split():
         kind, _, value = name.partition("=")
         if kind == "hidden" or (kind == "role" and value in ROLES):
             return True
-        if kind != "role" and MARKS & set(re.split(r"[-_:]+", value or kind)):
+    return False
+
+
+def marked(node: Node) -> bool:
+    """By a class or id that is a mark or ends in one; ``no-sidebar`` and the like tell of the layout."""
+    if not node.names or node.tag in OPEN:
+        return False
+    for name in node.names.lower().split():
+        kind, _, value = name.partition("=")
+        *before, last = re.split(r"[-_:]+", value or kind)
+        if kind != "role" and last in MARKS and not LAYOUT & set(before):
             return True
     return False
 
@@ -179,18 +197,43 @@ def match(one: Fold, two: Fold) -> tuple[int, list[tuple[Fold, Fold]]]:
     return best[rows][columns] + 1, pairs
 
 
+def seek(start: Node, tag: str, deepest: bool = True) -> list[Node]:
+    """The outermost nodes of a tag or role below ``start`` that are below the fewest marked nodes (or, on request, below none)."""
+    out, stack = [], [(c, 0) for c in reversed(start.children) if not isinstance(c, str)]
+    while stack:
+        node, marks = stack.pop()
+        if node.tag == tag or f"role={tag}" in node.names:
+            out.append((marks, node))
+        elif not barred(node):
+            marks += marked(node)
+            stack += [(c, marks) for c in reversed(node.children) if not isinstance(c, str)]
+    least = min((marks for marks, _ in out), default=0) if deepest else 0
+    return [node for marks, node in out if marks == least]
+
+
+def shows(node: Node) -> bool:
+    """Whether there is text outside the parts that never are content."""
+    stack: list = list(node.children)
+    while stack:
+        at = stack.pop()
+        if isinstance(at, str):
+            if at.strip():
+                return True
+        elif not never(at):
+            stack += at.children
+    return False
+
+
 def articles(root: Node) -> list[Node]:
-    """The outermost nodes that hold the article: main or article elements, else the whole page."""
-    def seek(tags, roles):
-        out, stack = [], [root]
-        while stack:
-            node = stack.pop()
-            if node.tag in tags or any(f"role={r}" in node.names for r in roles):
-                out.append(node)
-            elif not never(node):
-                stack += [c for c in reversed(node.children) if not isinstance(c, str)]
-        return out
-    return seek({"article"}, ["article"]) or seek({"main"}, ["main"]) or [root]
+    """The outermost nodes that hold the article: article elements in main ones, main or article elements, else the whole page.
+
+    Articles beside a main element are teasers; those below a mark in it count if it has no other text.
+    """
+    mains = seek(root, "main")
+    out = []
+    for main in mains:
+        out += seek(main, "article", False) or (not shows(main) and seek(main, "article")) or [main]
+    return out or seek(root, "article") or [root]
 
 
 def content(root: Node, dropped: set[int]) -> str:

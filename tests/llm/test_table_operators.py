@@ -307,6 +307,24 @@ def test_pages():
     assert wrapper.extract(["<div>" * 3000 + "deep"]) == ["deep"]
 
 
+@pytest.mark.parametrize("names", ["site with-sidebar", "no-sidebar", "has-comments", "ad-free", "sidebar", "page widget"])
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_articles_below_named_wrappers_are_found(names, tag):
+    page = f'<div class="{names}"><{tag}><p>Text</p><div class="comments">reader</div></{tag}></div><div id="comments"><article>x</article></div>'
+    assert wrapper.extract([f"<body>{page}</body>", f"<body><{tag}>Text</{tag}><p>out</p></body>"]) == [
+        "Text" if tag == "main" or names not in ("sidebar", "page widget") else "Text\nx", "Text"]
+
+
+def test_teasers_do_not_hide_main():
+    teaser = "<article>teaser</article>"
+    assert wrapper.extract([f"<body>{teaser}<main><p>Text</p></main>{teaser}</body>"]) == ["Text"]
+    inside = "<main><p>in main</p><article>Text</article><div id=comments><article>reader</article></div></main>"
+    assert wrapper.extract([inside, inside.replace("<article>Text</article>", "")]) == ["Text", "in main"]
+    assert wrapper.extract(["<main><div class=widget><article>Text</article></div></main>"]) == ["Text"]
+    layout = "<div class='site with-sidebar'><p>Text</p><p class=sidebar>x</p></div>"
+    assert wrapper.extract([layout]) == ["Text"]
+
+
 def test_page_table(spark):
     rows = [(n, f"https://Host.example/{n}", PAGE.format(n=n), 1) for n in range(8)]
     rows += [(8, None, None, 1), (9, "no host", "", 1), (None, "https://other.example", "<p>x", 1), (3, *rows[3][1:])]
