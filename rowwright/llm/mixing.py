@@ -110,7 +110,9 @@ def mix(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str =
                                        F.expr("(seats % parts) * words div parts").alias("front")))
 
     before = Window.partitionBy(*SOURCE, "shard").orderBy("turn", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    line = placed.withColumn("start", F.coalesce(F.sum("size").over(before), F.lit(0)))
+    # rows without words take no place in a line, so any number of them needs no window
+    line = placed.filter("size > 0").withColumn("start", F.coalesce(F.sum("size").over(before), F.lit(0)))
+    line = line.unionByName(placed.filter("size = 0").withColumn("start", F.lit(0).cast("long")))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("front") - F.col("start")))
     copies = F.when(F.col("size") > 0, F.col("rounds") + (2 * part >= F.col("size")).cast("long")).otherwise(0)
     return line.join(quotas, [*SOURCE, "shard"]).select(

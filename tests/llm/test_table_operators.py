@@ -156,6 +156,13 @@ def test_mix_equals_sql_on_several_shards(spark, odd, monkeypatch):
     assert difference(mixing.mix(odd, shard=500).select(*columns), db, small) is None
 
 
+def test_mix_lines_up_rows_with_words_only(spark, odd):
+    plan = mixing.mix(odd)._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Filter .*size#\d+L > 0", plan[plan.index("Window"):])
+    empty = mixing.mix(spark.range(50).selectExpr("cast(null as long) doc_id", "if(id < 40, '', 'a b') text", "'s' source")).collect()
+    assert len(empty) == 50 and all(r.taken == r.size for r in empty) and sum(r.size for r in empty) == 20
+
+
 def test_quality_learns_without_held_out_labels(spark, folder):
     docs, labels = (queries.table(spark, "/root/testdata/sf0.01", t) for t in ("documents", "labels"))
     got = {r.doc_id: r for r in gam.quality(docs, labels).collect()}
