@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-#: Rows of output per record batch.
-OUT_ROWS = 2_000
+#: Rows of output per record batch, and of input that are Python objects at a time.
+OUT_ROWS, IN_ROWS = 2_000, 256
 
 
 class Memo(dict):
@@ -67,7 +67,8 @@ def map_rows(df: DataFrame, function: Callable[[Iterator[tuple]], Iterable[tuple
     def run(batches):
         def rows():
             for batch in batches:
-                yield from zip(*[c.to_pylist() for c in batch.columns], strict=True)
+                for at in range(0, batch.num_rows, IN_ROWS):  # whole texts become Python objects a few at a time
+                    yield from zip(*[c.to_pylist() for c in batch.slice(at, IN_ROWS).columns], strict=True)
         return as_batches(function(rows()), arrow, size)
 
     return df.mapInArrow(run, schema)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, gam, imatch, lbl, minmax, mixing, pseudonyms, recipes, sql, wordpiece, wrapper
+from . import bpe, crosstok, feast, gam, imatch, lbl, linebloom, minmax, mixing, pseudonyms, recipes, sql, wordpiece, wrapper
 
 #: A key for demonstration; a deployment passes its own secret.
 KEY = b"replace this key"
@@ -59,5 +60,24 @@ def op10_log_bilinear(spark: SparkSession, folder: str) -> DataFrame:
     return lbl.score_texts(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pseudonyms, op2_byte_bpe, op3_wrapper, op4_token_counts, op5_exact_copies, op6_mix, op7_quality, op8_imatch, op9_near_copies, op10_log_bilinear)}
+def op11_feast(spark: SparkSession, folder: str) -> DataFrame:
+    found = feast.whiten(table(spark, folder, "embeddings"))
+    return found.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op12_common_lines(spark: SparkSession, folder: str) -> DataFrame:
+    found = linebloom.drop_common_lines(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    found = crosstok.aligned(
+        table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.path("piece_bpe_32k.model"), keep=lambda groups: F.sha2(groups, 256))
+    return found.withColumnRenamed("groups", "groups_sha256")
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_pseudonyms, op2_byte_bpe, op3_wrapper, op4_token_counts, op5_exact_copies, op6_mix, op7_quality, op8_imatch,
+    op9_near_copies, op10_log_bilinear, op11_feast, op12_common_lines, op13_token_alignment)}
 SQL = {name: text for name, text in sql.SQL.items() if name in QUERIES}

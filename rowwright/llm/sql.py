@@ -52,4 +52,13 @@ n AS (SELECT p.*, seats // parts AS rounds, ((seats % parts) * words) // parts A
     WINDOW w AS (PARTITION BY p.bare, p.name, p.shard ORDER BY turn, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 SELECT doc_id, size::BIGINT AS size, source_size, target, (rounds * size + greatest(0, least(size, front - start)))::BIGINT AS taken FROM n"""
 
-SQL = {"op5_exact_copies": OP5, "op6_mix": OP6, "op9_near_copies": OP9}
+OP12 = r"""WITH l AS (
+  SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS place FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents)),
+k AS (SELECT *, translate(trim(line, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+c AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+r AS (SELECT k.*, keeper IS NULL OR doc_id = keeper AS stays FROM k LEFT JOIN c ON k.key = c.key)
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (NOT stays)::BIGINT AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (stays), '')) AS kept_sha256 FROM r GROUP BY doc_id"""
+
+SQL = {"op5_exact_copies": OP5, "op6_mix": OP6, "op9_near_copies": OP9, "op12_common_lines": OP12}
