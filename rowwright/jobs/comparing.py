@@ -11,6 +11,7 @@ from ..functions.names import col, is_binary_float, kind_of
 from ..functions.ranking import COPIES, COPY, rank_in_groups, repeat_rows
 from ..functions.text import to_text
 from ..session import cut_lineage
+from .matching import pairable
 
 # Absolute and relative tolerance of numbers.
 ABSOLUTE, RELATIVE = 1e-6, 1e-5
@@ -82,16 +83,19 @@ def grid_cell(number: Column, tolerance: float = ABSOLUTE) -> Column:
     return F.rint(number / F.lit(tolerance)) if tolerance > 0 else number
 
 
-def _leftovers(left: DataFrame, right: DataFrame, exact: list[str], numbers: list[str],
-               kinds: dict[str, str], tolerance: float) -> DataFrame:
+def _both_sides(left: DataFrame, right: DataFrame, exact: list[str], kinds: dict[str, str]) -> DataFrame:
+    """The comparable columns of all rows, with their ``SIDE``."""
+    shared = {n: _wider(left.schema[n].dataType, right.schema[n].dataType) for n in exact}
+    return left.select(*_comparable(left, kinds, shared), F.lit(0).alias(SIDE)).unionByName(
+        right.select(*_comparable(right, kinds, shared), F.lit(1).alias(SIDE)))
+
+
+def _leftovers(both: DataFrame, exact: list[str], numbers: list[str], tolerance: float) -> DataFrame:
     """What remains of both sides when rows that agree within the tolerance have cancelled out.
 
     One shuffle of partial counts over exact columns and grid cells; of a cell with more
     rows on one side the surplus is kept, with its ``COPIES``.  Stored, as it is read twice.
     """
-    shared = {n: _wider(left.schema[n].dataType, right.schema[n].dataType) for n in exact}
-    both = left.select(*_comparable(left, kinds, shared), F.lit(0).alias(SIDE)).unionByName(
-        right.select(*_comparable(right, kinds, shared), F.lit(1).alias(SIDE)))
     cells = [grid_cell(col(n), tolerance).alias(f"__cell{i}") for i, n in enumerate(numbers)]
     least = [F.min(F.when(F.col(SIDE) == side, col(n))).alias(f"__{mark}{i}")
              for i, n in enumerate(numbers) for side, mark in ((0, "a"), (1, "b"))]
@@ -139,10 +143,12 @@ def compare_tables(left: DataFrame, right: DataFrame, store: bool = False, toler
 
     Rows cancel out where they agree in all exact columns and in the grid cells of all
     numbers, so noise in several columns at once does no harm.  What is left is paired by
-    order within its exact columns; there a pair that differs by the relative tolerance in
-    one column may still meet another row's value in the next.
+    order within its exact columns.  Where that finds values too far apart, all rows with the same exact columns
+    are matched (``matching.pairable``): if they can be paired one to one within the tolerance in every
+    column, in whatever order, they are equal; if not, the pairs by order are counted.
 
-    Each table is read once; if the counts differ, once more to count its rows.
+    Each table is read once; if the counts differ, once more to count its rows, and if pairs by order
+    fail, once more for the rows that are matched.
     ``store=True`` puts them into the shared folder first, for tables that are costly to compute.
     """
     spark = left.sparkSession
@@ -155,9 +161,35 @@ def compare_tables(left: DataFrame, right: DataFrame, store: bool = False, toler
         left, right = cut_lineage(left), cut_lineage(right)
     kinds = _plan_columns(left, right)
     exact, numbers = ([n for n, k in kinds.items() if (k == "number") == is_number] for is_number in (False, True))
-    rest = _leftovers(left, right, exact, numbers, kinds, tolerance)
+    both = _both_sides(left, right, exact, kinds)
+    rest = _leftovers(both, exact, numbers, tolerance)
     surplus = rest.agg(F.sum(F.when(F.col(SIDE) == 0, F.col(COPIES)).otherwise(-F.col(COPIES)))).first()[0]
     sizes = (str(left.count()), str(right.count())) if surplus else ("", "")
+    found = _report(rest, exact, numbers, sizes, tolerance, relative).collect()
+    if any(r.check == "values" for r in found):
+        failing = _failing(_aligned(rest, exact, numbers), exact, numbers, tolerance, relative)
+        equal = cut_lineage(pairable(both, failing, exact, numbers, SIDE, tolerance, relative))
+        if not equal.isEmpty():
+            same = [col(n).eqNullSafe(F.col(f"__e{i}")) for i, n in enumerate(exact)]
+            equal = equal.toDF("__group", *[f"__e{i}" for i in range(len(exact))])
+            rest = rest.join(equal, same, "left_anti") if exact else rest.limit(0)
+            found = _report(rest, exact, numbers, sizes, tolerance, relative).collect()
+    return spark.createDataFrame(found, REPORT)
+
+
+def _failing(aligned: DataFrame, exact: list[str], numbers: list[str], tolerance: float, relative: float) -> DataFrame:
+    """Exact columns of rows that all have a partner by order, some of them too far off."""
+    apart = F.lit(False)
+    for i in range(len(numbers)):
+        apart = apart | ~close(F.col(f"__a{i}"), F.col(f"__b{i}"), tolerance, relative)
+    whole = F.col(IN_LEFT).isNotNull() & F.col(IN_RIGHT).isNotNull()
+    judged = aligned.groupBy(*[col(n) for n in exact]).agg(F.bool_and(whole).alias("__whole"), F.bool_or(apart).alias("__apart"))
+    return judged.filter("__whole AND __apart").select(*[col(n) for n in exact])
+
+
+def _report(rest: DataFrame, exact: list[str], numbers: list[str], sizes: tuple[str, str], tolerance: float,
+            relative: float) -> DataFrame:
+    """The failed checks of leftover rows, paired by order."""
     aligned = _aligned(rest, exact, numbers)
     in_left, in_right = F.col(IN_LEFT).isNotNull(), F.col(IN_RIGHT).isNotNull()
     shown = F.to_json(F.struct(*[col(n) for n in exact])) if exact else F.lit("row")

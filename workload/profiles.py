@@ -167,6 +167,19 @@ def diff_large_groups(t):
     return comparing.compare_tables(rows, raised).select("check", "column", "mismatches")
 
 
+# two rows an order: the right side's cross over in one column, within the tolerance of about 1, and the other column
+# tells them apart; in some orders no pairing fits
+@query("""SELECT 'values' AS "check", 'y' AS "column", 2 * count(*) AS mismatches FROM orders WHERE o_custkey % 10 = 3 HAVING count(*) > 0""")
+def diff_matching(t):
+    def rows(*pairs):
+        listed = F.array(*[F.struct((100000 + F.lit(x)).alias("x"), y.alias("y")) for x, y in pairs])
+        return t("orders").select("o_orderkey", "o_custkey", F.inline(listed)).select("o_orderkey", "x", "y")
+
+    one, two = F.lit(1.0), F.lit(2.0)
+    off = F.when(F.col("o_custkey") % 10 == 3, 6.0).otherwise(1.0)
+    return comparing.compare_tables(rows((0.0, one), (0.5, two)), rows((0.6, off), (0.4, two))).select("check", "column", "mismatches")
+
+
 # every order is a small result table of two rows; some of them differ from their target
 @query("""SELECT 'order ' || o_orderkey AS item,
  CASE WHEN o_custkey % 10 = 7 THEN 'error' WHEN o_custkey % 10 IN (1, 2, 3, 4) THEN 'partial' ELSE 'success' END AS status,
