@@ -110,3 +110,8 @@ def to_moment(column: Column, dtype: T.DataType, layouts=DATE_LAYOUTS, iso: bool
     if parsed and None not in shapes:  # one test for all layouts spares most texts the single ones
         parsed = [F.when(column.rlike(f"^(?:{'|'.join(shapes)})$"), F.coalesce(*parsed))]
     return F.coalesce(*tries, *parsed)
+
+
+def whole_below(value: Column) -> Column:
+    """The greatest whole number not above a double, as a double of any size; no negative zero."""
+    return F.when(F.abs(value) < 2.0**52, F.floor(value).cast("double")).otherwise(value) + F.lit(0.0)

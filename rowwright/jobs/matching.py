@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.convert import whole_below
 from ..functions.names import col
 from ..session import cut_lineage
 from .keygraph import components
@@ -31,10 +32,10 @@ def tolerance_cell(number: Column, tolerance: float, relative: float) -> Column:
     if tolerance <= 0 and relative <= 0:
         return number + F.lit(0.0)  # no negative zero
     if relative <= 0:
-        return F.rint(number / F.lit(tolerance) - 0.5) + F.lit(0.0)
+        return whole_below(number / F.lit(tolerance))
     width = math.log1p(relative) * (1 - 1e-9)
     if tolerance > 0:
-        return F.rint(F.signum(number) * F.log1p(size * F.lit(relative / tolerance)) / F.lit(width) - 0.5) + F.lit(0.0)
+        return whole_below(F.signum(number) * F.log1p(size * F.lit(relative / tolerance)) / F.lit(width))
     # only zero is near zero: the cells of either sign begin far from it
     steps = F.rint(F.log(size) / F.lit(width)) + F.lit(1e4 / width)
     return F.when(number == 0, F.lit(0.0)).otherwise(F.signum(number) * steps)

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions.names import col, is_binary_float, kind_of, nan_as_null, reject_ambiguous, require_columns
 from ..functions.text import to_text
+from .ranges import bounds, range_join
 
 JOIN_KINDS = ("inner", "left", "right", "outer", "cross")
 HOT_ROWS = 1000  # keys with fewer rows are never worth a join of their own
@@ -30,13 +31,13 @@ def join_tables(left: DataFrame, right: DataFrame, left_on: str | None = None, r
     ``hot_keys`` chooses a plan, never a result.  ``"adaptive"`` leaves hot keys to adaptive
     execution, which can split either side of an inner join, but not both sides of an
     outer join.  ``"split"`` joins keys with more rows than a shuffle partition holds on
-    average (and more than ``HOT_ROWS``) apart; each side's keys are read once more to
-    find them.  ``"auto"`` splits outer joins.  A side goes to all executors only if it
+    average (and more than ``HOT_ROWS``) apart; a sketch of both sides' keys finds them, and the rows
+    of those it names are counted.  ``"auto"`` splits outer joins.  A side goes to all executors only if it
     measures at most ``BROADCAST_ROWS`` and ``BROADCAST_BYTES``.
     """
     if how not in JOIN_KINDS:
         raise ValueError(f"join: unknown kind {how!r}; known are {JOIN_KINDS}")
-    if isinstance(on, str) and on and re.search("[<>=]", on):
+    if isinstance(on, str) and re.search(r"[<>=]|\sbetween\s", on, re.IGNORECASE):
         return _join_on_condition(left, right, on, how, suffixes, names)
     if how == "cross":
         return _finish(_small_side_hint(*_numbered(left, right)), left, right, None, how, suffixes)
@@ -96,8 +97,12 @@ def _finish(joined: DataFrame, left: DataFrame, right: DataFrame, keys, how: str
 
 
 def _join_on_condition(left: DataFrame, right: DataFrame, condition: str, how: str, suffixes, names) -> DataFrame:
-    """Equalities in the condition become hash or merge keys, the rest filters matches."""
+    """Equalities in the condition become hash or merge keys, the rest filters matches.  Without any, two
+    comparisons that bound a pair from both sides join by buckets (``ranges``); one alone is a nested loop."""
     a, b = left.alias(names[0]), right.alias(names[1])
+    ends = bounds(a, b, condition, names)
+    if ends and not any(c.startswith("__") for c in left.columns + right.columns):
+        return _finish(range_join(a, b, condition, how, names, ends), left, right, None, how, suffixes)
     joined = a.join(b, F.expr(condition), "inner" if how == "cross" else how)
     numbered = joined.select(
         *[F.col(f"{names[0]}.`{c}`").alias(f"l{i}") for i, c in enumerate(left.columns)],
@@ -123,20 +128,32 @@ def _small_side_hint(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 # -- hot keys ----------------------------------------------------------------------
-def _hot_values(df: DataFrame, key: str) -> list:
-    """Keys above the mean load of a shuffle partition; there are fewer than partitions.
+def _hot_counts(a: DataFrame, b: DataFrame, keys: tuple[str, str]) -> tuple[dict, dict]:
+    """Keys above the mean load of a shuffle partition on either side, with ``(rows, bytes)`` of each side that has them.
 
-    Counts per hash bucket find the buckets that could hold one; only their keys are counted.
+    A sketch of frequent items (a hash of the key) over both sides, in one job, names candidates: it tracks enough
+    items that a key above the mean load of a partition cannot be missing.  Only rows of candidates are counted, in a second.
     """
-    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bucket = F.pmod(F.xxhash64(key), F.lit(4 * width))
-    loads = dict(map(tuple, df.groupBy(bucket.alias("bucket")).count().collect()))
-    bound = max(HOT_ROWS, sum(loads.values()) / width)
-    full = [b for b, n in loads.items() if n > bound]
-    if not full:
-        return []
-    counted = df.filter(bucket.isin(*full)).groupBy(key).count().filter(F.col("count") > bound)
-    return [r[0] for r in counted.collect()]
+    width = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hashed = [df.select(F.xxhash64(key).alias("hash"), F.lit(side).alias("side")) for side, (df, key) in enumerate(zip((a, b), keys, strict=True))]
+    sketch = F.expr(f"approx_top_k(hash, {2 * width}, {max(64, 16 * width)})")
+    rows = hashed[0].unionAll(hashed[1]).groupBy("side").agg(sketch.alias("top"), F.count("*").alias("n")).collect()
+    bounds_of = {r.side: max(HOT_ROWS, r.n / width) for r in rows}
+    candidates = {t["item"] for r in rows for t in r.top if t["count"] > 0.7 * bounds_of[r.side]}
+    if not candidates:
+        return {}, {}
+    some = F.col("hash").isin(*candidates)
+    parts = []
+    for side, (df, key) in enumerate(zip((a, b), keys, strict=True)):
+        size = F.octet_length(F.to_json(F.struct("*")))
+        parts.append(df.withColumn("hash", F.xxhash64(key)).filter(some).drop("hash").groupBy(F.col(key).alias("key")).agg(
+            F.count("*").alias("n"), F.sum(size).alias("bytes")).select(F.lit(side).alias("side"), F.struct("key").alias(f"key{side}"), "n", "bytes"))
+    found = parts[0].unionByName(parts[1], allowMissingColumns=True).collect()
+    counts: tuple[dict, dict] = ({}, {})
+    for r in found:
+        counts[r.side][(r.key0 if r.side == 0 else r.key1).key] = (r.n, r.bytes)
+    hot = {k for side in (0, 1) for k, (n, _) in counts[side].items() if n > bounds_of.get(side, 0)}
+    return tuple({k: v for k, v in c.items() if k in hot} for c in counts)
 
 
 def _is_one_of(key: str, values: list, dtype: T.DataType) -> Column:
@@ -146,8 +163,10 @@ def _is_one_of(key: str, values: list, dtype: T.DataType) -> Column:
     return hit | F.col(key).isNull() if None in values else hit
 
 
-def _counts_of(df: DataFrame, key: str, hot: Column) -> dict:
-    return {r[0]: r[1] for r in df.filter(hot).groupBy(key).count().collect()}
+def _fits(counts: dict, keys: list) -> bool:
+    """Whether the counted rows of some keys may go to every executor."""
+    rows, size = (sum(counts[k][i] or 0 for k in keys) for i in (0, 1))
+    return rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES
 
 
 def _join_split(a: DataFrame, b: DataFrame, keys: tuple[str, str], how: str, match_nulls: bool) -> DataFrame:
@@ -158,19 +177,19 @@ def _join_split(a: DataFrame, b: DataFrame, keys: tuple[str, str], how: str, mat
     execution may split either side.  A hot key on one side only needs no join.
     """
     types = (a.schema[keys[0]].dataType, b.schema[keys[1]].dataType)
-    values = list(dict.fromkeys(_hot_values(a, keys[0]) + _hot_values(b, keys[1])))
+    count_a, count_b = _hot_counts(a, b, keys)
+    values = list(dict.fromkeys([*count_a, *count_b]))
     if not values:
         return a.join(b, _same(*keys, match_nulls), how)
     hot_a, hot_b = _is_one_of(keys[0], values, types[0]), _is_one_of(keys[1], values, types[1])
-    count_a, count_b = _counts_of(a, keys[0], hot_a), _counts_of(b, keys[1], hot_b)
     both = [v for v in values if v in count_a and v in count_b and (match_nulls or v is not None)]
     pieces = [a.filter(~hot_a).join(b.filter(~hot_b), _same(*keys, match_nulls), how)]
     if both:
         one = a.filter(_is_one_of(keys[0], both, types[0]))
         two = b.filter(_is_one_of(keys[1], both, types[1]))
-        if sum(count_b[v] for v in both) <= BROADCAST_ROWS and _is_small(two):
+        if _fits(count_b, both):
             two = F.broadcast(two)
-        elif sum(count_a[v] for v in both) <= BROADCAST_ROWS and _is_small(one):
+        elif _fits(count_a, both):
             one = F.broadcast(one)
         pieces.append(one.join(two, _same(*keys, match_nulls)))
     alone_a = [v for v in values if v in count_a and v not in both]

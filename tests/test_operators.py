@@ -1,5 +1,7 @@
 """Operators against the data-frame rules they follow, with gaps and a hot key."""
 
+import random
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -312,3 +314,25 @@ def test_sql_words_follow_the_same_rules(spark, text, kept):
 def test_single_comparison_with_odd_names(spark):
     df = spark.createDataFrame([(1, "a b"), (5, "c")], "`unit price` int, w string")
     assert rw.filter_rows(df, "unit price > 3").count() == rw.filter_rows(df, "w == a b").count() == 1
+
+
+def test_joins_on_ranges_are_the_plain_joins(spark):
+    rng = random.Random(2)
+
+    def value():
+        odd = [None, 0.0, 8.0, 16.0, 64.0, float("inf"), float("-inf"), float("nan")]
+        return rng.choice(odd) if rng.random() < 0.2 else round(rng.choice([20, 2000]) * rng.uniform(-1, 1), 1)
+
+    left = spark.createDataFrame([(i, value(), value()) for i in range(90)], "id int, p double, q double")
+    rows = [(i, value(), value()) for i in range(90)] + [(100 + i, float(i), float(i + rng.choice([0, 1, 8, 64]))) for i in range(30)]
+    right = spark.createDataFrame(rows, "id int, lo double, hi double")
+    for n, condition in enumerate(["x.p >= y.lo AND x.p < y.hi", "x.p between y.lo and y.hi", "x.p <= y.hi AND x.q >= y.lo",
+                                   "y.lo <= x.p and x.q <= y.hi and x.id > y.id", "y.lo - 1 < p AND lo + 1 > x.p"]):
+        for how in ("inner", "left", "right", "outer")[n % 2::2]:
+            got = rw.join_tables(left, right, on=condition, how=how, names=("x", "y"))
+            want = left.alias("x").join(right.alias("y"), F.expr(condition), how)
+            assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, map(tuple, want.collect()))), condition
+            assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+    one_sided = rw.join_tables(left, right, on="x.p >= y.lo", names=("x", "y"))
+    assert one_sided.count() == left.join(right, left.p >= right.lo).count()
+    assert rw.join_tables(left.limit(0), right, on="x.p between y.lo and y.hi", how="outer", names=("x", "y")).count() == right.count()
