@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import RANGE, draw, draw_name, share
+from ..functions.hashing import RANGE, RANGE_BITS, draw, draw_name, share
 from ..functions.names import col
 from ..functions.ranking import rank_by_draw
 
@@ -14,7 +16,8 @@ OVERLAP_KEYS = 1 / 3
 BASE_ROWS, OVERLAP_ROWS, NULLED_ROWS = 0.6, 0.3, 0.1
 LOW_SHARE, MIDDLE_SHARE, SINGLE_STEP_SHARE = 0.15, 0.55, 0.6
 DRAW = "__draw"
-TOP_N = 10_000  # largest sample taken as a top-n
+TOP_N = 10_000  # largest sample taken as a top-n, and rows looked at one by one
+SLICE_BITS = 12  # leading bits of draws that are counted at a time
 
 
 def weighted_choice(key: Column, weights: dict[str, float], seed: object = 0) -> Column:
@@ -28,16 +31,65 @@ def weighted_choice(key: Column, weights: dict[str, float], seed: object = 0) ->
     return F.lit(names[-1]) if choice is None else choice.otherwise(names[-1])
 
 
+def first_drawn(df: DataFrame, group: Column, key: Column, limits: dict[object, int], seed: object = 0) -> Column:
+    """A condition for the ``limits[g]`` rows of each group ``g`` that are drawn first; ties of draws follow the key.
+
+    Counts of draws by their leading bits find the slice in which a group's last row lies, further bits inside
+    that slice find it closer, until the rows there are few enough to look at.  Nothing is shuffled but counts, and the
+    sample itself is a filter on the rows where they are.  ``key`` identifies the rows; rows without key are never drawn.
+    """
+    drawn = df.select(group.alias("g"), draw(key, seed).alias("d"), key.alias("k"))
+    ends: dict[object, tuple] = {}  # draw and key of the last row taken
+    still = {g: (0, n) for g, n in limits.items() if n > 0}  # start of the slice, rows wanted from it
+    bits = RANGE_BITS
+    while still:
+        width = max(0, bits - SLICE_BITS)
+        inside = reduce(Column.__or__, [(F.col("g") == g) & (F.shiftright("d", bits) == low >> bits) for g, (low, _) in still.items()])
+        found = drawn.filter(inside).groupBy("g", F.shiftright("d", width).alias("slice")).count().collect()
+        held: dict[object, dict[int, int]] = {g: {} for g in still}
+        for r in found:
+            held[r.g][r.slice] = r["count"]
+        open_rows = 0
+        for g, (_, wanted) in list(still.items()):
+            for at in sorted(held[g]):
+                if wanted <= held[g][at]:
+                    break
+                wanted -= held[g][at]
+            else:  # the group has no more rows than are wanted of it
+                ends[g] = (RANGE, None)
+                del still[g]
+                continue
+            still[g] = (at << width, wanted)
+            open_rows += held[g][at]
+        bits = width
+        if still and (open_rows <= TOP_N or not bits):
+            inside = reduce(Column.__or__, [(F.col("g") == g) & (F.shiftright("d", bits) == low >> bits) for g, (low, _) in still.items()])
+            near = drawn.filter(inside)
+            for g, (_, wanted) in still.items() if open_rows > TOP_N else ():
+                last = near.filter(F.col("g") == g).orderBy("k").limit(wanted).agg(F.max("d"), F.max("k")).first()
+                ends[g] = tuple(last)
+            if open_rows <= TOP_N:
+                rows = near.orderBy("d", "k").collect()
+                for g, (_, wanted) in still.items():
+                    last = [r for r in rows if r.g == g][wanted - 1]
+                    ends[g] = (last.d, last.k)
+            break
+    number, taken = draw(key, seed), F.lit(False)
+    for g, (d, k) in ends.items():
+        tied = F.lit(False) if k is None else (number == d) & (key <= F.lit(k))
+        taken = taken | ((group == g) & ((number < F.lit(d).cast("bigint")) | tied))
+    return taken
+
+
 def sample_rows(df: DataFrame, key: str, n: int, seed: object = 0) -> DataFrame:
     """``n`` rows without replacement; ``key`` identifies the rows.
 
     A small sample is a distributed top-n; a large one would meet in one task there,
-    so it is cut by a parallel ranking instead.
+    so it is cut by counts of draws instead.
     """
     if n <= TOP_N:
         return df.orderBy(draw(col(key), seed), col(key)).limit(n)
-    ranked = rank_by_draw(df.withColumn(DRAW, draw(col(key), seed)), [], DRAW, [key], "__n")
-    return ranked.filter(F.col("__n") <= n).drop(DRAW, "__n")
+    return df.filter(first_drawn(df, F.lit(0), col(key), {0: n}, seed))
 
 
 def sample_rounds(df: DataFrame, key: str, n: int, seed: object = 0) -> DataFrame:
@@ -93,7 +145,5 @@ def stratum(complexity: Column) -> Column:
 
 def stratified_quota(tasks: DataFrame, key: str, complexity: str, n: int, seed: object = 0) -> DataFrame:
     """A sample of ``n`` tasks with fixed shares per difficulty."""
-    drawn = tasks.withColumn("stratum", stratum(col(complexity))).withColumn(DRAW, draw(col(key), seed))
-    ranked = rank_by_draw(drawn, ["stratum"], DRAW, [key], "__n")
-    limits = F.create_map(*[F.lit(x) for pair in quotas(n).items() for x in pair])
-    return ranked.filter(F.col("__n") <= limits[F.col("stratum")]).drop(DRAW, "__n")
+    named = stratum(col(complexity))
+    return tasks.withColumn("stratum", named).filter(first_drawn(tasks, named, col(key), quotas(n), seed))

@@ -9,10 +9,12 @@ from __future__ import annotations
 import os
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import as_list, col
+from ..session import cut_lineage
+from .records import BLOCK, csv_records
 from .tables import cap_columns, read_csv
 
 NESTED_SCHEMA = "{id} string, `table` struct<columns: array<string>, data: array<array<string>>>"
@@ -56,35 +58,38 @@ def read_table_folder(spark: SparkSession, path: str | list[str], max_columns: i
     """Cells of a folder of CSV files with different headers; ``item`` is the file's path below the
     folder (below what all given paths have in common, if there are several).
 
-    The files are read as text columns, as many as the line with most commas can have, which
-    takes a narrow pass of its own; ``max_columns`` spares it and cuts wider files.  A file is never
-    split, so the running id grows within it and its least id marks the header line.
+    Large files are split over tasks, line breaks inside cells included (``records.csv_records``); their records are
+    stored once.  They are read as text columns, as many as the record with most commas can have;
+    ``max_columns`` cuts wider files.
     """
+    records = cut_lineage(csv_records(spark, path).select(_below(path, F.col("file")).alias("item"), *BLOCK, "number", "record"))
     if max_columns is None:
-        cells = F.max(F.size(F.split("value", ",")))
-        max_columns = spark.read.text(path).agg(cells.alias("n")).first().n or 1
+        max_columns = records.agg(F.max(F.size(F.split("record", ","))).alias("n")).first().n or 1
     width = ", ".join(f"c{i} string" for i in range(max_columns))
-    lines = spark.read.schema(width).options(header=False, multiLine=True, escape='"').csv(path)
-    lines = lines.select(
-        _below(path).alias("item"),
-        F.monotonically_increasing_id().alias("line"),
-        F.array(*[F.col(f"c{i}") for i in range(max_columns)]).alias("values"),
-    )
-    headers = lines.groupBy("item").agg(F.min_by("values", "line").alias("names"), F.min("line").alias("first"))
-    rows = lines.join(headers, "item").filter(F.col("line") > F.col("first"))
-    cells = rows.select("item", (F.col("line") - F.col("first") - 1).alias("row"),
-                        F.posexplode(F.arrays_zip("names", "values")))
+    parsed = F.from_csv("record", width, {"escape": '"', "multiLine": "true"})
+    values = F.array(*[parsed[f"c{i}"] for i in range(max_columns)]).alias("values")
+    # a record's place in its file: those in earlier blocks and those before it in its own
+    earlier = Window.partitionBy("item", "file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = records.groupBy("item", *BLOCK).agg(F.count("*").alias("n"))
+    first = counts.select("item", *BLOCK, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"))
+    inside = Window.partitionBy("item", *BLOCK).orderBy("number")
+    placed = records.select("item", *BLOCK, "number", values).withColumn("at", F.row_number().over(inside))
+    placed = placed.join(first, ["item", *BLOCK]).select("item", (F.col("first") + F.col("at") - 2).alias("row"), "values")
+    headers = records.groupBy("item").agg(F.min_by("record", F.struct(*BLOCK, "number")).alias("record")).select(
+        "item", values.alias("names"))
+    rows = placed.filter("row >= 0").join(headers, "item")
+    cells = rows.select("item", "row", F.posexplode(F.arrays_zip("names", "values")))
     return cells.select(
         "item", "row", F.col("pos").alias("position"),
         F.col("col.names").alias("column"), F.col("col.values").alias("value"),
     ).filter(F.col("column").isNotNull())
 
 
-def _below(path: str | list[str]):
-    """The decoded path of a row's file without the folder that was read."""
+def _below(path: str | list[str], file: Column) -> Column:
+    """The decoded path of a file without the folder that was read."""
     folders = [re.split(r"[*?\[{]", re.sub(r"^[a-z0-9+.-]+:(//[^/]*)?", "", p))[0] for p in as_list(path)]
     folder = folders[0].rstrip("/") if len(folders) == 1 else os.path.commonpath(folders)
-    whole = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    whole = F.url_decode(F.replace(file, F.lit("+"), F.lit("%2B")))
     at = F.locate(f"{folder}/", whole)
     name = F.element_at(F.split(whole, "/"), -1)
     return F.when(at > 0, F.substr(whole, at + F.lit(len(folder) + 1))).otherwise(name)

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.names import TIME_TYPES, as_list, col, is_binary_float, reject_ambiguous
+from ..functions.names import TIME_TYPES, as_list, col, is_binary_float, quoted, reject_ambiguous
+from .records import csv_records
 
 
 def missing_as_null(df: DataFrame) -> DataFrame:
@@ -33,8 +34,11 @@ def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType |
     Without a schema a pass of its own infers numbers, truth values and text; dates
     stay text, to be cast by name, unless ``dates=True``.  Name a schema for large
     files.  ``index_column`` drops the first column.  Cells that hold line breaks need
-    ``multiline=True``, which gives every file to one task; without it large files split.
+    ``multiline=True``; with a schema such files are split over tasks, too, at a shuffle of their text
+    (``records.csv_records``), without one each is read by one task.
     """
+    if multiline and schema is not None:
+        return _read_csv_records(spark, path, schema, index_column, options)
     reader = spark.read.options(header=True, escape='"', multiLine=multiline, **options)
     if schema is None:
         found = reader.option("inferSchema", True).csv(path).schema
@@ -48,6 +52,16 @@ def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType |
     return missing_as_null(df)
 
 
+def _read_csv_records(spark: SparkSession, path: str | list[str], schema: T.StructType | str, index_column: bool, options: dict) -> DataFrame:
+    schema = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+    reject_ambiguous(schema.names, "read_csv")
+    records = csv_records(spark, path).filter("NOT (block = 0 AND number = 1)")
+    written = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in schema.fields)
+    cells = F.from_csv("record", written, {"escape": '"', "multiLine": "true", **{k: str(v) for k, v in options.items()}})
+    df = records.select(cells.alias("row")).select(*[F.col("row").getField(n).alias(n) for n in schema.names])
+    return missing_as_null(df.drop(schema.names[0]) if index_column else df)
+
+
 def _read_type(inferred: T.DataType, dates: bool) -> T.DataType:
     if isinstance(inferred, T.IntegralType):
         return T.LongType()

@@ -1,16 +1,19 @@
 """Sources and sinks on small files."""
 
+import csv
 import json
+import random
 
 import pandas as pd
 import pytest
 from frames import assert_same, random_frame, rows_of, to_spark
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rowwright.jobs import evaluation
 from rowwright.session import scratch_path, shared_folder
-from rowwright.sources import nested, sinks, tables
+from rowwright.sources import nested, records, sinks, tables
 
 
 def test_csv_types_follow_data_frames(spark, tmp_path):
@@ -125,3 +128,26 @@ def test_scratch_paths_lie_in_the_shared_folder(spark):
     one, two = scratch_path(spark, "x"), scratch_path(spark, "x")
     assert one != two and one.startswith(shared_folder(spark).rstrip("/"))
     assert rows_of(spark.range(2))[0] == ["id"]
+
+
+def test_one_csv_file_in_many_tasks(spark, tmp_path):
+    rng = random.Random(8)
+    pieces = ["word", "a,b", 'say "yes"', "line\nbreak", "\n\n", "", "x" * 300, '"', "é\r\n", ","]
+    rows = [(i, "".join(rng.choice(pieces) for _ in range(rng.randint(0, 5))), i % 7) for i in range(400)]
+    rows[17] = (17, "long\n" * 2000, 3)  # covers whole blocks
+    rows[18] = (18, 'quo""ted\n' * 300, 4)
+    for end in ("\n", "\r\n"):
+        path = tmp_path / f"one{len(end)}.csv"
+        with open(path, "w", newline="", encoding="utf-8") as file:
+            csv.writer(file, lineterminator=end).writerows([("id", "my text", "n"), *rows])
+        held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "512")
+        try:
+            lines = records.file_lines(spark, str(path))
+            assert lines.select("block").distinct().count() > 20
+            got = tables.read_csv(spark, str(path), schema=T.StructType().add("id", "long").add("my text", "string").add("n", "integer"), multiline=True)
+            assert sorted((r[0], r[1] or "", r[2]) for r in got.collect()) == rows
+            cells = nested.read_table_folder(spark, str(path)).filter("column = 'id'").collect()
+            assert sorted((r.row, int(r.value)) for r in cells) == [(i, i) for i in range(400)]
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", held)

@@ -368,3 +368,15 @@ def test_score_results(spark, heavy_rows, monkeypatch):
         "value": ("partial", "column mismatch: x"), "text": ("partial", "column mismatch: k"),
         "rows": ("partial", "row count mismatch: 2 instead of 3"), "column": ("partial", "missing column x"),
         "extra": ("partial", "extra column y"), "absent": ("error", "no result")}
+
+
+@pytest.mark.parametrize(("bits", "near"), [(12, 10_000), (3, 4), (12, 0)])
+def test_quotas_are_the_first_draws(spark, monkeypatch, bits, near):
+    monkeypatch.setattr(sampling, "SLICE_BITS", bits)
+    monkeypatch.setattr(sampling, "TOP_N", near)
+    df = spark.range(3000).withColumn("g", F.expr("case when id % 3 = 0 then 'a' when id < 100 then 'b' else 'c' end"))
+    limits = {"a": 137, "b": 500, "c": 1, "d": 4, "e": 0}
+    got = df.filter(sampling.first_drawn(df, F.col("g"), F.col("id"), limits, 5)).collect()
+    drawn = sorted((r.d, r.id, r.g) for r in df.withColumn("d", draw(F.col("id"), 5)).collect())
+    for g, n in limits.items():
+        assert {r.id for r in got if r.g == g} == {i for _, i, own in [x for x in drawn if x[2] == g][:n]}

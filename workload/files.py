@@ -134,3 +134,38 @@ def csv_texts_with_line_breaks(t):
     documents = t("documents").select("doc_id", "text", "lang")
     sinks.write_csv(documents, path)
     return tables.read_csv(t.spark, path, schema=documents.schema, multiline=True)
+
+
+# every pair of a manifest at once, from one folder of tables
+@query("""SELECT pair, side, "column", count(*) AS cells, count(DISTINCT value) AS distinct_values FROM (
+ SELECT 'left.csv|right.csv' AS pair, 'query' AS side, unnest(['o_orderkey', 'o_orderpriority']) AS "column",
+  unnest([o_orderkey::VARCHAR, o_orderpriority]) AS value FROM orders WHERE o_custkey % 2 = 0
+ UNION ALL SELECT 'left.csv|right.csv', 'candidate', unnest(['o_orderkey', 'o_custkey']), unnest([o_orderkey, o_custkey])::VARCHAR FROM orders WHERE o_custkey % 2 = 1
+ UNION ALL SELECT 'left.csv|more.csv', 'query', unnest(['o_orderkey', 'o_orderpriority']), unnest([o_orderkey::VARCHAR, o_orderpriority]) FROM orders WHERE o_custkey % 2 = 0
+ UNION ALL SELECT 'left.csv|more.csv', 'candidate', unnest(['c_custkey', 'c_name']), unnest([c_custkey::VARCHAR, c_name]) FROM customer)
+GROUP BY ALL""")
+def pair_cells_all(t):
+    folder = scratch_path(t.spark, "pairs")
+    orders = t("orders")
+    sinks.write_csv(orders.filter("o_custkey % 2 = 0").select("o_orderkey", "o_orderpriority"), f"{folder}/left.csv")
+    sinks.write_csv(orders.filter("o_custkey % 2 = 1").select("o_orderkey", "o_custkey"), f"{folder}/right.csv")
+    sinks.write_csv(t("customer").select("c_custkey", "c_name"), f"{folder}/more.csv")
+    manifest = t.spark.sql("select 'left.csv' as query_table, explode(array('right.csv', 'more.csv')) as candidate_table")
+    # the sink writes a table as a folder of parts, so a part's table is the folder above it
+    cells = nested.read_table_folder(t.spark, [f"{folder}/{n}.csv" for n in ("left", "right", "more")])
+    cells = cells.withColumn("item", F.element_at(F.split("item", "/"), 1))
+    return nested.pair_cells(manifest, cells).groupBy("pair", "side", "column").agg(
+        F.count("*").alias("cells"), F.count_distinct("value").alias("distinct_values"))
+
+
+@query("""SELECT item, "row"::BIGINT AS "row", "column", value FROM (
+ SELECT c_custkey::VARCHAR AS item, 0 AS "row", unnest(['c_custkey', 'c_name', 'c_nationkey', 'c_acctbal', 'c_mktsegment']) AS "column",
+  unnest([c_custkey::VARCHAR, c_name, c_nationkey::VARCHAR, NULL, c_mktsegment]) AS value FROM customer)""")
+def jsonl_cells_wide(t):
+    path = scratch_path(t.spark, "jsonl")
+    names = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
+    values = [F.lit(None).cast("string") if n == "c_acctbal" else F.col(n).cast("string") for n in names]
+    lines = t("customer").select(F.to_json(F.struct(F.col("c_custkey").cast("string").alias("id"), F.struct(
+        F.array(*[F.lit(n) for n in names]).alias("columns"), F.array(F.array(*values)).alias("data")).alias("table"))).alias("value"))
+    lines.write.text(path)
+    return nested.read_nested_tables(t.spark, path).select("item", F.col("row").cast("bigint").alias("row"), "column", "value")
