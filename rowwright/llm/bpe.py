@@ -48,8 +48,8 @@ class Transducer:
         self.tokens, self.rank = tokens, {t: i for i, t in enumerate(tokens)}
         self.max_states = max_states
         self.arcs, self.ends, self.depth, self.inner = self._trie()
-        self.edges = Memo(self._edges, len(tokens))
-        self.follows = Memo(lambda pair: self._may_follow(pair >> SHIFT, pair & MASK), 500_000)
+        self.edges = Memo(self._edges, 48 << 20)
+        self.follows = Memo(lambda pair: self._may_follow(pair >> SHIFT, pair & MASK), 48 << 20)
         self._forget()
 
     def _trie(self) -> tuple[dict[int, int], list[int], list[int], set[int]]:
@@ -261,7 +261,7 @@ class Pieces:
     space only, and a word met again costs one look-up; any other white space stays inside its stretch.
     """
 
-    def __init__(self, pattern: str, function, nothing, limit: int = 300_000):
+    def __init__(self, pattern: str, function, nothing, limit: int = 40 << 20):
         self.split, self.nothing = regex.compile(pattern).findall, nothing
         self.cut = regex.compile(r"(?<=\S) (?=\S)").split
         self.pieces = Memo(function, limit)

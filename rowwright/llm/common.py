@@ -9,6 +9,7 @@ ids included.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from sys import getsizeof
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,18 +22,19 @@ OUT_ROWS, IN_ROWS = 2_000, 256
 
 
 class Memo(dict):
-    """A function's results; of two generations of ``limit`` entries the older is forgotten."""
+    """A function's results, in about ``limit`` bytes; of two generations the older is forgotten."""
 
-    def __init__(self, function: Callable, limit: int = 150_000):
-        self.function, self.limit, self.older = function, limit, {}
+    def __init__(self, function: Callable, limit: int = 24 << 20):
+        self.function, self.limit, self.older, self.size = function, limit, {}, 0
 
     def __missing__(self, key):
-        if len(self) >= self.limit:
-            self.older = dict(self)
+        if self.size >= self.limit // 2:
+            self.older, self.size = dict(self), 0
             self.clear()
         value = self.older.get(key)
         if value is None:
             value = self.function(key)
+        self.size += getsizeof(key) + getsizeof(value) + 100  # an entry of a dictionary
         self[key] = value
         return value
 

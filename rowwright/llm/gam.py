@@ -12,13 +12,13 @@ from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import share
 from ..session import cut_lineage
-from .common import map_rows, pick, remainder
+from .common import IN_ROWS, map_rows, pick, remainder
 
 #: Labelled rows used for fitting, at most (about); larger sets are thinned by a hash of the id.
 SAMPLE = 50_000
@@ -192,7 +192,8 @@ def quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: st
 
     Held out are ids whose crc32 as text leaves 1 when divided by 3; null ids count as empty text.
     Scores depend on the text alone, so equal texts score alike; null and empty texts get
-    the score of a text without words.  Texts are read once; only figures are shuffled.
+    the score of a text without words.  Repeated rows and null ids stand for themselves, other columns are ignored, and an
+    empty table gives no rows.  Texts are read once; only figures are shuffled.
     """
     found = cut_lineage(feature_table(docs, doc_id, text))
     done = scores(found, train(found, labels, sample), docs.schema[doc_id].dataType.simpleString())
@@ -200,19 +201,23 @@ def quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: st
                        (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def scorer(model: Model):
-    """A column function that scores texts, for filtering rows where they are."""
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        rows = np.array([features(t) for t in texts]).reshape(len(texts), len(NAMES))
-        return pd.Series(model.score(rows))
-    return score
-
-
 def drop_rejected(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> DataFrame:
-    """The rows of ``docs``, all columns, that the classifier accepts; fitted on the labelled documents only."""
+    """The rows of ``docs``, all columns, that the classifier accepts; fitted on the labelled documents only.
+
+    Each row is judged by its text alone: null and empty texts as a text without words, repeated rows and rows without
+    id like any other.  Rows pass as they are, some at a time, whatever their other columns are called.  Without
+    labels every text scores 0.5 and stays; an empty table stays empty.
+    """
     known = pick(labels, label_id="doc_id").distinct()
-    some = docs.join(known, docs[doc_id] == F.col("label_id"), "left_semi")
-    model = train(feature_table(some, doc_id, text), labels, sample)
-    score: Column = scorer(model)(docs[text])
-    return docs.filter(score >= 0.5)
+    some = pick(docs, doc_id=doc_id, text=text).join(known, F.col("doc_id") == F.col("label_id"), "left_semi")
+    model = train(feature_table(some), labels, sample)
+    place = docs.columns.index(text)
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, IN_ROWS):
+                part = batch.slice(at, IN_ROWS)
+                rows = np.array([features(t) for t in part.column(place).to_pylist()]).reshape(part.num_rows, len(NAMES))
+                yield part.filter(pa.array(model.score(rows) >= 0.5))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -108,7 +108,7 @@ class Printer:
 
     def __init__(self, words: np.ndarray):
         self.words = words
-        self.known = Memo(self._known, 200_000)
+        self.known = Memo(self._known, 32 << 20)
 
     def _known(self, word: bytes) -> int | bool:
         hashed = xxhash.xxh3_64_intdigest(word) - 2**63

@@ -45,7 +45,7 @@ class Shingler:
     """Sorted distinct 64-bit hashes of the word shingles of a text."""
 
     def __init__(self):
-        self.hashes = Memo(xxhash.xxh3_64_intdigest, 200_000)
+        self.hashes = Memo(xxhash.xxh3_64_intdigest, 32 << 20)
 
     def __call__(self, text: str | None) -> np.ndarray:
         words = (text or "").encode().lower().split()  # both only know ASCII

@@ -222,7 +222,7 @@ def pseudonymise(df: DataFrame, key: bytes, doc_id: str = "doc_id", text: str =
     def run(rows):
         feistel = Feistel(key)
         formats = Formats(feistel.back if back else feistel.forward)
-        memo = Memo(lambda hit: getattr(formats, hit[0])(hit[1]), 100_000)
+        memo = Memo(lambda hit: getattr(formats, hit[0])(hit[1]), 16 << 20)
         for i, t in rows:
             new, found = replace(t or "", formats, memo)
             yield i, new, len(found), [dict(zip(("kind", "start", "length", "pseudonym"), f, strict=True)) for f in found]
