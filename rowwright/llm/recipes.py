@@ -130,16 +130,27 @@ def exact_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text", hash
 
 
 def drop_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``df``, all columns, that stay; of wholly equal ids and texts any one row.
+    """The rows of ``df``, all columns, that stay; of wholly equal ids and texts the one whose row has the least hash.
 
-    Texts are shuffled once, by id and digest, to meet the decisions.
+    Texts stay where they are: ids and digests of the rows to drop are sent to them (to all executors, while the planner
+    finds their stored table small).  Only rows of which an equal twin stays are gathered, after each task has kept one.
+    Null and empty texts are equal to each other; an empty table stays empty; extra columns keep their names.
     """
-    kept = exact_copies(df, doc_id, text).filter("kept")
-    kept = kept.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), F.col("n_chars").alias("__n"))
+    each = exact_copies(df, doc_id, text).groupBy("doc_id", "text_sha256", "n_chars").agg(
+        F.bool_or("kept").alias("stays"), F.count("*").alias("twins"))
+    found = cut_lineage(each.filter("NOT stays OR twins > 1").select(
+        F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), F.col("n_chars").alias("__n"), "stays"))
     bare = F.translate(F.coalesce(df[text], F.lit("")), SPACES.decode(), "")
-    named = df.select("*", F.sha2(bare.cast("binary"), 256).alias("__own"),
+    place = df.columns.index(doc_id)
+    own = [f"c{i}" for i in range(len(df.columns))]  # no name of the caller's can clash
+    named = df.select(*[df[c].alias(o) for c, o in zip(df.columns, own, strict=True)], F.sha2(bare.cast("binary"), 256).alias("__own"),
                       F.char_length(F.coalesce(df[text], F.lit(""))).cast("long").alias("__own_n"))
-    same = named[doc_id].eqNullSafe(kept["__id"]) & (named["__own"] == kept["__sha"]) & (named["__own_n"] == kept["__n"])
-    once = Window.partitionBy(named[doc_id], "__own", "__own_n").orderBy(F.lit(1))
-    left = named.join(kept, same, "left_semi").withColumn("__row", F.row_number().over(once)).filter("__row = 1")
-    return left.select(*[F.col(f"`{c}`") for c in df.columns])
+    same = F.col(f"c{place}").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sha")) & (F.col("__own_n") == F.col("__n"))
+    left = named.join(found.drop("stays"), same, "left_anti").select(*own)
+    twins = found.filter("stays")
+    if not twins.isEmpty():
+        whole = F.struct(*own)
+        one = named.join(twins.drop("stays"), same, "left_semi").groupBy(f"c{place}", "__own", "__own_n").agg(
+            F.min_by(whole, F.xxhash64(*own)).alias("whole"))
+        left = left.unionByName(one.select("whole.*"))
+    return left.toDF(*df.columns)
