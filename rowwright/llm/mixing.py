@@ -126,6 +126,9 @@ def mixed_rows(df: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
     Rows that share an id are taken together, as often as the one taken most.
     """
     found = mix(df, doc_id, **options).groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").alias("__copies"))
-    joined = df.join(found.filter("__copies > 0"), df[doc_id].eqNullSafe(F.col("__id")))
+    own = [f"c{i}" for i in range(len(df.columns))]  # no name of the caller's can clash
+    named = df.select(*[df[c].alias(o) for c, o in zip(df.columns, own, strict=True)])
+    same = F.col(own[df.columns.index(doc_id)]).eqNullSafe(F.col("__id"))
+    joined = named.join(found.filter("__copies > 0"), same)
     repeated = joined.withColumn("__turn", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
-    return repeated.select(*[df[c] for c in df.columns])
+    return repeated.select(*own).toDF(*df.columns)
