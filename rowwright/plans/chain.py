@@ -8,7 +8,9 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import functions as F
 
 from ..operators.rows import sort_directions
 from .registry import Operator, lookup
@@ -55,14 +57,16 @@ def run_chain(tables: DataFrame | Sequence[DataFrame] | Mapping[str, DataFrame],
 
     A step replaces its table.  A join or union removes both and appends
     ``{a}_{b}_{op}``.  A sort is remembered and decides what a later ``topk`` or
-    ``deduplicate`` calls first.  ``check_empty="end"`` runs one job to refuse
-    an empty result; ``check_empty=True`` runs a job per step to name the one that leaves no rows.
+    ``deduplicate`` calls first.  ``check_empty="end"`` looks for one row of the
+    result and refuses an empty one; ``check_empty=True`` counts the rows of every step while the result is computed, once,
+    and names the first step that leaves none.
     """
     if check_empty not in (False, True, "end"):
         raise ValueError(f"check_empty is False, True or 'end', not {check_empty!r}")
     state = name_tables(tables)
     orders: dict[str, Directions] = {}
     done: list[dict[str, Any]] = []
+    counted: list[tuple[int, str, Observation, DataFrame]] = []
     for number, step in enumerate(chain, start=1):
         name = step.get("op", "")
         try:
@@ -76,16 +80,43 @@ def run_chain(tables: DataFrame | Sequence[DataFrame] | Mapping[str, DataFrame],
             output = operator.build([state[u] for u in used], params)
         except (ValueError, TypeError) as problem:
             raise ChainError(f"step {number} ({name}): {problem}") from problem
-        last = check_empty == "end" and number == len(chain)
-        if (check_empty is True or last) and output.isEmpty():
+        if check_empty == "end" and number == len(chain) and output.isEmpty():
             raise ChainError(f"step {number} ({name}) leaves no rows")
+        if check_empty is True:
+            seen = Observation()
+            output = output.observe(seen, F.count(F.lit(1)).alias("rows"))
+            counted.append((number, name, seen, output))
         positions = [list(state).index(u) for u in used]
         _replace(state, orders, used, operator, params, output)
         done.append({"op": operator.name, "params": _plain(step.get("params")), "op_tables": used,
                      "table_indices": positions})
+    if counted:
+        given = {id(df) for df in name_tables(tables).values()}
+        _refuse_empty_steps([df for df in state.values() if id(df) not in given], counted)
+        return run_chain(tables, chain)  # a plan without counts, which filters can pass on their way to the scan
     return ChainResult(state, done)
 
 
+def _refuse_empty_steps(tables: list[DataFrame], counted: list[tuple[int, str, Observation, DataFrame]]) -> None:
+    """Compute the tables that steps have made, without keeping them, and look at the counts on the way."""
+    for df in tables:
+        df.write.format("noop").mode("overwrite").save()
+    rows = [_counted_rows(observation) for _, _, observation, _ in counted]
+    if all(rows):
+        return
+    for (number, name, _, output), n in zip(counted, rows, strict=True):
+        if n == 0 or (n is None and output.isEmpty()):
+            raise ChainError(f"step {number} ({name}) leaves no rows")
+
+
+def _counted_rows(observation: Observation) -> int | None:
+    """None if Spark left the step out, as it does once it knows that nothing comes of it or of what it meets."""
+    try:
+        return observation.get["rows"]
+    except Py4JJavaError:
+        return None
+
+
 def _used_tables(step: dict, state: dict[str, DataFrame], operator: Operator) -> list[str]:
     used = list(step.get("op_tables") or [])
     if not used:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,11 +27,11 @@ def write_csv(df: DataFrame, path: str, partition_by: str | list[str] | None = N
 
 
 def write_corpus(tasks: DataFrame, path: str) -> None:
-    """Tasks as JSON lines in ``tasks``, creation time and count in ``metadata``; lines are counted without parsing."""
-    path = path.rstrip("/")
-    tasks.write.options(**RECORD_OPTIONS).json(f"{path}/tasks")
-    stored = tasks.sparkSession.read.text(f"{path}/tasks")
-    metadata = stored.agg(F.count("*").alias("task_count")).withColumn("creation_time", F.current_timestamp())
+    """Tasks as JSON lines in ``tasks``, creation time and count in ``metadata``; tasks are counted while they are written."""
+    path, counted = path.rstrip("/"), Observation()
+    tasks.observe(counted, F.count(F.lit(1)).alias("n")).write.options(**RECORD_OPTIONS).json(f"{path}/tasks")
+    metadata = tasks.sparkSession.range(1).select(
+        F.lit(counted.get["n"]).cast("bigint").alias("task_count"), F.current_timestamp().alias("creation_time"))
     metadata.write.json(f"{path}/metadata")
 
 

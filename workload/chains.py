@@ -74,3 +74,17 @@ def chain_latest_per_user(t):
         {"op": "pivot", "params": {"index": "user_id", "columns": "event_type", "values": "event_id", "aggfunc": "count"}},
     ]).result
     return found.na.fill(0)
+
+
+# the third step of six leaves no rows; the refusal names it, and the tables tell that SQL agrees
+@query("""SELECT CASE WHEN (SELECT count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity > 20) = 0 THEN 'step 2 (join)'
+ WHEN (SELECT count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity > 20 AND o_totalprice < 0) = 0
+ THEN 'step 3 (filter) leaves no rows' ELSE 'none' END AS refusal""")
+def chain_refuses_empty(t):
+    steps = [*SALES_CHAIN[:2], {"op": "filter", "params": {"condition": "o_totalprice < 0"}, "op_tables": [JOINED]}, *SALES_CHAIN[2:5]]
+    try:
+        rw.run_chain([t("lineitem"), t("orders")], steps, check_empty=True)
+        refusal = "none"
+    except rw.ChainError as refused:
+        refusal = str(refused)
+    return t.spark.range(1).select(F.lit(refusal).alias("refusal"))
