@@ -85,24 +85,23 @@ class Model:
         k = len(frequency)
         self.shapes = [(k, SIZE), (k, SIZE), (2, SIZE), (k,)]
         self.noise = frequency / frequency.sum()
+        self.scale = np.log(NOISE * self.noise).astype(np.float32)
         if flat is None:
             rng = np.random.default_rng(11)
             flat = np.concatenate([rng.normal(0, 0.05, 2 * k * SIZE), np.ones(2 * SIZE), np.log(self.noise)])
-        self.flat = np.array(flat, np.float64)
+        self.flat = np.array(flat, np.float32)  # half the traffic of doubles; sums are doubles
         ends = np.cumsum([int(np.prod(s)) for s in self.shapes])
         parts = [self.flat[a:b].reshape(s) for a, b, s in zip([0, *ends], ends, self.shapes, strict=False)]
         self.before, self.after, self.place, self.bias = parts
-        self.spent = [np.full(s, 1e-3) for s in self.shapes]
+        self.spent = [np.full(s, 1e-3, np.float32) for s in self.shapes]
 
     def context(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         return self.before[one] * self.place[0] + self.before[two] * self.place[1]
 
-    def _step(self, which: int, part: np.ndarray, rows, slope: np.ndarray) -> None:
+    def _step(self, which: int, part: np.ndarray, lots: tuple, slope: np.ndarray) -> None:
         """Adagrad: steps shrink where there were many. Slopes of the same row are summed first."""
-        order = np.argsort(rows, kind="stable")
-        rows, slope, spent = rows[order], slope[order], self.spent[which]
-        starts = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
-        rows = rows[starts]
+        order, starts, rows = lots
+        slope, spent = slope[order], self.spent[which]
         spent[rows] += np.add.reduceat(slope * slope, starts)
         part[rows] += RATE * np.add.reduceat(slope, starts) / np.sqrt(spent[rows])
 
@@ -110,21 +109,35 @@ class Model:
         """One batch: tell the words that followed from noise words shared by the batch."""
         noise = rng.choice(len(self.bias), NOISE, p=self.noise)
         view = self.context(one, two)
-        scale = np.log(NOISE * self.noise)
-        real = (view * self.after[target]).sum(1) + self.bias[target] - scale[target]
-        made = view @ self.after[noise].T + self.bias[noise] - scale[noise]
-        up, down = 1 / (1 + np.exp(real)), -1 / (1 + np.exp(-made))
-        pull = up[:, None] * self.after[target] + down @ self.after[noise]
+        after, near = self.after[target], self.after[noise]
+        real = (view * after).sum(1) + self.bias[target] - self.scale[target]
+        down = view @ near.T
+        down += self.bias[noise] - self.scale[noise]
+        np.negative(down, out=down)
+        np.exp(down, out=down)
+        down += 1
+        np.divide(-1, down, out=down)
+        up = 1 / (1 + np.exp(real))
+        pull = up[:, None] * after + down @ near
         slope = up[:, None] * view
-        n = len(target)
-        self._step(1, self.after, noise, down.T @ view / n)
-        self._step(1, self.after, target, slope / n)
-        self._step(3, self.bias, noise, down.sum(0) / n)
-        self._step(3, self.bias, target, up / n)
-        places = np.stack([(pull * self.before[one]).mean(0), (pull * self.before[two]).mean(0)])
-        self._step(0, self.before, one, pull * self.place[0] / n)
-        self._step(0, self.before, two, pull * self.place[1] / n)
-        self._step(2, self.place, np.arange(2), places)
+        n = np.float32(len(target))
+        to_noise, to_target, to_context = lots_of(noise), lots_of(target), lots_of(np.concatenate([one, two]))
+        self._step(1, self.after, to_noise, down.T @ view / n)
+        self._step(1, self.after, to_target, slope / n)
+        self._step(3, self.bias, to_noise, down.sum(0) / n)
+        self._step(3, self.bias, to_target, up / n)
+        pull /= n
+        places = np.stack([np.einsum("ij,ij->j", pull, self.before[one]), np.einsum("ij,ij->j", pull, self.before[two])])
+        self._step(0, self.before, to_context, np.concatenate([pull * self.place[0], pull * self.place[1]]))
+        self._step(2, self.place, lots_of(np.arange(2)), places)
+
+
+def lots_of(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order that brings equal rows together, where each begins in it, and the different rows."""
+    order = np.argsort(rows.astype(np.uint16 if len(rows) and rows.max() < 2**16 else np.int64), kind="stable")
+    rows = rows[order]
+    starts = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+    return order, starts, rows[starts]
 
 
 class Scorer:
@@ -132,7 +145,7 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model = model
-        self.sums = np.full(len(model.bias) ** 2, np.nan)
+        self.sums = np.full(len(model.bias) ** 2, np.nan, np.float32)
 
     def __call__(self, one: np.ndarray, two: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural logarithms of the probability of each target."""
@@ -142,10 +155,12 @@ class Scorer:
         step = -(-CELLS // k)
         for at in range(0, len(fresh), step):
             some = fresh[at:at + step]
-            logits = m.context(some // k, some % k) @ m.after.T + m.bias
+            logits = m.context(some // k, some % k) @ m.after.T
+            logits += m.bias
             top = logits.max(1)
-            self.sums[some] = top + np.log(np.exp(logits - top[:, None]).sum(1))
-        return (m.context(one, two) * m.after[target]).sum(1) + m.bias[target] - self.sums[pair]
+            logits -= top[:, None]
+            self.sums[some] = top + np.log(np.exp(logits, out=logits).sum(1, dtype=np.float64))
+        return (m.context(one, two) * m.after[target]).sum(1, dtype=np.float64) + m.bias[target] - self.sums[pair]
 
 
 class Coder:
@@ -171,6 +186,7 @@ class Coder:
 
 
 _made: dict[int, Coder] = {}
+_scorers: dict[int, Scorer] = {}
 
 
 def coder(shared: Broadcast) -> Coder:
@@ -182,6 +198,16 @@ def coder(shared: Broadcast) -> Coder:
     return _made[id(common)]
 
 
+def scorer(shared: Broadcast, frequency: np.ndarray) -> Scorer:
+    """One scorer per worker process, so that a pair of words is normalised once for all tasks there."""
+    flat = shared.value
+    if id(flat) not in _scorers:
+        _scorers.clear()
+        _scorers[id(flat)] = Scorer(Model(frequency, flat))
+        _scorers[id(flat)].source = flat  # kept, so that the key stays its own
+    return _scorers[id(flat)]
+
+
 def batches(places: Iterable[tuple[np.ndarray, ...]]) -> Iterator[tuple[np.ndarray, ...]]:
     """Every place of all texts, in order, ``BATCH`` at a time; long texts are cut, short ones share a batch."""
     held: list[tuple] = []
@@ -211,7 +237,7 @@ def fit(df: DataFrame, text: str, shared: Broadcast, frequency: np.ndarray) -> n
             seen += len(batch[-1])
         if seen:
             for s, part in enumerate(np.array_split(model.flat, SLICES)):
-                yield s, seen, (part * seen).tobytes()
+                yield s, seen, (part * np.float64(seen)).tobytes()
 
     def add(rows):
         sums: dict[int, list] = {}
@@ -254,7 +280,7 @@ def score_texts(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     kind = df.schema[doc_id].dataType.simpleString()
 
     def run(source):
-        code, scorer = coder(shared), Scorer(Model(frequency, flat.value))
+        code, score = coder(shared), scorer(flat, frequency)
         weight = np.log10(code.counts + 1)
         for i, t in source:
             found = words(t)
@@ -263,7 +289,7 @@ def score_texts(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
             known = ids >= 0
             mine = weight[ids[known]]
             other = weight[ids[ids >= code.kept]].sum() - (target == code.kept).sum() * np.log10(rest)
-            model = scorer(one, two, target).sum() / np.log(10) + other
+            model = score(one, two, target).sum() / np.log(10) + other
             far = Counter(w for w, k in zip(found, known, strict=False) if not k)
             yield i, len(ids), int(known.sum()), float(mine.sum()), float(model), [{"word": w.decode(), "n": n} for w, n in far.items()]
 
