@@ -76,6 +76,17 @@ def map_rows(df: DataFrame, function: Callable[[Iterator[tuple]], Iterable[tuple
     return df.mapInArrow(run, schema)
 
 
+#: Rows and bytes of a stored table that may go to every executor.
+SMALL_ROWS, SMALL_BYTES = 1_000_000, 64 << 20
+
+
+def small(stored: DataFrame) -> DataFrame:
+    """A stored table, marked for broadcast if it measures as small; otherwise as it is."""
+    size = F.sum(sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in stored.columns), F.lit(16)))
+    rows, width = stored.agg(F.count("*"), F.coalesce(size, F.lit(0))).first()
+    return F.broadcast(stored) if rows <= SMALL_ROWS and width <= SMALL_BYTES else stored
+
+
 def remainder(doc_id: str, by: int):
     """crc32 of the id as text, modulo ``by``; the split into training and held-out rows."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % F.lit(by)

@@ -208,8 +208,13 @@ def drop_rejected(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
     id like any other.  Rows pass as they are, some at a time, whatever their other columns are called.  Without
     labels every text scores 0.5 and stays; an empty table stays empty.
     """
-    known = pick(labels, label_id="doc_id").distinct()
-    some = pick(docs, doc_id=doc_id, text=text).join(known, F.col("doc_id") == F.col("label_id"), "left_semi")
+    known = pick(labels, label_id="doc_id").filter(F.col("label_id").isNotNull() & (remainder("label_id", 3) != 1)).distinct()
+    rows = pick(docs, doc_id=doc_id, text=text)
+    both = cut_lineage(rows.select("doc_id").join(known, F.col("doc_id") == F.col("label_id"), "left_semi").distinct())
+    # ids meet first, so that only texts to learn from are looked up, about ``sample`` ids at most
+    part = min(1.0, sample / max(1, both.count()))
+    chosen = F.broadcast(both.filter(share(F.col("doc_id"), "sample") < part).select(F.col("doc_id").alias("chosen_id")))
+    some = rows.join(chosen, F.col("doc_id") == F.col("chosen_id"), "left_semi")
     model = train(feature_table(some), labels, sample)
     place = docs.columns.index(text)
 

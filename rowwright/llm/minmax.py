@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..jobs.keygraph import components
 from ..session import cut_lineage
-from .common import Memo, map_rows, pick
+from .common import Memo, map_rows, pick, small
 
 WORDS = 5
 #: Permutations; two values each, four values a band: 32 bands. A pair at 0.75 shares none with probability 5e-6.
@@ -194,6 +194,11 @@ def near_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text", perce
 
 
 def drop_near_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of ``df``, all columns, without the documents that another one stands for."""
+    """The rows of ``df``, all columns, without the documents that another one stands for.
+
+    Null and empty texts and rows without id stay; repeated rows stay or go together; an empty table stays empty; extra columns
+    keep their names.  Texts stay where they are while the ids to drop measure as small.
+    """
     gone = near_copies(df, doc_id, text, **options).filter("NOT kept").select(F.col("doc_id").alias("__id")).distinct()
+    gone = small(cut_lineage(gone))
     return df.join(gone, df[doc_id] == gone["__id"], "left_anti")

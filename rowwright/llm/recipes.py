@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import map_rows, pick
+from .common import map_rows, pick, small
 
 #: Chunk sizes in bytes, and the bits of the rolling hash that are zero at a cut.
 LEAST, MOST, BITS = 512, 16_384, 11
@@ -132,8 +132,7 @@ def exact_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text", hash
 def drop_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``df``, all columns, that stay; of wholly equal ids and texts the one whose row has the least hash.
 
-    Texts stay where they are: ids and digests of the rows to drop are sent to them (to all executors, while the planner
-    finds their stored table small).  Only rows of which an equal twin stays are gathered, after each task has kept one.
+    Texts stay where they are while ids and digests of the rows to drop measure as small; otherwise they are joined.  Only rows of which an equal twin stays are gathered, after each task has kept one.
     Null and empty texts are equal to each other; an empty table stays empty; extra columns keep their names.
     """
     each = exact_copies(df, doc_id, text).groupBy("doc_id", "text_sha256", "n_chars").agg(
@@ -146,7 +145,7 @@ def drop_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     named = df.select(*[df[c].alias(o) for c, o in zip(df.columns, own, strict=True)], F.sha2(bare.cast("binary"), 256).alias("__own"),
                       F.char_length(F.coalesce(df[text], F.lit(""))).cast("long").alias("__own_n"))
     same = F.col(f"c{place}").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sha")) & (F.col("__own_n") == F.col("__n"))
-    left = named.join(found.drop("stays"), same, "left_anti").select(*own)
+    left = named.join(small(found.drop("stays")), same, "left_anti").select(*own)
     twins = found.filter("stays")
     if not twins.isEmpty():
         whole = F.struct(*own)
