@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 from pyspark import Broadcast
@@ -174,8 +175,10 @@ class Coder:
         self.end = self.ids.get(b"", -1)
 
     def __call__(self, found: list[bytes]) -> np.ndarray:
-        ids = np.fromiter((self.ids.get(w, -1) for w in found), np.int64, len(found))
-        return np.append(ids, self.end)
+        ids = np.empty(len(found) + 1, np.int64)
+        ids[:-1] = np.fromiter(map(self.ids.get, found, repeat(-1)), np.int64, len(found))
+        ids[-1] = self.end
+        return ids
 
     def classes(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The two words before each place (ends before the first) and the word there, others as one class."""
@@ -290,7 +293,7 @@ def score_texts(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
             mine = weight[ids[known]]
             other = weight[ids[ids >= code.kept]].sum() - (target == code.kept).sum() * np.log10(rest)
             model = score(one, two, target).sum() / np.log(10) + other
-            far = Counter(w for w, k in zip(found, known, strict=False) if not k)
+            far = Counter(found[k] for k in np.flatnonzero(~known[:-1]).tolist())
             yield i, len(ids), int(known.sum()), float(mine.sum()), float(model), [{"word": w.decode(), "n": n} for w, n in far.items()]
 
     done = map_rows(rows, run, f"doc_id {kind}, n_tokens long, known long, base double, model double, "
