@@ -1,28 +1,36 @@
 """Main text of web pages by wrapper induction.
 
-Pages of one host are parsed to trees, in which runs of like siblings fold to one
-node.  Each tree is aligned with a reference page of its group by simple tree
-matching.  Aligned nodes that have the same text on nearly all pages belong to the
-template, varying ones are slots for content.  What remains of the article after
-template and parts that never are content (menus, forms, ...) is the main text.
+The pages of a host fall into layouts by the upper part of their trees, and each layout has a reference page.
+A tree, its runs of like neighbours folded to one node, is aligned with the reference by simple tree
+matching.  How many different pages of the layout have a text at an aligned node is counted over all pages of the host.
+What recurs on nearly all pages that have the node is template, single members of runs included; what varies is a slot for content.
+What remains of the article without template and parts that never are content (menus, forms, ...) is the main text.
 """
 
 from __future__ import annotations
 
 import html as entities
+import json
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .common import map_rows, pick
 
-#: Pages that are aligned with one reference, and the bytes of them held in memory at most.
-GROUP, GROUP_BYTES = 200, 16_000_000
-#: Different pages a template needs, and the share of them on which its text is the same.
+#: Different pages a template needs, and the share of those with the node on which its text is the same.
 PAGES, SAME = 4, 0.9
+#: Levels of a tree that tell its layout.
+UPPER = 3
+#: Bytes of all references and templates that go to every executor, if they measure as so few; otherwise they are joined.
+SENT_BYTES = 32 << 20
+#: Layouts a task holds references of before it hands them on.
+HELD = 2_000
 
 # fixed values of the markup language
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "xmp"}
@@ -35,7 +43,7 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
           "option": {"option"}, "tbody": {"tr", "td", "th", "thead"}, "thead": {"tr", "td", "th"}}
 SCOPES = {"table", "ul", "ol", "dl", "select", "html", "body", "article", "div", "section", "td", "th", "li", "dd"}
 NEVER = RAW | {"head", "nav", "header", "footer", "aside", "form", "button", "select", "svg", "canvas", "object", "audio", "video",
-               "menu", "dialog", "input", "label", "fieldset"}
+               "menu", "dialog", "input", "fieldset"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar"}
 MARKS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments",
          "consent", "cookie", "cookies", "copyright", "disqus", "footer", "header", "login", "masthead", "menu", "modal", "nav",
@@ -44,7 +52,10 @@ MARKS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "bann
 
 # elements that no name rules out, and parts of names that tell of a layout
 OPEN = {"html", "body", "article", "main"}
-LAYOUT = {"no", "has", "with"}
+LAYOUT = {"no", "has", "with", "without", "free"}
+# elements that hold whole parts of a page, and marks that count on inline elements
+HOLDERS = {"div", "section", "ul", "ol", "dl", "table", "center", "details", "figure", "blockquote"}
+ADVERTS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored"}
 # what repeats freely inside content; other siblings fold in runs longer than LONG only
 REPEATED, LONG = {"p", "li", "a", "b", "i", "em", "strong", "span", "img", "br", "tr", "td", "th", "dt", "dd", "option", "code", "hr"}, 8
 # nodes below are part of the one above when trees are aligned
@@ -138,43 +149,76 @@ def barred(node: Node) -> bool:
 
 
 def marked(node: Node) -> bool:
-    """By a class or id that is a mark or ends in one; ``no-sidebar`` and the like tell of the layout."""
+    """By a part of a class or id; ``no-sidebar``, ``ad-free`` and the like tell of the layout.
+
+    Inline elements are part of a sentence unless they are adverts; of names of texts (``share-price``) only the last part counts.
+    """
     if not node.names or node.tag in OPEN:
         return False
     for name in node.names.lower().split():
         kind, _, value = name.partition("=")
-        *before, last = re.split(r"[-_:]+", value or kind)
-        if kind != "role" and last in MARKS and not LAYOUT & set(before):
+        if kind == "role":
+            continue
+        parts = re.split(r"[-_:]+", value or kind)
+        found = MARKS & set(parts if node.tag in HOLDERS else parts[-1:])
+        if found and not LAYOUT & set(parts) and (node.tag in BLOCKS or found & ADVERTS):
             return True
     return False
 
 
+def blocks_below(node: Node) -> Iterator[Node]:
+    """The nearest blocks below a node, in page order."""
+    stack = [c for c in reversed(node.children) if not isinstance(c, str)]
+    while stack:
+        at = stack.pop()
+        if at.tag in BLOCKS:
+            yield at
+        else:
+            stack += [c for c in reversed(at.children) if not isinstance(c, str)]
+
+
 class Fold:
-    """A node with its children, like neighbours folded into one."""
+    """A block with the blocks below it, like neighbours folded into one; references have no members."""
 
-    __slots__ = ("key", "members", "children", "weight")
+    __slots__ = ("key", "members", "children", "number")
 
     def __init__(self, members: list[Node], depth: int = 0):
         self.members = members
         self.key = members[0].tag, members[0].names
+        self.children: list[Fold] = []
+        if len(members) > 1 or depth >= DEEPEST:
+            return
         runs: list[list[Node]] = []
-        for member in members:
-            for child in member.children:
-                if isinstance(child, str):
-                    continue
-                if runs and (runs[-1][0].tag, runs[-1][0].names) == (child.tag, child.names):
-                    runs[-1].append(child)
-                else:
-                    runs.append([child])
+        for child in blocks_below(members[0]):
+            if runs and (runs[-1][0].tag, runs[-1][0].names) == (child.tag, child.names):
+                runs[-1].append(child)
+            else:
+                runs.append([child])
         parts = [[r] if r[0].tag in REPEATED or len(r) > LONG else [[m] for m in r] for r in runs]
-        self.children = [Fold(r, depth + 1) for part in parts for r in part] if len(members) == 1 and depth < DEEPEST else []
-        self.weight = 1 + sum(c.weight for c in self.children)
+        self.children = [Fold(r, depth + 1) for part in parts for r in part]
+
+    def skeleton(self) -> list:
+        return [*self.key, [c.skeleton() for c in self.children]]
 
-    def text(self) -> str:
-        return "\0".join("".join(m.texts()) for m in self.members)
+    def layout(self, levels: int = UPPER) -> list:
+        """The kinds of nodes of the upper levels, however often each repeats."""
+        below = {json.dumps(c.layout(levels - 1)) for c in self.children} if levels else ()
+        return [*self.key, sorted(below)]
 
 
-def match(one: Fold, two: Fold) -> tuple[int, list[tuple[Fold, Fold]]]:
+class Reference:
+    """The skeleton of a page; its nodes are numbered from the top."""
+
+    __slots__ = ("key", "children", "number")
+
+    def __init__(self, skeleton: list, counter: list[int] | None = None):
+        counter = counter or [0]
+        self.key, self.number = tuple(skeleton[:2]), counter[0]
+        counter[0] += 1
+        self.children = [Reference(c, counter) for c in skeleton[2]]
+
+
+def match(one: Reference, two: Fold) -> tuple[int, list[tuple[Reference, Fold]]]:
     """Simple tree matching: the most nodes that correspond, in order and below each other."""
     if one.key != two.key:
         return 0, []
@@ -236,7 +280,7 @@ def articles(root: Node) -> list[Node]:
     return out or seek(root, "article") or [root]
 
 
-def content(root: Node, dropped: set[int]) -> str:
+def content(root: Node, template: set[int]) -> str:
     """Blocks in page order, one line each."""
     blocks, line = [], []
 
@@ -257,7 +301,7 @@ def content(root: Node, dropped: set[int]) -> str:
             line.append(" ")
             if node.tag == "hr":
                 flush()
-        elif not never(node) and id(node) not in dropped:
+        elif not never(node) and id(node) not in template:
             if node.tag in BLOCKS:
                 flush()
                 stack.append(None)
@@ -268,74 +312,172 @@ def content(root: Node, dropped: set[int]) -> str:
     return "\n".join(blocks)
 
 
-def template(trees: list[Node]) -> list[set[int]]:
-    """For each page, the nodes that belong to the template of the group.
+def short_hash(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text) - 2**63
 
-    Equal pages count once, and nothing is template unless ``PAGES`` different ones agree, so
-    copies of a page don't hide its article.
-    """
-    folds = [Fold([t]) for t in trees]
-    whole = [f.text() for f in folds]
-    different = list(dict(zip(reversed(whole), reversed(range(len(whole))), strict=True)).values())
-    if len(different) < PAGES:
-        return [set() for _ in trees]
-    reference = folds[max(different, key=lambda k: (folds[k].weight, -k))]
-    aligned = [match(reference, f)[1] for f in folds]
-    seen: dict[int, Counter] = {}
-    for k in different:
-        for mine, other in aligned[k]:
-            if not mine.children:
-                seen.setdefault(id(mine), Counter())[other.text()] += 1
-    fixed = {}
-    for node, texts in seen.items():
-        text, n = texts.most_common(1)[0]
-        if n >= max(PAGES, SAME * len(different)) and text.strip("\0 \t\r\n"):
-            fixed[node] = text
-    return [{id(m) for mine, other in pairs if id(mine) in fixed and other.text() == fixed[id(mine)] for m in other.members}
-            for pairs in aligned]
-
-
-def extract(pages: list[str]) -> list[str]:
-    """Main texts of pages of one host."""
-    trees = [parse(p) for p in pages]
-    return [content(tree, dropped) for tree, dropped in zip(trees, template(trees), strict=True)]
+
+class Page:
+    """A parsed page with its layout and the text digest that tells copies."""
+
+    def __init__(self, page: str):
+        self.tree = parse(page)
+        self.fold = Fold([self.tree])
+        self.layout = short_hash(json.dumps(self.fold.layout()))
+        self.digest = short_hash("\0".join(self.tree.texts()))
+
+    def slots(self, reference: Reference) -> Iterator[tuple[int, int, Node]]:
+        """Node number, text digest and node of every block without blocks below, or member of a run.
+
+        Blocks that have no counterpart in the reference are known by the path of names that leads to them.
+        """
+        numbers = {id(other): mine.number for mine, other in match(reference, self.fold)[1]}
+        stack = [(self.fold, "")]
+        while stack:
+            fold, path = stack.pop()
+            path = f"{path}/{fold.key[0]} {fold.key[1]}"
+            if fold.children:
+                stack += [(c, path) for c in fold.children]
+                continue
+            number = numbers.get(id(fold), short_hash(path))
+            for member in fold.members:
+                text = " ".join("".join(member.texts()).split())
+                if text:
+                    yield number, short_hash(text), member
+
+
+def induce(counted: Iterator[tuple[int, int, int]]) -> set[tuple[int, int]]:
+    """Template texts of a layout, from ``(node, text, page)`` digests of all its pages."""
+    different = set(counted)
+    texts = Counter((node, text) for node, text, _ in different)
+    there = Counter(node for node, _ in {(node, page) for node, _, page in different})
+    return {(node, text) for (node, text), n in texts.items() if n >= max(PAGES, SAME * there[node])}
+
+
+def dropped(page: Page, reference: Reference | None, fixed: set[tuple[int, int]]) -> set[int]:
+    """Nodes of a page that are template."""
+    if reference is None or not fixed:
+        return set()
+    return {id(node) for number, text, node in page.slots(reference) if (number, text) in fixed}
+
+
+def extract(pages: list[str], use_template: bool = True) -> list[str]:
+    """Main texts of pages of one host, in memory."""
+    parsed = [Page(p) for p in pages]
+    layouts = Counter(p.layout for p in parsed)
+    out = []
+    known: dict[int, tuple] = {}
+    for page in parsed:
+        if page.layout not in known:
+            mine = [p for p in parsed if p.layout == page.layout]
+            reference = Reference(min(mine, key=lambda p: (p.digest, json.dumps(p.fold.skeleton()))).fold.skeleton())
+            usable = use_template and layouts[page.layout] >= PAGES
+            fixed = induce((n, t, p.digest) for p in mine for n, t, _ in p.slots(reference)) if usable else set()
+            known[page.layout] = reference, fixed
+        out.append(content(page.tree, dropped(page, *known[page.layout])))
+    return out
+
+
+@lru_cache(maxsize=64)
+def _references(described: str) -> dict[int, Reference]:
+    return {r["layout"]: Reference(json.loads(r["skeleton"])) for r in json.loads(described)}
+
+
+@lru_cache(maxsize=64)
+def _fixed(described: str) -> dict[int, set[tuple[int, int]]]:
+    found: dict[int, set[tuple[int, int]]] = {}
+    for r in json.loads(described):
+        found.setdefault(r["layout"], set()).add((r["node"], r["content"]))
+    return found
+
+
+def _by_host(df: DataFrame, columns: list[str], name: str) -> DataFrame:
+    return df.groupBy("host").agg(F.to_json(F.sort_array(F.collect_list(F.struct(*columns)))).alias(name))
+
+
+def _map_with(rows: DataFrame, about: DataFrame, names: list[str], function: Callable, schema: str) -> DataFrame:
+    """``function`` over rows and what is known of their hosts: sent to all executors if it measures as small, else joined."""
+    size = about.agg(F.coalesce(F.sum(sum((F.coalesce(F.octet_length(n), F.lit(0)) for n in names), F.lit(100))), F.lit(0)).alias("n")).first().n
+    if size > SENT_BYTES:
+        joined = rows.join(about, "host", "left")
+        return map_rows(joined.select(*rows.columns, *names), function, schema, 200)
+    shared = rows.sparkSession.sparkContext.broadcast({r.host: tuple(r[n] for n in names) for r in about.select("host", *names).collect()})
+    at, nothing = rows.columns.index("host"), (None,) * len(names)
+
+    def run(source):
+        known = shared.value
+        return function((*row, *known.get(row[at], nothing)) for row in source)
+
+    return map_rows(rows, run, schema, 200)
+
+
+def references(rows: DataFrame) -> DataFrame:
+    """``(host, refs)``: a reference page for every layout of a host that ``PAGES`` pages have."""
+    def run(source):
+        held: dict[tuple, list] = {}
+        for host, html in source:
+            page = Page(html or "")
+            best = held.setdefault((host, page.layout), [0, None, None])
+            best[0] += 1
+            if best[1] is None or page.digest <= best[1]:
+                skeleton = json.dumps(page.fold.skeleton())
+                if best[1] is None or (page.digest, skeleton) < (best[1], best[2]):
+                    best[1:] = page.digest, skeleton
+            if len(held) >= HELD:
+                yield from ((*key, *value) for key, value in held.items())
+                held.clear()
+        yield from ((*key, *value) for key, value in held.items())
+
+    found = map_rows(rows.select("host", "html"), run, "host string, layout long, n long, digest long, skeleton string", 200)
+    best = found.groupBy("host", "layout").agg(F.sum("n").alias("n"), F.min(F.struct("digest", "skeleton")).alias("best"))
+    return _by_host(best.filter(F.col("n") >= PAGES).select("host", "layout", "best.skeleton"), ["layout", "skeleton"], "refs")
+
+
+def templates(rows: DataFrame, refs: DataFrame) -> DataFrame:
+    """``(host, fixed)``: the texts that are template at the nodes of each layout, counted over all different pages."""
+    def run(source):
+        for host, html, described in source:
+            if described is None:
+                continue
+            page = Page(html or "")
+            reference = _references(described).get(page.layout)
+            if reference is not None:
+                found = {(n, t) for n, t, _ in page.slots(reference)}
+                for number in {n for n, _ in found}:
+                    yield host, page.layout, number, None, page.digest
+                for number, text in found:
+                    yield host, page.layout, number, text, page.digest
+
+    seen = _map_with(rows.select("host", "html"), refs, ["refs"], run, "host string, layout long, node long, content long, page long")
+    counted = seen.distinct().groupBy("host", "layout", "node", "content").agg(F.count("*").alias("n"))
+    counted = cut_lineage(counted.filter(F.col("n") >= PAGES))
+    there = counted.filter("content IS NULL").select("host", "layout", "node", F.col("n").alias("there"))
+    same = counted.filter("content IS NOT NULL").join(there, ["host", "layout", "node"]).filter(F.col("n") >= SAME * F.col("there"))
+    return _by_host(same, ["layout", "node", "content"], "fixed")
 
 
 def main_texts(df: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """One row per page: ``(page_id, url, text, n_chars)``.
 
-    Null html gives an empty text; pages without url or host form a group of their own; repeated rows
-    stay.  A host with more than a thousandth of all pages is cut into groups by a hash of the page id
-    (at most a thousand such hosts, so their list is bounded); other hosts stay together. Every page is shuffled
-    once and a task holds ``GROUP`` pages at a time.
+    Null html gives an empty text; pages without url or host form a host of their own; repeated rows
+    stay, and copies of a page count as one where templates are induced.  Layouts of fewer than ``PAGES`` different pages have no template, there
+    only tags and names of classes tell what is content.  Other columns are ignored; an empty table gives no rows.
+
+    Pages are read three times and stay where they are: for references, for counts of texts at aligned
+    nodes (whole numbers are shuffled, no texts), and to extract.
     """
     rows = pick(df, page_id=page_id, url=url, html=html)
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
-    sizes = rows.select(host.alias("host")).groupBy("host").count()
-    total = rows.count()
-    large = {r.host: -(-r["count"] // GROUP) for r in sizes.filter(F.col("count") > max(GROUP, total / 1000)).collect()}
-    parts = F.lit(1)
-    if large:
-        known = F.create_map(*[x for h, n in large.items() for x in (F.lit(h), F.lit(n))])
-        parts = F.coalesce(F.element_at(known, F.col("host")), F.lit(1))
-    placed = rows.withColumn("host", host).withColumn("part", F.pmod(F.xxhash64("page_id"), parts).cast("int"))
-    placed = placed.repartition("host", "part").sortWithinPartitions("host", "part", "page_id", "url")
+    rows = rows.withColumn("host", host)
+    refs = cut_lineage(references(rows))
+    about = cut_lineage(refs.join(templates(rows, refs), "host"))
 
     def run(source):
-        key, held, size = None, [], 0
-        for i, u, page, *own in source:
-            if held and (own != key or len(held) >= GROUP or size >= GROUP_BYTES):
-                yield from finish(held)
-                held, size = [], 0
-            key = own
-            held.append((i, u, page or ""))
-            size += len(page or "")
-        if held:
-            yield from finish(held)
-
-    def finish(held):
-        for (i, u, _), text in zip(held, extract([p for _, _, p in held]), strict=True):
+        for i, u, html, _, described, fixed in source:
+            page = Page(html or "")
+            known = (None, set()) if fixed is None else (
+                _references(described).get(page.layout), _fixed(fixed).get(page.layout, set()))
+            text = content(page.tree, dropped(page, *known))
             yield i, u, text, len(text)
 
     kind = df.schema[page_id].dataType.simpleString()
-    return map_rows(placed, run, f"page_id {kind}, url string, text string, n_chars long", 200)
+    return _map_with(rows, about, ["refs", "fixed"], run, f"page_id {kind}, url string, text string, n_chars long")

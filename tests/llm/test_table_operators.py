@@ -297,14 +297,14 @@ def test_held_out_texts_score_better_than_by_counts(spark):
 
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{{}}</style></head><body><header>Site</header>
 <nav><ul><li><a href=/a>{n}</a><li>Menu</ul></nav><div class="site-notice">{n} cookies</div><div><p>Same on all pages</p></div>
-<article><h1>Head {n}</h1><p>First&nbsp;&lt;b&gt; <b>bold</b>
- text<p>Second {n}<br>line<ul><li>one<li>two {n}</ul><form>Mail <input></form><script>"</p>"</script><div id="comments"><p>reader {n}</p></div></article>
+<article><h1>Head {n}</h1><p>First&nbsp;&lt;b&gt; {n} <b>bold</b>
+ text<p>Second {n}<br>line<ul><li>one {n}<li>two {n}</ul><form>Mail <input></form><script>"</p>"</script><div id="comments"><p>reader {n}</p></div></article>
 <aside>side {n}</aside><footer>&copy; {n}</footer></body></html>"""
 
 
 def test_pages():
     pages = [PAGE.format(n=n) for n in range(6)]
-    want = [f"Head {n}\nFirst <b> bold text\nSecond {n} line\none\ntwo {n}" for n in range(6)]
+    want = [f"Head {n}\nFirst <b> {n} bold text\nSecond {n} line\none {n}\ntwo {n}" for n in range(6)]
     assert wrapper.extract(pages) == want and wrapper.extract(pages[:1]) == want[:1]
     bare = [p.replace("article>", "div>") for p in pages]
     assert wrapper.extract(bare) == want  # what all pages share is template
@@ -332,6 +332,71 @@ def test_teasers_do_not_hide_main():
     assert wrapper.extract([layout]) == ["Text"]
 
 
+def site(layout, n, rng):
+    """A page without any telling tag or name: boilerplate around and between varying sentences."""
+    say = lambda: " ".join(rng.choice(VOCABULARY) for _ in range(rng.randint(3, 12)))
+    body = [say() for _ in range(rng.randint(1, 4))]
+    lines = "".join(f"<p>{t}</p>" for t in body)
+    if layout == "a":
+        page = (f"<div class=x><p>Tagline of this place</p><h1>Head {n}</h1>{lines}<p>Sign up for our letter today</p>"
+                f"<ul><li>Item {n}</li><li>All rights kept</li></ul></div><div class=y><p>Made by us</p></div>")
+        return page, "\n".join([f"Head {n}", *body, f"Item {n}"])
+    page = f"<table><tr><td>Another slogan</td></tr></table><section>{lines}<p>Call <b>Note</b> us {n}</p><p>Sign up for our letter today</p></section>"
+    return page, "\n".join([*body, f"Call Note us {n}"])
+
+
+def plain_dropping(pages):
+    """Texts of innermost blocks that nearly all different pages with the same layout have at the same path of names."""
+    parsed = [wrapper.Page(p) for p in pages]
+    seen = {}
+    for page in parsed:
+        for _, text, node in page.slots(wrapper.Reference(["none", "", []])):  # nothing aligns: paths alone
+            seen.setdefault((page.layout, node.tag, node.names, text), set()).add(page.digest)
+    sizes = {p.layout: len({q.digest for q in parsed if q.layout == p.layout}) for p in parsed}
+    return {(t, n, x) for (layout, t, n, x), some in seen.items() if len(some) >= max(4, 0.9 * sizes[layout])}
+
+
+@pytest.mark.parametrize("counts", [(12, 8), (203, 0), (5, 4)])
+def test_each_layout_of_a_host_has_its_template(counts):
+    rng = random.Random(1)
+    made = [site("a", n, rng) for n in range(counts[0])] + [site("b", n, rng) for n in range(counts[1])]
+    pages, want = [m[0] for m in made], [m[1] for m in made]
+    assert wrapper.extract(pages) == want
+    without = wrapper.extract(pages, use_template=False)
+    assert all(a != b for a, b in zip(without, want))  # the template decides, not tags or names
+    fixed = plain_dropping(pages)
+    for page, text in zip(map(wrapper.Page, pages), want, strict=True):
+        gone = {id(node) for _, t, node in page.slots(wrapper.Reference(["none", "", []])) if (node.tag, node.names, t) in fixed}
+        assert wrapper.content(page.tree, gone) == text
+
+
+def test_few_pages_have_no_template():
+    rng = random.Random(2)
+    pages = [site("a", n, rng)[0] for n in range(3)]
+    assert wrapper.extract(pages) == wrapper.extract(pages, use_template=False)
+    assert wrapper.extract(pages * 5) == wrapper.extract(pages * 5, use_template=False)  # copies count once
+
+
+@pytest.mark.parametrize("sent", [wrapper.SENT_BYTES, 0])
+def test_hosts_in_spark_are_those_in_memory(spark, monkeypatch, sent):
+    monkeypatch.setattr(wrapper, "SENT_BYTES", sent)
+    rng = random.Random(3)
+    hosts = {"one.example": [site("ab"[n % 3 == 0], n, rng)[0] for n in range(40)], "two.example": [site("a", n, rng)[0] for n in range(3)],
+             "three.example": [PAGE.format(n=n) for n in range(6)] * 2}
+    rows = [(f"https://{h}/{n}", p) for h, pages in hosts.items() for n, p in enumerate(pages)]
+    df = spark.createDataFrame([(i, u, p) for i, (u, p) in enumerate(rows)], "page_id long, url string, html string").repartition(6)
+    want = {f"https://{h}/{n}": t for h, pages in hosts.items() for n, t in enumerate(wrapper.extract(pages))}
+    assert {r.url: r.text for r in wrapper.main_texts(df).collect()} == want
+
+
+def test_names_that_tell_of_notices_and_sentences():
+    notices = ["ad-slot", "cookie-banner-wrapper", "related-posts", "newsletter-box", "share-buttons"]
+    page = "<article><p>Text</p>{}<p>A <span class=comment>remark</span> and <label>label</label> <span class=ad>buy</span></p></article>"
+    boxes = "".join(f"<div class='{n}'>no</div>" for n in notices)
+    assert wrapper.extract([page.format(boxes)]) == ["Text\nA remark and label"]
+    assert wrapper.extract(["<article><p class=share-price>Price</p><div class='with-sidebar'><p>in</p></div></article>"]) == ["Price\nin"]
+
+
 def test_page_table(spark):
     rows = [(n, f"https://Host.example/{n}", PAGE.format(n=n), 1) for n in range(8)]
     rows += [(8, None, None, 1), (9, "no host", "", 1), (None, "https://other.example", "<p>x", 1), (3, *rows[3][1:])]
