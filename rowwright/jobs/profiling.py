@@ -35,58 +35,90 @@ SEPARATORS = (" ", "_", "-", ".", "/")
 NEEDED_KINDS = {"filter": ("numeric", "categorical", "text")}
 
 COLUMNS_AT_ONCE = 8
-
-
-def _distinct(value: Column, approximate: bool) -> Column:
-    return F.approx_count_distinct(value) if approximate else F.count_distinct(value)
+FIXED_WIDTH = ("int", "float", "bool", "time")
+MEASURES = ("rows", "nulls", "distinct_values", "numbers", "moments", "commas")
 
 
 def profile_columns(df: DataFrame, approximate: bool = False) -> DataFrame:
     """One row per column: kind, nulls, distinct values, parseable and comma cells.
 
-    Text is *categorical* when less than half of its cells are distinct.  The exact
-    distinct counts shuffle each distinct value once per column; ``approximate`` uses
-    sketches instead and shuffles one row per task.  Exact counting expands a row once
-    per column, so wide tables are measured a few columns at a time, each scan reading
-    its own columns only.
+    Text is *categorical* when less than half of its cells are distinct.  Each column is scanned once.  Exact counting turns every cell into its column's number, a 128-bit hash and what it can be read as; equal cells are
+    counted together before the one shuffle, so neither repeated values nor long texts travel.  ``approximate`` uses
+    sketches instead and shuffles one row per task.
     """
     fields = list(enumerate(df.schema.fields))
-    step = len(fields) if approximate else COLUMNS_AT_ONCE
-    parts = [_measure(df, fields[i:i + step], approximate) for i in range(0, len(fields), step)]
-    return reduce(DataFrame.unionAll, parts)
+    return _sketched(df, fields) if approximate else _counted(df, fields)
+
+
+def _readable(field: T.StructField) -> dict[str, Column]:
+    """Whether a cell can be read as a number or a moment, and holds a comma."""
+    value, kind, no = col(field.name), kind_of(field.dataType), F.lit(False)
+    text = kind == "text"
+    number = value.rlike(NUMBER_TEXT) if text else to_number(value, field.dataType).isNotNull() if kind in ("int", "float", "bool") else no
+    return {"numbers": number, "moments": to_moment(value, field.dataType).isNotNull() if text else no,
+            "commas": value.contains(",") if text else no}
+
 
+def _comparable_cell(field: T.StructField) -> Column:
+    return F.to_json(col(field.name)) if kind_of(field.dataType) in ("list", "other") else col(field.name)
 
-def _measure(df: DataFrame, fields: list[tuple[int, T.StructField]], approximate: bool) -> DataFrame:
-    measures, entries = [F.count(F.lit(1)).alias("rows")], []
+
+def _counted(df: DataFrame, fields: list[tuple[int, T.StructField]]) -> DataFrame:
+    cells = []
+    for i, field in fields:
+        there, value = is_present(col(field.name), field.dataType), _comparable_cell(field)
+        # hashes of values of eight bytes at most are one to one; others get a second one from another start
+        small = kind_of(field.dataType) in FIXED_WIDTH and not isinstance(field.dataType, T.DecimalType)
+        second = F.lit(0).cast("bigint") if small else F.xxhash64(F.lit(1), value)
+        flags = reduce(Column.__add__, [F.when(c, 2**k).otherwise(0) for k, c in enumerate(_readable(field).values())])
+        if kind_of(field.dataType) in ("int", "bool"):
+            flags = F.lit(1)
+        cells.append(F.when(there, F.struct(F.lit(i).alias("i"), F.xxhash64(value).alias("h"), second.alias("h2"), flags.alias("f"))).otherwise(
+            F.struct(F.lit(i).alias("i"), F.lit(None).cast("bigint").alias("h"), F.lit(None).cast("bigint").alias("h2"), F.lit(0).alias("f"))))
+    # a scan reads its own columns only, so some columns at a time cost no more than all, and their code stays short
+    parts = [df.select(F.inline(F.array(*cells[at:at + COLUMNS_AT_ONCE]))) for at in range(0, len(cells), COLUMNS_AT_ONCE)]
+    equal = reduce(DataFrame.unionAll, parts).groupBy("i", "h", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("f").alias("f"))
+    equal = equal.select("*", *[(F.col("f").bitwiseAND(2**k) > 0).alias(m) for k, m in enumerate(MEASURES[3:])])
+    count = lambda condition: F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0).cast("bigint"))
+    found = equal.groupBy("i").agg(
+        F.sum("n").alias("rows"), count(F.col("h").isNull()).alias("nulls"), F.count("h").alias("distinct_values"),
+        *[count(F.col(m)).alias(m) for m in MEASURES[3:]])
+    named = [(i, f.name, _label(f), f.dataType.simpleString()) for i, f in fields]
+    about = df.sparkSession.createDataFrame(named, "position int, column string, label string, dtype string")
+    zero = F.lit(0).cast("bigint")
+    line = about.join(found, F.col("position") == F.col("i"), "left").select(
+        "position", "column", "label", "dtype", *[F.coalesce(m, zero).alias(m) for m in MEASURES])
+    few = F.col("distinct_values") / F.col("rows") < CATEGORY_RATIO
+    kind = F.coalesce("label", F.when(few, "categorical").otherwise("text"))
+    return line.select("column", "position", kind.alias("kind"), "dtype", *MEASURES)
+
+
+def _label(field: T.StructField) -> str | None:
+    """The kind of a column by its type; text is told by its values."""
+    kind = kind_of(field.dataType)
+    labels = {"int": "numeric", "float": "numeric", "bool": "numeric", "time": "datetime", "list": "list", "text": None}
+    return labels.get(kind, "other")
+
+
+def _sketched(df: DataFrame, fields: list[tuple[int, T.StructField]]) -> DataFrame:
+    measures = [F.count(F.lit(1)).alias("rows")]
     for i, field in fields:
-        value, kind = col(field.name), kind_of(field.dataType)
-        there = is_present(value, field.dataType)
-        comparable = kind not in ("list", "other")
-        counted = F.when(there, value) if comparable else F.when(there, F.to_json(value))
-        text = kind == "text"
-        zero = F.lit(0).cast("bigint")
-        measures += [
-            F.count_if(~there).alias(f"nulls{i}"),
-            _distinct(counted, approximate).alias(f"distinct{i}"),
-            (F.count_if(value.rlike(NUMBER_TEXT)) if text
-             else F.count_if(to_number(value, field.dataType).isNotNull()) if kind in ("int", "float", "bool")
-             else zero).alias(f"numbers{i}"),
-            (F.count_if(to_moment(value, field.dataType).isNotNull()) if text else zero).alias(f"moments{i}"),
-            (F.count_if(value.contains(",")) if text else zero).alias(f"commas{i}"),
-        ]
-        ratio = F.col(f"distinct{i}") / F.col("rows")
-        label = {"int": "numeric", "float": "numeric", "bool": "numeric", "time": "datetime", "list": "list"}.get(kind)
-        named = F.when(ratio < CATEGORY_RATIO, "categorical").otherwise("text") if text else F.lit(label or "other")
-        entries.append(F.struct(
-            F.lit(field.name).alias("column"), F.lit(i).alias("position"), named.alias("kind"),
-            F.lit(field.dataType.simpleString()).alias("dtype"), F.col("rows").alias("rows"),
-            *[F.col(f"{m}{i}").alias(n) for m, n in (
-                ("nulls", "nulls"), ("distinct", "distinct_values"), ("numbers", "numbers"),
-                ("moments", "moments"), ("commas", "commas"))],
-        ))
+        there = is_present(col(field.name), field.dataType)
+        measures += [F.count_if(~there).alias(f"nulls{i}"),
+                     F.approx_count_distinct(F.when(there, _comparable_cell(field))).alias(f"distinct_values{i}"),
+                     *[F.count_if(c).alias(f"{m}{i}") for m, c in _readable(field).items()]]
+    entries = [_entry(i, f, {m: F.col("rows" if m == "rows" else f"{m}{i}") for m in MEASURES}) for i, f in fields]
     return df.agg(*measures).select(F.inline(F.array(*entries)))
 
 
+def _entry(i: int, field: T.StructField, measured: dict[str, Column]) -> Column:
+    """The line of a column in the profile."""
+    few = measured["distinct_values"] / measured["rows"] < CATEGORY_RATIO
+    named = F.lit(_label(field)) if _label(field) else F.when(few, "categorical").otherwise("text")
+    return F.struct(F.lit(field.name).alias("column"), F.lit(i).alias("position"), named.alias("kind"),
+                    F.lit(field.dataType.simpleString()).alias("dtype"), *[c.alias(m) for m, c in measured.items()])
+
+
 def table_flags(profile: DataFrame, columns: list[str]) -> DataFrame:
     """One row of table properties, from a column profile."""
     kind, first = F.col("kind"), F.col("position") == 0

@@ -42,6 +42,18 @@ def profile_with_nulls(t):
     return profiling.profile_columns(rows).select(*SHOWN)
 
 
+# forty columns in one scan
+WIDE = {f"p{k}": f"l_partkey % {k + 2}" for k in range(20)}
+WIDE |= {f"w{k}": f"concat('v', l_suppkey % {3 * k + 1}, ',')" for k in range(10)} | {f"o{k}": f"nullif(l_orderkey % {7 * k + 5}, {k})" for k in range(10)}
+
+
+@query(profile_sql(f"(SELECT {', '.join(f'{v} AS {n}' for n, v in WIDE.items())} FROM lineitem)",
+                   {n: "?" if n[0] == "w" else "numeric" for n in WIDE}))
+def profile_wide(t):
+    rows = t("lineitem").select(*[F.expr(v).alias(n) for n, v in WIDE.items()])
+    return profiling.profile_columns(rows).select(*SHOWN)
+
+
 @query("""WITH o AS (SELECT count(*) AS n, count(DISTINCT o_orderstatus) AS s, count(DISTINCT o_orderpriority) AS p,
  count(DISTINCT o_orderkey) AS k, count(*) FILTER (contains(o_orderstatus, ',') OR contains(o_orderpriority, ',')) AS commas FROM orders)
 SELECT n AS n_rows, 6::BIGINT AS n_columns, 3::BIGINT AS n_numeric, (s / n < 0.5)::BIGINT + (p / n < 0.5)::BIGINT AS n_categorical,
