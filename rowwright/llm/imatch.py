@@ -1,10 +1,10 @@
 """I-Match fingerprints over randomised lexicon subsets.
 
-The lexicon holds the terms whose inverse document frequency lies in a band.  A slot is a
-random subset of the lexicon; a document's distinct terms of a slot are sorted and
-hashed together.  Slots come in six levels, each with a quarter of the terms of the one before,
-so documents of any length have slots in which they hold only one or two terms; those make
-up the fingerprint, since a hash over many terms says nothing after an edit.
+The lexicon holds the terms whose inverse document frequency lies in a band.  A document's distinct terms
+of a lexicon subset are sorted and hashed together.  There are six nested subsets, each with a quarter of the terms of the one before, each
+hashed whole; each is cut into parts, which are smaller subsets.  Documents of any length have parts in which they hold
+only one or two terms: those tell how like two documents are, since a hash over many terms says nothing after an edit.
+Short documents use a thousand fine parts of the lexicon, so hardly any two of their terms share one.
 """
 
 from __future__ import annotations
@@ -24,8 +24,12 @@ from .common import Memo, map_rows, pick
 #: Share of documents that hold a term of the lexicon: at least and at most. The lower bound also bounds the
 #: lexicon: at most (mean distinct terms per document) / RAREST terms, whatever the number of documents.
 RAREST, COMMONEST = 0.001, 0.1
-LEVELS, PARTS, FEW = 6, 16, 2
-HEAD = LEVELS * PARTS // 8
+LEVELS, PARTS, FEW = 6, 32, 2
+#: Parts for documents of so few terms of the lexicon, and the number of the first of them.
+FINE, SHORT, FIRST_FINE = 1024, 48, 256
+#: A fingerprint: a bit for each dense part, a whole hash for each level, whether the fine parts are there, then eight bytes a part.
+BITS, WHOLE = LEVELS * PARTS // 8, 6
+HEAD = BITS + LEVELS * WHOLE + 1
 #: Distinct terms a task counts before it hands them on.
 HELD = 400_000
 SCATTER = np.uint64(0x9E3779B97F4A7C15)
@@ -61,49 +65,75 @@ def lexicon(df: DataFrame, text: str) -> np.ndarray:
     return np.sort(kept.toPandas()["term"].to_numpy(np.int64))
 
 
+def _stir(values: np.ndarray) -> np.ndarray:
+    values = values * SCATTER
+    values = (values ^ (values >> np.uint64(31))) * SCATTER
+    return values ^ (values >> np.uint64(29))
+
+
+def part_hashes(terms_of: np.ndarray, parts: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For sorted term hashes and their parts: the parts in use, how many terms each holds, and a record for each, the number
+    of the part (two bytes) and a hash of its terms in order (six)."""
+    order = np.argsort(parts, kind="stable")  # within a part the terms stay sorted
+    placed = parts[order]
+    starts = np.flatnonzero(np.append(True, placed[1:] != placed[:-1]))
+    used, counts = placed[starts], np.diff(np.append(starts, len(placed)))
+    rank = (np.arange(len(placed)) - np.repeat(starts, counts)).astype(np.uint64)
+    mixed = _stir(terms_of[order].view(np.uint64) + _stir(rank + np.uint64(1)))
+    number = (used + start).astype(np.uint64)
+    hashed = _stir(np.add.reduceat(mixed, starts) + _stir(number))
+    return used, counts, number << np.uint64(48) | hashed >> np.uint64(16)
+
+
 def fingerprint(hashes: np.ndarray) -> bytes:
-    """Of sorted distinct term hashes: which slots are dense, then slot and hash of every sparse one."""
-    drawn = hashes.view(np.uint64) * SCATTER
-    drawn = (drawn ^ (drawn >> np.uint64(31))) * SCATTER
-    drawn ^= drawn >> np.uint64(29)
-    part = (drawn & np.uint64(PARTS - 1)).astype(np.int64)
-    dense, out = 0, []
+    """Of sorted distinct term hashes; see ``BITS`` and ``HEAD`` for the layout."""
+    drawn = _stir(hashes.view(np.uint64))
+    dense, whole, records = 0, [], []
     for level in range(LEVELS):
-        chosen = (drawn >> np.uint64(4)) & np.uint64(4**level - 1) == 0
-        mine, place = hashes[chosen], part[chosen]
+        chosen = (drawn >> np.uint64(20)) & np.uint64(4**level - 1) == 0
+        mine = hashes[chosen]
         if not len(mine):
             break
-        order = np.argsort(place, kind="stable")  # within a part the terms stay sorted
-        data = mine[order].tobytes()
-        counts = np.bincount(place, minlength=PARTS).tolist()
-        at = 0
-        for p, count in enumerate(counts):
-            slot = level * PARTS + p
-            if count > FEW:
-                dense |= 1 << slot
-            elif count:
-                hashed = xxhash.xxh3_64_digest(data[8 * at:8 * (at + count)], seed=slot)
-                out.append(bytes([slot]) + hashed[:7])
-            at += count
-    return dense.to_bytes(HEAD, "big") + b"".join(out)
+        whole.append(xxhash.xxh3_64_digest(mine.tobytes(), seed=level)[:WHOLE])
+        used, counts, found = part_hashes(mine, (drawn[chosen] & np.uint64(PARTS - 1)).astype(np.int64), level * PARTS)
+        few = counts <= FEW
+        records.append(found[few])
+        for part in used[~few].tolist():
+            dense |= 1 << (level * PARTS + part)
+    fine = 0 < len(hashes) <= SHORT
+    if fine:
+        records.append(part_hashes(hashes, ((drawn >> np.uint64(40)) & np.uint64(FINE - 1)).astype(np.int64), FIRST_FINE)[2])
+    return b"".join([dense.to_bytes(BITS, "big"), *whole, bytes(WHOLE * (LEVELS - len(whole))), bytes([fine]),
+                     np.concatenate(records).tobytes() if records else b""])
+
+
+def _records(made: bytes, dense: int, fine: bool) -> dict[int, int]:
+    """The parts to compare and their hashes: the fine ones, or those that are dense in neither document."""
+    found = np.frombuffer(made, np.uint64, offset=HEAD).tolist()
+    parts = {r >> 48: r for r in found}
+    return {p: r for p, r in parts.items() if (p >= FIRST_FINE) == fine and not (dense >> p & 1 and not fine)}
 
 
 def likeness(one: bytes, two: bytes) -> float:
-    """Share of equal slots among those that are sparse in both and not empty in both; equal
-    fingerprints are 1, and 0 if no slot can be compared."""
+    """Share of equal parts among those that one of two documents has and neither is dense in; the fine parts
+    if both have them.  Equal fingerprints are 1.  Without a part to compare, the share of equal whole levels."""
     if one == two:
         return 1.0
-    dense = int.from_bytes(one[:HEAD], "big") | int.from_bytes(two[:HEAD], "big")
-    a, b = ({x[i]: x[i + 1:i + 8] for i in range(HEAD, len(x), 8) if not dense >> x[i] & 1} for x in (one, two))
-    slots = a.keys() | b.keys()
-    return sum(a.get(s) == b.get(s) for s in slots) / len(slots) if slots else 0.0
+    dense = int.from_bytes(one[:BITS], "big") | int.from_bytes(two[:BITS], "big")
+    fine = bool(one[HEAD - 1] and two[HEAD - 1])
+    a, b = _records(one, dense, fine), _records(two, dense, fine)
+    parts = a.keys() | b.keys()
+    if parts:
+        return sum(a.get(p) == b.get(p) for p in parts) / len(parts)
+    wholes = [(x[k:k + WHOLE]) for x in (one, two) for k in range(BITS, HEAD - 1, WHOLE)]
+    pairs = [(x, y) for x, y in zip(wholes[:LEVELS], wholes[LEVELS:], strict=True) if any(x) or any(y)]
+    return sum(x == y for x, y in pairs) / len(pairs) if pairs else 0.0
 
 
 class Printer:
     """Fingerprints of texts by a given lexicon.
 
-    Without a sparse slot four more slots hold a digest, of the terms in the lexicon or, if there are
-    none, of the text, so the fingerprint tells such texts apart.
+    A text without a term of it has the digest of the text in four parts of its own, so its fingerprint tells it apart.
     """
 
     def __init__(self, words: np.ndarray):
@@ -119,10 +149,11 @@ class Printer:
         found = [h for h in map(self.known.__getitem__, terms(text)) if h is not False]
         hashes = np.sort(np.array(found, np.int64))
         made = fingerprint(hashes)
-        if len(made) > HEAD:
+        if len(hashes):
             return made
-        whole = hashlib.sha256(hashes.tobytes() or text.encode()).digest()
-        return made + b"".join(bytes([LEVELS * PARTS + k]) + whole[7 * k:7 * k + 7] for k in range(4))
+        digest = hashlib.sha256(text.encode()).digest()
+        own = [(FIRST_FINE + FINE + k) << 48 | int.from_bytes(digest[6 * k:6 * k + 6], "big") for k in range(4)]
+        return made[:HEAD - 1] + b"\x01" + np.array(own, np.uint64).tobytes()
 
 
 def edited(text: str, after: str) -> str:
@@ -141,25 +172,34 @@ def neighbours(df: DataFrame, doc_id: str, text: str, function, schema: str) ->
     spark = df.sparkSession
     width = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     ids = pick(df, id=doc_id)
-    cuts = ids.agg(F.percentile_approx("id", [i / width for i in range(1, width)], 20 * width).alias("c")).first().c or []
-    cuts = sorted(set(cuts))
-
-    @F.pandas_udf("int")
-    def range_of(column):
-        return column.map(lambda v: 0 if v != v or v is None else bisect_right(cuts, v)).astype("int32")
-
-    place = F.when(F.col("id").isNull(), 0).otherwise(range_of(F.coalesce("id", F.lit(0))))
-    firsts = ids.groupBy(place.alias("place")).agg(F.min("id").alias("first"), F.max(F.col("id").isNull()).alias("none"))
+    kind = df.schema[doc_id].dataType.simpleString()
+    # borders from the ids with the least hashes, a bounded sample that is the same in every run
+    some = ids.filter("id IS NOT NULL").orderBy(F.xxhash64("id"), "id").limit(20 * width).collect()
+    sampled = sorted(r.id for r in some)
+    cuts = sorted({sampled[len(sampled) * i // width] for i in range(1, width)}) if sampled else []
+
+    def place_of(i) -> int:
+        return 0 if i is None else bisect_right(cuts, i)
+
+    def least(source):
+        held: dict[int, tuple] = {}
+        for (i,) in source:
+            at = place_of(i)
+            if at not in held or i is None or (held[at][0] is not None and i < held[at][0]):
+                held[at] = (i,)
+        yield from ((at, i, i is None) for at, (i,) in held.items())
+
+    firsts = map_rows(ids, least, f"place int, id {kind}, none boolean").groupBy("place").agg(
+        F.min("id").alias("first"), F.bool_or("none").alias("none"))
     rows = sorted((r.place, None if r.none else r.first) for r in firsts.collect())
     first = dict(rows)
     before = {p: rows[k - 1][0] for k, (p, _) in enumerate(rows)}
-    kind = df.schema[doc_id].dataType.simpleString()
 
     def send(source):
         pack = zstandard.ZstdCompressor(level=3)
         for i, t in source:
             data = (t or "").encode()
-            at = 0 if i is None else bisect_right(cuts, i)
+            at = place_of(i)
             row = i, hashlib.sha256(data).digest(), pack.compress(data)
             yield at, 0, *row
             if i == first[at]:
@@ -187,7 +227,7 @@ def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     """One row per document: ``(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next)``.
 
     Null texts count as empty; a text without a term of the lexicon has a digest of itself
-    in its slots and is like only to its equals.  Equal texts have equal fingerprints.  Fingerprints are in hex.
+    in its parts and is like only to its equals.  Ids of any ordered type, null or repeated, and extra columns are allowed.  Equal texts have equal fingerprints.  Fingerprints are in hex.
     """
     words = df.sparkSession.sparkContext.broadcast(lexicon(df, text))
     kind = df.schema[doc_id].dataType.simpleString()

@@ -224,6 +224,59 @@ def test_texts_without_terms_of_the_band_are_told_apart(spark):
         assert seen.setdefault(printer(text), text) == text
 
 
+def plain_parts(terms):
+    """Parts of every level by plain loops over single terms."""
+    stir = lambda v: int(imatch._stir(np.array([v], np.uint64))[0])
+    parts, fine = {}, {}
+    for t in sorted(terms):
+        drawn = stir(t % 2**64)
+        for level in range(imatch.LEVELS):
+            if drawn >> 20 & (4**level - 1):
+                break
+            parts.setdefault(level * imatch.PARTS + drawn % imatch.PARTS, []).append(t)
+        fine.setdefault(drawn >> 40 & (imatch.FINE - 1), []).append(t)
+    return parts, fine
+
+
+@pytest.mark.parametrize("n", [1, 2, 30, 48, 49, 700, 9000])
+def test_parts_hold_the_terms_they_should(n):
+    rng = np.random.default_rng(n)
+    one = np.unique(rng.integers(-2**63, 2**63, n))
+    two = np.unique(np.append(one[: len(one) * 3 // 4 + 1], rng.integers(-2**63, 2**63, n // 4)))
+    made = [imatch.fingerprint(x) for x in (one, two)]
+    (a, fine_a), (b, fine_b) = (plain_parts(x.tolist()) for x in (one, two))
+    for parts, m in ((a, made[0]), (b, made[1])):
+        dense = int.from_bytes(m[:imatch.BITS], "big")
+        assert {p for p in range(imatch.LEVELS * imatch.PARTS) if dense >> p & 1} == {p for p, t in parts.items() if len(t) > imatch.FEW}
+    if max(len(one), len(two)) <= imatch.SHORT:
+        x, y = fine_a, fine_b
+    else:
+        x, y = ({p: t for p, t in q.items() if len(a.get(p, ())) <= imatch.FEW and len(b.get(p, ())) <= imatch.FEW} for q in (a, b))
+    keys = x.keys() | y.keys()
+    assert imatch.likeness(*made) == pytest.approx(sum(x.get(p) == y.get(p) for p in keys) / len(keys))
+    assert imatch.likeness(*made) > 0.3 or n < 3
+
+
+def test_edited_texts_stay_like_and_ids_may_be_texts(spark):
+    got = imatch.fingerprints(queries.table(spark, "/root/testdata/sf0.01", "documents")).collect()
+    assert sum(r.near_edited for r in got) / len(got) > 0.5 > 20 * sum(r.near_next for r in got) / len(got)
+    # against the resemblance of all terms of the lexicon
+    docs = queries.table(spark, "/root/testdata/sf0.01", "documents")
+    printer = imatch.Printer(imatch.lexicon(docs, "text"))
+    ordered = sorted((r.doc_id, r.text or "") for r in docs.collect())
+    near, errors = {r.doc_id: r.near_edited for r in got}, []
+    for k, (i, t) in enumerate(ordered):
+        both = [{h for h in map(printer.known.__getitem__, imatch.terms(x)) if h is not False} for x in (t, imatch.edited(t, ordered[(k + 1) % len(ordered)][1]))]
+        if both[0] and both[1]:
+            errors.append((abs(near[i] - len(both[0] & both[1]) / len(both[0] | both[1])), near[i], len(both[0] & both[1]) / len(both[0] | both[1])))
+    assert sum(e for e, *_ in errors) / len(errors) < 0.12
+    assert max([true for _, n, true in errors if n == 0], default=0) < 0.25
+    named = spark.createDataFrame([("b", "two words"), ("a", "one"), (None, "x"), ("c", None)], "doc_id string, text string")
+    found = {r.doc_id: r for r in imatch.fingerprints(named).collect()}
+    assert found["a"].edited_sha256 == recipes.hashlib.sha256(b"one").hexdigest() and len(found) == 4
+    assert found["b"].edited_sha256 == recipes.hashlib.sha256(b"two wor").hexdigest()
+
+
 def test_lexicon_is_the_band(spark):
     docs = [(i, "all " + ("half " if i % 20 == 0 else "") + f"own{i}") for i in range(2000)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
