@@ -283,6 +283,44 @@ def union_possible(left: DataFrame, right: DataFrame) -> bool:
     return [(f.name, f.dataType) for f in left.schema] == [(f.name, f.dataType) for f in right.schema]
 
 
+def table_pairs(catalogue: DataFrame) -> DataFrame:
+    """``(one, two, shared, joins, unions)`` of all pairs of tables in a catalogue that can be joined or unioned.
+
+    ``catalogue`` has a row for each column: ``table``, ``position``, ``column``, ``dtype``.  Tables meet through an index of their
+    column names, so pairs without a common name are never looked at.  A join needs equal types in all shared names, a
+    union the same columns in the same order; ``one`` is the lesser name.
+    """
+    own = catalogue.groupBy("table").agg(
+        F.array_sort(F.collect_list(F.struct("position", "column", "dtype"))).alias("columns"))
+    layout = F.to_json(F.transform("columns", lambda c: F.struct(c["column"], c["dtype"])))
+    own = own.select("table", F.md5(layout.cast("binary")).alias("layout"))
+    known = catalogue.select("table", "column", "dtype").join(own, "table")
+    left, right = known.alias("l"), known.alias("r")
+    met = left.join(right, (F.col("l.column") == F.col("r.column")) & (F.col("l.table") < F.col("r.table")))
+    counted = met.groupBy(F.col("l.table").alias("one"), F.col("r.table").alias("two")).agg(
+        F.count("*").alias("shared"), F.bool_and(F.col("l.dtype") == F.col("r.dtype")).alias("joins"),
+        F.bool_and(F.col("l.layout") == F.col("r.layout")).alias("unions"))
+    return counted.filter(F.col("joins") | F.col("unions"))
+
+
+def catalogue_name_pairs(catalogue: DataFrame) -> DataFrame:
+    """``(table, one, two, beginnings)``: what ``wide_name_pairs`` finds, for all tables of a catalogue (``table``, ``column``) at once.
+
+    Names are cut into words, and each beginning of a name lists the endings behind it; ``one`` is the lesser ending.
+    Pairs arise within one beginning of one table only.
+    """
+    words = F.regexp_extract_all(F.regexp_replace("column", "[" + re.escape("".join(SEPARATORS)) + "]", " "), F.lit("([0-9]+|[^0-9 ]+)"), 1)
+    cut = catalogue.select("table", words.alias("w")).filter(F.size("w") > 1)
+    cut = cut.select("table", "w", F.explode(F.sequence(F.lit(1), F.size("w") - 1)).alias("at"))
+    parts = cut.select("table", F.slice("w", F.lit(1), F.col("at")).alias("beginning"),
+                       F.slice("w", F.col("at") + 1, F.size("w")).alias("ending")).distinct()
+    behind = parts.groupBy("table", "beginning").agg(F.array_sort(F.collect_set("ending")).alias("endings")).filter(F.size("endings") > 1)
+    ones = behind.select("table", "beginning", "endings", F.posexplode("endings").alias("at", "one"))
+    pairs = ones.select("table", "beginning", "one", F.explode(F.slice("endings", F.col("at") + 2, F.size("endings"))).alias("two"))
+    counted = pairs.groupBy("table", "one", "two").agg(F.count("*").alias("beginnings")).filter(F.col("beginnings") >= 2)
+    return counted.select("table", F.array_join("one", "_").alias("one"), F.array_join("two", "_").alias("two"), "beginnings")
+
+
 def pair_operations(tables: dict[str, DataFrame], join_columns: dict[str, str] | None = None) -> list[dict]:
     """Joins and unions possible between the tables; needs their schemas only."""
     known, found = join_columns or {}, []

@@ -380,3 +380,14 @@ def test_quotas_are_the_first_draws(spark, monkeypatch, bits, near):
     drawn = sorted((r.d, r.id, r.g) for r in df.withColumn("d", draw(F.col("id"), 5)).collect())
     for g, n in limits.items():
         assert {r.id for r in got if r.g == g} == {i for _, i, own in [x for x in drawn if x[2] == g][:n]}
+
+
+def test_catalogue_pairs_agree_with_single_tables(spark):
+    names = ["sales_2019", "sales_2020", "cost_2019", "cost_2020", "id", "a.b.1", "x 1 y"]
+    tables = {"t1": names, "t2": names[:3], "t3": ["id"]}
+    rows = [(t, i, c, "bigint" if (t, c) != ("t3", "id") else "string") for t, own in tables.items() for i, c in enumerate(own)]
+    catalogue = spark.createDataFrame(rows, "table string, position int, column string, dtype string")
+    got = {(r.table, frozenset((r.one, r.two)), r.beginnings) for r in profiling.catalogue_name_pairs(catalogue).collect()}
+    assert got == {(t, frozenset(p[:2]), p[2]) for t, own in tables.items() for p in profiling.wide_name_pairs(own)}
+    pairs = {(r.one, r.two): (r.shared, r.joins, r.unions) for r in profiling.table_pairs(catalogue).collect()}
+    assert pairs == {("t1", "t2"): (3, True, False)}

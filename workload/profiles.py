@@ -214,3 +214,29 @@ def score_result_tables(t):
     got = cells(made.filter("not (kind = 2 and row = 0)")).join(
         rows.filter("kind = 1").select("item").distinct().withColumn("column", F.lit("price")), ["item", "column"], "left_anti")
     return scoring.score_results(got, cells(rows))
+
+
+# every order as a table whose columns are its parts; those of one supplier list are of one type
+@query("""WITH c AS (SELECT l_orderkey AS tbl, 'p' || l_partkey AS col, min(l_linenumber) AS place, min(CASE WHEN l_suppkey % 3 = 0 THEN 'int' ELSE 'text' END) AS kind
+ FROM lineitem GROUP BY ALL),
+s AS (SELECT tbl, string_agg(col || ' ' || kind, ',' ORDER BY place) AS layout FROM c GROUP BY tbl)
+SELECT a.tbl AS one, b.tbl AS two, count(*) AS shared, bool_and(a.kind = b.kind) AS joins, bool_and(x.layout = y.layout) AS unions
+FROM c a JOIN c b ON a.col = b.col AND a.tbl < b.tbl JOIN s x ON x.tbl = a.tbl JOIN s y ON y.tbl = b.tbl
+GROUP BY a.tbl, b.tbl HAVING bool_and(a.kind = b.kind) OR bool_and(x.layout = y.layout)""")
+def table_pairs(t):
+    catalogue = t("lineitem").groupBy(F.col("l_orderkey").alias("table"), F.concat(F.lit("p"), "l_partkey").alias("column")).agg(
+        F.min("l_linenumber").alias("place"), F.min(F.expr("case when l_suppkey % 3 = 0 then 'int' else 'text' end")).alias("dtype"))
+    # positions count from the first column, as in a schema; their order is all that matters
+    return profiling.table_pairs(catalogue.withColumnRenamed("place", "position"))
+
+
+# names of two or three words; endings behind two common beginnings make a table wide
+@query("""WITH n AS (SELECT DISTINCT o_custkey AS tbl, 'b' || (o_orderkey % 3) || '_' || lower(left(o_orderpriority, 1)) || '_' || lower(o_orderstatus) AS name FROM orders),
+w AS (SELECT tbl, ['b', substr(name, 2, 1), substr(name, 4, 1), substr(name, 6, 1)] AS w FROM n),
+p AS (SELECT DISTINCT tbl, w[1:k] AS beginning, w[k + 1:] AS ending FROM w, (SELECT unnest([1, 2, 3]) AS k))
+SELECT a.tbl AS "table", array_to_string(a.ending, '_') AS one, array_to_string(b.ending, '_') AS two, count(*) AS beginnings
+FROM p a JOIN p b ON a.tbl = b.tbl AND a.beginning = b.beginning AND a.ending < b.ending GROUP BY a.tbl, a.ending, b.ending HAVING count(*) >= 2""")
+def wide_name_pairs(t):
+    name = F.concat_ws("_", F.concat(F.lit("b"), F.col("o_orderkey") % 3), F.lower(F.left("o_orderpriority", F.lit(1))), F.lower("o_orderstatus"))
+    names = t("orders").select(F.col("o_custkey").alias("table"), name.alias("column"))
+    return profiling.catalogue_name_pairs(names)
