@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from ..functions.convert import to_number
 from ..functions.ranking import rank_in_groups
 from ..session import cut_lineage
-from .comparing import close, grid_cell
+from .comparing import ABSOLUTE, RELATIVE, close, grid_cell
 
 SIDE, RANK = "__side", "__rank"
 
@@ -32,12 +32,12 @@ def _columns(cells: DataFrame) -> DataFrame:
         F.bool_and(F.col("value").isNull() | number.isNotNull()).alias("numeric"))
 
 
-def score_results(results: DataFrame, targets: DataFrame) -> DataFrame:
+def score_results(results: DataFrame, targets: DataFrame, tolerance: float = ABSOLUTE, relative: float = RELATIVE) -> DataFrame:
     """``(item, status, error)``: ``success``, or ``partial`` and the first rule that failed.
 
     The rules are those for two tables: the same columns in any order, as many rows, and
     equal cells once both sides are sorted, text columns first.  A column that holds
-    numbers only is compared with tolerance.  A task without a result is an ``error``.
+    numbers only is compared within ``tolerance + relative * |target|``.  A task without a result is an ``error``.
     Tasks are sorted apart; one that holds much of the corpus is split over tasks of Spark.
     """
     cells = _sides(results, targets)
@@ -56,10 +56,10 @@ def score_results(results: DataFrame, targets: DataFrame) -> DataFrame:
     lines = typed.groupBy("item", SIDE, "row").agg(F.array_sort(F.collect_list(cell)).alias("cells"))
     lines = cut_lineage(lines)  # read twice below
     ranked = rank_in_groups(lines, [SIDE, "item"], [
-        F.col("cells.text"), F.transform("cells.number", lambda n: grid_cell(n)), F.col("cells.number")], RANK, spread=["item"])
+        F.col("cells.text"), F.transform("cells.number", lambda n: grid_cell(n, tolerance)), F.col("cells.number")], RANK, spread=["item"])
     pairs = ranked.groupBy("item", RANK).agg(
         *[F.max(F.when(F.col(SIDE) == side, F.col("cells"))).alias(name) for side, name in ((0, "got"), (1, "want"))])
-    differing = F.filter(F.arrays_zip("got", "want"), lambda p: ~_same_cell(p.got, p.want))
+    differing = F.filter(F.arrays_zip("got", "want"), lambda p: ~_same_cell(p.got, p.want, tolerance, relative))
     judged = pairs.groupBy("item").agg(
         F.count_if(F.col("got").isNotNull()).alias("n_got"), F.count_if(F.col("want").isNotNull()).alias("n_want"),
         F.min(F.when(F.col("got").isNotNull() & F.col("want").isNotNull(),
@@ -76,6 +76,6 @@ def score_results(results: DataFrame, targets: DataFrame) -> DataFrame:
     return names.join(judged, "item").select("item", status.alias("status"), error.alias("error"))
 
 
-def _same_cell(a, b):
+def _same_cell(a, b, tolerance: float, relative: float):
     texts = a.text.eqNullSafe(b.text)
-    return texts & close(a.number, b.number)
+    return texts & close(a.number, b.number, tolerance, relative)

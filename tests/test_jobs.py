@@ -391,3 +391,10 @@ def test_catalogue_pairs_agree_with_single_tables(spark):
     assert got == {(t, frozenset(p[:2]), p[2]) for t, own in tables.items() for p in profiling.wide_name_pairs(own)}
     pairs = {(r.one, r.two): (r.shared, r.joins, r.unions) for r in profiling.table_pairs(catalogue).collect()}
     assert pairs == {("t1", "t2"): (3, True, False)}
+
+
+def test_scores_take_a_tolerance(spark):
+    cells = lambda x: spark.createDataFrame([("t", 0, "n", x), ("t", 0, "w", "a")], "item string, row int, column string, value string")
+    assert scoring.score_results(cells("1.0"), cells("1.4")).first().status == "partial"
+    assert scoring.score_results(cells("1.0"), cells("1.4"), tolerance=0.5).first().status == "success"
+    assert scoring.score_results(cells("1.0"), cells("1.4"), tolerance=0, relative=0.3).first().status == "success"
