@@ -11,6 +11,7 @@ import duckdb
 import numpy as np
 import pytest
 from oracle import difference
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from rowwright.llm import gam, imatch, lbl, minmax, mixing, queries, recipes, wrapper
@@ -484,3 +485,14 @@ def test_pipeline_runs_on_odd_rows(spark, tmp_path, odd):
     odd.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+def test_stages_take_columns_of_any_name_and_empty_tables(spark, folder):
+    names = ["label_id", "__turn", "__id", "__copies", "__row", "c0", "band", "hub"]
+    docs = queries.table(spark, folder, "documents").filter("doc_id < 60")
+    docs = docs.select("*", *[F.lit("x").alias(n) for n in names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        left = stage(spark, docs, folder)
+        assert left.columns == docs.columns, name
+        assert {tuple(r)[-len(names):] for r in left.collect()} == {("x",) * len(names)}, name
+        assert stage(spark, docs.limit(0), folder).count() == 0, name
