@@ -165,15 +165,16 @@ def compare_tables(left: DataFrame, right: DataFrame, store: bool = False, toler
     rest = _leftovers(both, exact, numbers, tolerance)
     surplus = rest.agg(F.sum(F.when(F.col(SIDE) == 0, F.col(COPIES)).otherwise(-F.col(COPIES)))).first()[0]
     sizes = (str(left.count()), str(right.count())) if surplus else ("", "")
-    found = _report(rest, exact, numbers, sizes, tolerance, relative).collect()
+    aligned = cut_lineage(_aligned(rest, exact, numbers))
+    found = _report(aligned, exact, numbers, sizes, tolerance, relative).collect()
     if any(r.check == "values" for r in found):
-        failing = _failing(_aligned(rest, exact, numbers), exact, numbers, tolerance, relative)
+        failing = _failing(aligned, exact, numbers, tolerance, relative)
         equal = cut_lineage(pairable(both, failing, exact, numbers, SIDE, tolerance, relative))
         if not equal.isEmpty():
             same = [col(n).eqNullSafe(F.col(f"__e{i}")) for i, n in enumerate(exact)]
             equal = equal.toDF("__group", *[f"__e{i}" for i in range(len(exact))])
-            rest = rest.join(equal, same, "left_anti") if exact else rest.limit(0)
-            found = _report(rest, exact, numbers, sizes, tolerance, relative).collect()
+            aligned = aligned.join(equal, same, "left_anti") if exact else aligned.limit(0)
+            found = _report(aligned, exact, numbers, sizes, tolerance, relative).collect()
     return spark.createDataFrame(found, REPORT)
 
 
@@ -187,10 +188,9 @@ def _failing(aligned: DataFrame, exact: list[str], numbers: list[str], tolerance
     return judged.filter("__whole AND __apart").select(*[col(n) for n in exact])
 
 
-def _report(rest: DataFrame, exact: list[str], numbers: list[str], sizes: tuple[str, str], tolerance: float,
+def _report(aligned: DataFrame, exact: list[str], numbers: list[str], sizes: tuple[str, str], tolerance: float,
             relative: float) -> DataFrame:
     """The failed checks of leftover rows, paired by order."""
-    aligned = _aligned(rest, exact, numbers)
     in_left, in_right = F.col(IN_LEFT).isNotNull(), F.col(IN_RIGHT).isNotNull()
     shown = F.to_json(F.struct(*[col(n) for n in exact])) if exact else F.lit("row")
     alone = F.struct(F.when(in_left, shown).alias("left"), F.when(in_right, shown).alias("right"))

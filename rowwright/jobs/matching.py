@@ -121,10 +121,13 @@ def pairable(rows: DataFrame, groups: DataFrame, exact: list[str], numbers: list
     named = rows.select(*[col(n).alias(f"e{i}") for i, n in enumerate(exact)],
                         *[(col(n).cast("double") + F.lit(0.0)).alias(f"v{i}") for i, n in enumerate(numbers)], F.col(side).alias("side"))
     exact_names, values = [f"e{i}" for i in range(len(exact))], [f"v{i}" for i in range(len(numbers))]
-    wanted = groups.select(*[col(n).alias(f"w{i}") for i, n in enumerate(exact)])
+    same = [F.col(f"e{i}").eqNullSafe(F.col(f"w{i}")) for i in range(len(exact))]
     if exact:
-        same = [F.col(f"e{i}").eqNullSafe(F.col(f"w{i}")) for i in range(len(exact))]
-        named = named.join(wanted, same, "left_semi")
+        wanted = groups.select(*[col(n).alias(f"w{i}") for i, n in enumerate(exact)])
+        hopeful = cut_lineage(_with_close_sums(named.join(wanted, same, "left_semi"), exact_names, values, tolerance, relative))
+        if hopeful.isEmpty():
+            return hopeful.toDF("__group", *exact)
+        named = named.join(hopeful.select(*[F.col(e).alias(f"w{i}") for i, e in enumerate(exact_names)]), same, "left_semi")
     cells = [tolerance_cell(F.col(v), tolerance, relative).alias(f"c{i}") for i, v in enumerate(values)]
     cell_names = [f"c{i}" for i in range(len(values))]
     copied = named.groupBy(*exact_names, *values, "side").agg(F.count("*").alias("copies"))
@@ -163,6 +166,21 @@ def pairable(rows: DataFrame, groups: DataFrame, exact: list[str], numbers: list
     return kept.toDF("__group", *exact)
 
 
+def _with_close_sums(rows: DataFrame, exact: list[str], values: list[str], tolerance: float, relative: float) -> DataFrame:
+    """Groups in which no column's sums differ by more than all tolerances together; no other can be paired."""
+    left = F.col("side") == 0
+    measures = []
+    for i, v in enumerate(values):
+        size = F.abs(v)
+        measures += [F.coalesce(F.abs(F.sum(F.when(left, F.col(v)).otherwise(-F.col(v)))), F.lit(0.0)).alias(f"d{i}"),
+                     F.coalesce(F.sum(F.when(~left, F.lit(tolerance) + F.lit(relative) * size)) + F.lit(1e-12) * F.sum(size), F.lit(0.0)).alias(f"t{i}")]
+    sums = rows.groupBy(*exact).agg(*measures)
+    apart = F.lit(False)
+    for i in range(len(values)):
+        apart = apart | (~F.isnan(f"d{i}") & (F.col(f"d{i}") > F.col(f"t{i}")))
+    return sums.filter(~apart).select(F.lit("").alias("group"), *exact)
+
+
 def _failing_groups(tolerance: float, relative: float):
     """Per partition of rows sorted by component: the groups of components that cannot be paired wholly."""
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:

@@ -17,7 +17,7 @@ BASE_ROWS, OVERLAP_ROWS, NULLED_ROWS = 0.6, 0.3, 0.1
 LOW_SHARE, MIDDLE_SHARE, SINGLE_STEP_SHARE = 0.15, 0.55, 0.6
 DRAW = "__draw"
 TOP_N = 10_000  # largest sample taken as a top-n, and rows looked at one by one
-SLICE_BITS = 12  # leading bits of draws that are counted at a time
+SLICE_BITS = 10  # leading bits of draws that are counted at a time
 
 
 def weighted_choice(key: Column, weights: dict[str, float], seed: object = 0) -> Column:
@@ -69,7 +69,7 @@ def first_drawn(df: DataFrame, group: Column, key: Column, limits: dict[object,
                 last = near.filter(F.col("g") == g).orderBy("k").limit(wanted).agg(F.max("d"), F.max("k")).first()
                 ends[g] = tuple(last)
             if open_rows <= TOP_N:
-                rows = near.orderBy("d", "k").collect()
+                rows = sorted(near.collect(), key=lambda r: (r.d, r.k))
                 for g, (_, wanted) in still.items():
                     last = [r for r in rows if r.g == g][wanted - 1]
                     ends[g] = (last.d, last.k)
