@@ -88,23 +88,29 @@ def part_hashes(terms_of: np.ndarray, parts: np.ndarray, start: int) -> tuple[np
 def fingerprint(hashes: np.ndarray) -> bytes:
     """Of sorted distinct term hashes; see ``BITS`` and ``HEAD`` for the layout."""
     drawn = _stir(hashes.view(np.uint64))
-    dense, whole, records = 0, [], []
-    for level in range(LEVELS):
-        chosen = (drawn >> np.uint64(20)) & np.uint64(4**level - 1) == 0
-        mine = hashes[chosen]
-        if not len(mine):
-            break
-        whole.append(xxhash.xxh3_64_digest(mine.tobytes(), seed=level)[:WHOLE])
-        used, counts, found = part_hashes(mine, (drawn[chosen] & np.uint64(PARTS - 1)).astype(np.int64), level * PARTS)
-        few = counts <= FEW
-        records.append(found[few])
-        for part in used[~few].tolist():
-            dense |= 1 << (level * PARTS + part)
+    low = drawn >> np.uint64(20)
+    depth = np.ones(len(hashes), np.int64)  # levels that hold the term
+    for level in range(1, LEVELS):
+        depth += low & np.uint64(4**level - 1) == 0
+    whole = []
+    for level in range(int(depth.max(initial=0))):
+        whole.append(xxhash.xxh3_64_digest(hashes[depth > level].tobytes(), seed=level)[:WHOLE])
+    # every term once a level, all parts of all levels in one step
+    at = np.repeat(np.arange(len(hashes)), depth)
+    level = np.arange(len(at)) - np.repeat(depth.cumsum() - depth, depth)
+    parts = level * PARTS + (drawn[at] & np.uint64(PARTS - 1)).astype(np.int64)
     fine = 0 < len(hashes) <= SHORT
     if fine:
-        records.append(part_hashes(hashes, ((drawn >> np.uint64(40)) & np.uint64(FINE - 1)).astype(np.int64), FIRST_FINE)[2])
-    return b"".join([dense.to_bytes(BITS, "big"), *whole, bytes(WHOLE * (LEVELS - len(whole))), bytes([fine]),
-                     np.concatenate(records).tobytes() if records else b""])
+        at = np.concatenate([at, np.arange(len(hashes))])
+        parts = np.concatenate([parts, FIRST_FINE + ((drawn >> np.uint64(40)) & np.uint64(FINE - 1)).astype(np.int64)])
+    bits, found = np.zeros(LEVELS * PARTS, bool), np.empty(0, np.uint64)
+    if len(at):
+        used, counts, found = part_hashes(hashes[at], parts, 0)
+        kept = (counts <= FEW) | (used >= FIRST_FINE)
+        bits[used[~kept]] = True
+        found = found[kept]
+    dense = np.packbits(bits, bitorder="little").tobytes()[::-1]
+    return b"".join([dense, *whole, bytes(WHOLE * (LEVELS - len(whole))), bytes([fine]), found.tobytes()])
 
 
 def _records(made: bytes, dense: int, fine: bool) -> dict[int, int]:
@@ -138,7 +144,7 @@ class Printer:
 
     def __init__(self, words: np.ndarray):
         self.words = words
-        self.known = Memo(self._known, 32 << 20)
+        self.known = Memo(self._known, 72 << 20)
 
     def _known(self, word: bytes) -> int | bool:
         hashed = xxhash.xxh3_64_intdigest(word) - 2**63
