@@ -108,9 +108,8 @@ def _near(a: Column, b: Column) -> Column:
     return F.coalesce((a == b) | (F.abs(a - b) <= REACH), a.isNull() & b.isNull())
 
 
-def pairable(rows: DataFrame, groups: DataFrame, exact: list[str], numbers: list[str], side: str,
-             tolerance: float, relative: float) -> DataFrame:
-    """Those of ``groups`` (values of the exact columns, after a name of the group) whose rows on both sides can all be
+def pairable(rows: DataFrame, exact: list[str], numbers: list[str], side: str, tolerance: float, relative: float) -> DataFrame:
+    """The groups (values of the exact columns, after a name of the group) whose rows on both sides can all be
     paired one to one.
 
     ``rows`` are the rows of both tables, told apart by ``side`` (0 or 1).  Cells whose rows on the two sides are equal in number
@@ -123,8 +122,7 @@ def pairable(rows: DataFrame, groups: DataFrame, exact: list[str], numbers: list
     exact_names, values = [f"e{i}" for i in range(len(exact))], [f"v{i}" for i in range(len(numbers))]
     same = [F.col(f"e{i}").eqNullSafe(F.col(f"w{i}")) for i in range(len(exact))]
     if exact:
-        wanted = groups.select(*[col(n).alias(f"w{i}") for i, n in enumerate(exact)])
-        hopeful = cut_lineage(_with_close_sums(named.join(wanted, same, "left_semi"), exact_names, values, tolerance, relative))
+        hopeful = cut_lineage(_with_close_sums(named, exact_names, values, tolerance, relative))
         if hopeful.isEmpty():
             return hopeful.toDF("__group", *exact)
         named = named.join(hopeful.select(*[F.col(e).alias(f"w{i}") for i, e in enumerate(exact_names)]), same, "left_semi")
