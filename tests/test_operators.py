@@ -336,3 +336,14 @@ def test_joins_on_ranges_are_the_plain_joins(spark):
     one_sided = rw.join_tables(left, right, on="x.p >= y.lo", names=("x", "y"))
     assert one_sided.count() == left.join(right, left.p >= right.lo).count()
     assert rw.join_tables(left.limit(0), right, on="x.p between y.lo and y.hi", how="outer", names=("x", "y")).count() == right.count()
+
+
+def test_outer_joins_on_ranges_store_no_pairs(spark, monkeypatch):
+    from rowwright.operators import ranges
+    stored = []
+    monkeypatch.setattr(ranges, "cut_lineage", lambda df: stored.append(df.count()) or df.localCheckpoint())
+    left = spark.range(200).select(F.col("id").alias("i"), F.lit(0.0).alias("p"))
+    right = spark.range(150).select(F.col("id").alias("j"), F.lit(-1.0).alias("lo"), F.when(F.col("id") != 3, 1.0).alias("hi"))
+    got = rw.join_tables(left, right, on="x.p >= y.lo AND x.p < y.hi", how="outer", names=("x", "y"))
+    assert got.count() == 200 * 149 + 1
+    assert sum(stored) == 350
