@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import itertools
 import re
+import string
 from collections import Counter, defaultdict
 from collections.abc import Iterable
 from functools import reduce
@@ -54,8 +55,14 @@ def _readable(field: T.StructField) -> dict[str, Column]:
     """Whether a cell can be read as a number or a moment, and holds a comma."""
     value, kind, no = col(field.name), kind_of(field.dataType), F.lit(False)
     text = kind == "text"
-    number = value.rlike(NUMBER_TEXT) if text else to_number(value, field.dataType).isNotNull() if kind in ("int", "float", "bool") else no
-    return {"numbers": number, "moments": to_moment(value, field.dataType).isNotNull() if text else no,
+    moment = no
+    if text:
+        # most words are told by their first letter: numbers begin with that of inf or nan, moments with that of a month
+        first = F.ascii(value)
+        named = lambda letters: first.isin(*[ord(c) for c in string.ascii_letters if c.lower() not in letters])
+        moment = F.when(named("jfmasondt"), no).otherwise(to_moment(value, field.dataType).isNotNull())
+    number = F.when(named("in"), no).otherwise(value.rlike(NUMBER_TEXT)) if text else to_number(value, field.dataType).isNotNull() if kind in ("int", "float", "bool") else no
+    return {"numbers": number, "moments": moment,
             "commas": value.contains(",") if text else no}
 
 

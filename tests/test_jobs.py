@@ -426,3 +426,13 @@ def test_components_of_names_that_share_a_number(spark):
 def test_components_of_a_chain_need_few_rounds(spark):
     chain = spark.range(3000).select(F.lpad("id", 5, "0").alias("a"), F.lpad(F.col("id") + 1, 5, "0").alias("b"))
     assert [tuple(r) for r in keygraph.components(chain, max_rounds=25).groupBy("component").count().collect()] == [("00000", 3001)]
+
+
+def test_words_are_told_by_their_first_letter(spark):
+    texts = ["vx", "nan", "Inf", "Jan 5, 2020", "d", "May 7, 2021", " 12 ", "-1e3", "2020-01-02", "ä", "", "T"]
+    df = spark.createDataFrame([(t,) for t in texts], "w string")
+    row = profiling.profile_columns(df).first()
+    plain = df.select(F.count_if(F.col("w").rlike(profiling.NUMBER_TEXT)), F.count_if(profiling.to_moment(F.col("w"), df.schema[0].dataType).isNotNull())).first()
+    assert (row.numbers, row.moments) == tuple(plain)
+    plan = profiling.profile_columns(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "ascii(w" in plan
