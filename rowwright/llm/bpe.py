@@ -19,18 +19,22 @@ from __future__ import annotations
 import base64
 import hashlib
 from array import array
-from functools import lru_cache
+from collections.abc import Iterable, Iterator
+from functools import cached_property, lru_cache
 
 import regex
 from pyspark.sql import DataFrame
 
 from .common import Memo, map_rows, pick
+from .lockstep import SHORT, Lockstep
 
 #: States kept before the machine forgets them and starts anew.
 MAX_STATES = 150_000
 #: Bytes of one piece between two looks for tokens that can be emitted.
 STRETCH = 4_096
 SEGMENT = 512
+#: Characters of texts that are encoded together, and new pieces that are worth going in step.
+BATCH, MANY = 1_000_000, 500
 SHIFT, MASK = 20, (1 << 20) - 1
 NOTHING = MASK  # stands for "no token before"
 
@@ -286,20 +290,57 @@ class Pieces:
 
 
 class Codec:
-    """Encoder and decoder of whole texts; pieces of ``pattern`` (see ``Pieces``) are encoded one by one."""
+    """Encoder and decoder of whole texts; matches of ``pattern`` are encoded one by one and remembered.
+
+    Many short pieces not met before go through the machine in step, all others alone."""
 
     def __init__(self, tokens: list[bytes], pattern: str):
         self.tokens, self.machine, self.stream = tokens, Transducer(tokens), Utf8Stream(tokens)
-        self.pieces = Pieces(pattern, self._piece, b"")
+        self.split, self.pieces, self.fresh = regex.compile(pattern).findall, Memo(self._piece, 80 << 20), {}
+
+    @cached_property
+    def abreast(self) -> Lockstep:
+        return Lockstep(self.machine, NOTHING)
 
     def _piece(self, piece: str) -> bytes:
         """Ranks of one piece, four bytes each; a piece that is a token stays one."""
+        known = self.fresh.get(piece)
+        if known is not None:
+            return known
         data = piece.encode()
         whole = self.machine.rank.get(data)
         return array("I", [whole] if whole is not None else self.machine.encode(data)).tobytes()
 
+    def _meet(self, pieces: set[str]) -> None:
+        known, older, rank = self.pieces, self.pieces.older, self.machine.rank
+        new = {p: p.encode() for p in pieces if p not in known and p not in older}
+        new = {p: data for p, data in new.items() if len(data) <= SHORT and data not in rank}
+        self.fresh = dict(zip(new, self.abreast.encode(list(new.values())), strict=True)) if len(new) >= MANY else {}
+
+    def encode_all(self, texts: list[str]) -> list[array]:
+        """Token ranks of texts that are small enough together to be cut up at once."""
+        cut = [self.split(t) for t in texts]
+        self._meet(set().union(*cut))
+        return [array("I", b"".join(map(self.pieces.__getitem__, pieces))) for pieces in cut]
+
     def encode(self, text: str) -> list[int]:
-        return array("I", b"".join(self.pieces.parts(text))).tolist()
+        return self.encode_all([text])[0].tolist()
+
+    def encode_rows(self, rows: Iterable[tuple]) -> Iterator[tuple]:
+        """``(id, text)`` to ``(id, ranks)``, in batches of some ``BATCH`` characters; null is an empty text."""
+        held, size = [], 0
+
+        def batch():
+            found = self.encode_all([t for _, t in held])
+            return [(i, ids.tolist()) for (i, _), ids in zip(held, found, strict=True)]
+
+        for i, text in rows:
+            held.append((i, text or ""))
+            size += len(held[-1][1]) + 100
+            if size >= BATCH:
+                yield from batch()
+                held, size = [], 0
+        yield from batch()
 
     def decode(self, ids: list[int]) -> str:
         stream = self.stream
@@ -329,7 +370,7 @@ def encode_texts(df: DataFrame, ranks_path: str, pattern: str, doc_id: str = "do
 
     def run(rows):
         coder = codec(ranks.value, pattern)
-        return ((i, coder.encode(t or "")) for i, t in rows)
+        return coder.encode_rows(rows)
 
     kind = df.schema[doc_id].dataType.simpleString()
     return map_rows(pick(df, id=doc_id, text=text), run, f"doc_id {kind}, ids array<int>", 200)
@@ -359,8 +400,7 @@ def round_trip(df: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_
         coder = codec(ranks.value, pattern)
         names = [str(i) for i in range(len(coder.tokens))].__getitem__
         digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
-        for i, t in rows:
-            ids = coder.encode(t or "")
+        for i, ids in coder.encode_rows(rows):
             yield i, len(ids), digest(" ".join(map(names, ids))), digest(coder.decode(ids))
 
     kind = df.schema[doc_id].dataType.simpleString()

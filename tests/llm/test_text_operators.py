@@ -150,3 +150,23 @@ def test_equal_values_stay_linked_and_texts_turn_back(spark):
             assert texts[r.doc_id][f.start:f.start + f.length] not in r.text
     again = pseudonyms.pseudonymise(done.select("doc_id", "text"), b"secret", back=True)
     assert {r.doc_id: r.text for r in again.collect()} == dict(enumerate(texts))
+
+
+def test_new_words_of_many_texts_go_in_step():
+    rng = random.Random(5)
+    coder = bpe.Codec(bpe.read_ranks(DATA), P.PATTERN)
+    letters = "aeinrstéßñ日'.7"
+    texts = [" ".join("".join(rng.choices(letters, k=rng.randint(1, 14))) for _ in range(300)) for _ in range(10)] + ["", "é" * 40, "x"]
+    got = dict(coder.encode_rows((i, t or None) for i, t in enumerate(texts)))
+    assert got == {i: THEIRS.encode_ordinary(t) for i, t in enumerate(texts)}
+    assert len(coder.machine.states) < 200  # one by one, these words make thousands
+
+
+def test_pieces_in_step_equal_the_machine():
+    rng = random.Random(6)
+    pieces = [rng.randbytes(rng.randint(1, 32)) for _ in range(300)] + [bytes([b]) * n for b in b"a -=\xc3" for n in range(1, 33)]
+    pieces += [bytes(rng.choices(b"aeinrst the-. 10", k=rng.randint(1, 32))) for _ in range(300)]
+    assert [list(bpe.array("I", ids)) for ids in OURS.abreast.encode(pieces)] == [OURS.machine.encode(p) for p in pieces]
+    odd = bpe.Transducer([bytes([b]) for b in range(256)] + [b"ab", b"bc", b"abcd", b"cd", b"aa", b"aaa", b"bcb"])
+    pieces = [bytes(rng.choices(b"abcd", k=rng.randint(1, 12))) for _ in range(300)]
+    assert [list(bpe.array("I", ids)) for ids in bpe.Lockstep(odd, bpe.NOTHING).encode(pieces)] == [odd.merge(p) for p in pieces]
