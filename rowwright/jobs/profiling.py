@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from ..functions.convert import NUMBER_TEXT, to_moment, to_number
 from ..functions.names import col, is_present, kind_of
 from ..plans.registry import available
+from ..session import cut_lineage
 
 # Thresholds, name hints and split characters of the rules.
 CATEGORY_RATIO = 0.5
@@ -36,6 +37,8 @@ SEPARATORS = (" ", "_", "-", ".", "/")
 NEEDED_KINDS = {"filter": ("numeric", "categorical", "text")}
 
 COLUMNS_AT_ONCE = 8
+LISTED = 1_000  # tables in one list of an index
+DEALT = 30_000  # columns of a catalogue whose pairs one task counts
 FIXED_WIDTH = ("int", "float", "bool", "time")
 MEASURES = ("rows", "nulls", "distinct_values", "numbers", "moments", "commas")
 
@@ -295,19 +298,30 @@ def table_pairs(catalogue: DataFrame) -> DataFrame:
 
     ``catalogue`` has a row for each column: ``table``, ``position``, ``column``, ``dtype``.  Tables meet through an index of their
     column names, so pairs without a common name are never looked at.  A join needs equal types in all shared names, a
-    union the same columns in the same order; ``one`` is the lesser name.
+    union the same columns in the same order; ``one`` is the lesser name.  The tables that know a name or a layout travel to each
+    of these tables as lists, one for a type, of ``LISTED`` on average at most; pairs are made and counted where the lists of
+    their first table are, and not moved.
     """
     own = catalogue.groupBy("table").agg(
         F.array_sort(F.collect_list(F.struct("position", "column", "dtype"))).alias("columns"))
     layout = F.to_json(F.transform("columns", lambda c: F.struct(c["column"], c["dtype"])))
-    own = own.select("table", F.md5(layout.cast("binary")).alias("layout"))
-    known = catalogue.select("table", "column", "dtype").join(own, "table")
-    left, right = known.alias("l"), known.alias("r")
-    met = left.join(right, (F.col("l.column") == F.col("r.column")) & (F.col("l.table") < F.col("r.table")))
-    counted = met.groupBy(F.col("l.table").alias("one"), F.col("r.table").alias("two")).agg(
-        F.count("*").alias("shared"), F.bool_and(F.col("l.dtype") == F.col("r.dtype")).alias("joins"),
-        F.bool_and(F.col("l.layout") == F.col("r.layout")).alias("unions"))
-    return counted.filter(F.col("joins") | F.col("unions"))
+    alike = own.select("table", F.md5(layout.cast("binary")).alias("key"), F.lit("").alias("dtype"), F.lit(True).alias("whole"))
+    known = catalogue.select("table", F.col("column").alias("key"), "dtype", F.lit(False).alias("whole")).unionByName(alike)
+    known = cut_lineage(known)
+    many = known.groupBy("whole", "key").count().filter(F.col("count") > LISTED)
+    block = F.pmod(F.xxhash64("table"), F.floor(F.coalesce("count", F.lit(0)) / LISTED) + 1)
+    placed = known.join(many, ["whole", "key"], "left").withColumn("block", block)
+    lists = placed.groupBy("whole", "key", "dtype", "block").agg(F.sort_array(F.collect_list("table")).alias("others"))
+    met = known.join(lists.withColumnRenamed("dtype", "other"), ["whole", "key"]).select(
+        F.col("table").alias("one"), "whole", F.when(~F.col("whole"), F.col("dtype") == F.col("other")).alias("same"),
+        F.filter("others", lambda t: t > F.col("table")).alias("others"))
+    # pairs are many times their lists, so the lists are dealt over as many tasks as the catalogue needs
+    width = max(int(catalogue.sparkSession.conf.get("spark.sql.shuffle.partitions")), known.count() // DEALT)
+    met = met.filter(F.size("others") > 0).repartition(width, "one")
+    pairs = met.select("one", "whole", "same", F.explode("others").alias("two"))
+    counted = pairs.groupBy("one", "two").agg(
+        F.count_if(~F.col("whole")).alias("shared"), F.bool_and("same").alias("joins"), F.bool_or("whole").alias("unions"))
+    return counted.filter((F.col("joins") | F.col("unions")) & (F.col("shared") > 0))
 
 
 def catalogue_name_pairs(catalogue: DataFrame) -> DataFrame:

@@ -450,3 +450,20 @@ def test_key_paths_store_little_more_than_the_links(spark, monkeypatch):
     monkeypatch.setattr(keygraph, "cut_lineage", counted)
     assert keygraph.key_paths(links, 3, 1).count() == 50
     assert sum(stored) < 2 * 600 * 2  # the links both ways, and less than that again of paths
+
+
+def test_table_pairs_are_counted_where_their_lists_are(spark, monkeypatch, capsys):
+    monkeypatch.setattr(profiling, "LISTED", 2)  # long lists are cut
+    tables = {f"t{i}": [("id", "int" if i % 3 else "text"), (f"c{i % 4}", "int")] for i in range(12)}
+    rows = [(t, n, c, kind) for t, own in tables.items() for n, (c, kind) in enumerate(own)]
+    found = profiling.table_pairs(spark.createDataFrame(rows, "table string, position int, column string, dtype string"))
+    want = {}
+    for a, b in ((a, b) for a in tables for b in tables if a < b):
+        one, two = dict(tables[a]), dict(tables[b])
+        both = one.keys() & two.keys()
+        if all(one[c] == two[c] for c in both):
+            want[a, b] = (len(both), True, tables[a] == tables[b])
+    assert {(r.one, r.two): (r.shared, r.joins, r.unions) for r in found.collect()} == want
+    found.explain()
+    plan = capsys.readouterr().out.split("Initial Plan")[0]
+    assert "Generate explode" in plan and plan.index("Generate explode") < plan.index("Exchange")
