@@ -328,8 +328,11 @@ def catalogue_name_pairs(catalogue: DataFrame) -> DataFrame:
     """``(table, one, two, beginnings)``: what ``wide_name_pairs`` finds, for all tables of a catalogue (``table``, ``column``) at once.
 
     Names are cut into words, and each beginning of a name lists the endings behind it; ``one`` is the lesser ending.
-    Pairs arise within one beginning of one table only.
+    Pairs arise within one beginning of one table only, so a table's names are brought together once, and tables are dealt over as
+    many tasks as the catalogue needs.
     """
+    width = max(int(catalogue.sparkSession.conf.get("spark.sql.shuffle.partitions")), catalogue.count() // DEALT)
+    catalogue = catalogue.select("table", "column").repartition(width, "table")
     words = F.regexp_extract_all(F.regexp_replace("column", "[" + re.escape("".join(SEPARATORS)) + "]", " "), F.lit("([0-9]+|[^0-9 ]+)"), 1)
     cut = catalogue.select("table", words.alias("w")).filter(F.size("w") > 1)
     cut = cut.select("table", "w", F.explode(F.sequence(F.lit(1), F.size("w") - 1)).alias("at"))

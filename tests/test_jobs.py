@@ -467,3 +467,11 @@ def test_table_pairs_are_counted_where_their_lists_are(spark, monkeypatch, capsy
     found.explain()
     plan = capsys.readouterr().out.split("Initial Plan")[0]
     assert "Generate explode" in plan and plan.index("Generate explode") < plan.index("Exchange")
+
+
+def test_names_of_a_table_are_brought_together_once(spark, capsys):
+    rows = [(f"t{i}", f"b{k}_{end}") for i in range(20) for k in range(3) for end in ("x", "y")]
+    found = profiling.catalogue_name_pairs(spark.createDataFrame(rows, "table string, column string"))
+    found.explain()
+    assert capsys.readouterr().out.count("Exchange") == 1
+    assert {(r.table, r.one, r.two, r.beginnings) for r in found.collect()} >= {(f"t{i}", "x", "y", 3) for i in range(20)}
