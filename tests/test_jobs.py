@@ -3,12 +3,14 @@
 import itertools
 import json
 import random
+import re
 
 import pytest
 from frames import random_frame, to_spark
 from pyspark.sql import functions as F
 
 from rowwright.functions.hashing import draw, draw_name
+from rowwright.functions.ranking import rank_in_groups
 from rowwright.jobs import comparing, corpus, evaluation, keygraph, matching, profiling, sampling, scoring
 
 
@@ -417,6 +419,34 @@ def test_scores_take_a_tolerance(spark):
     assert scoring.score_results(cells("1.0"), cells("1.4"), tolerance=0, relative=0.3).first().status == "success"
 
 
+@pytest.mark.parametrize("heavy_rows", [1, 1_000_000])
+def test_scores_of_cells_without_names(spark, heavy_rows, monkeypatch):
+    monkeypatch.setattr("rowwright.functions.ranking.HEAVY_ROWS", heavy_rows)
+    schema = "item string, row int, column string, value string"
+    results = [("blank", 0, None, "1"), ("more", 0, None, "0"), ("more", 1, "x", "1"), (None, 0, "x", "1"), ("unnamed", 0, None, "1")]
+    targets = [("blank", 0, "x", "1"), ("more", 0, "x", "1"), (None, 0, "x", "1"), ("unnamed", 0, None, "1"), ("absent", None, "x", None)]
+    scored = scoring.score_results(spark.createDataFrame(results, schema), spark.createDataFrame(targets, schema))
+    assert {r.item: (r.status, r.error) for r in scored.collect()} == {
+        "blank": ("partial", "missing column x"), "more": ("success", None), "absent": ("error", "no result")}
+
+
+def test_tables_are_scored_over_as_many_tasks_as_their_cells_need(spark, monkeypatch):
+    monkeypatch.setattr("rowwright.functions.ranking.TASK_ROWS", 100, raising=False)
+    cells = spark.range(1200).selectExpr("concat('t', id div 4) as item", "id div 2 % 2 as row", "concat('c', id % 2) as column", "cast(id as string) as value")
+    scored = scoring.score_results(cells, cells)
+    # all cells of a task meet in one shuffle, 100 a partition
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert re.findall(r"Exchange \w+\((\w+)#\d+L?, (\d+)\)", plan) == [("item", "24")] and plan.count("Exchange") == 1
+    assert [tuple(r) for r in scored.groupBy("status").count().collect()] == [("success", 300)]
+
+
+def test_rows_are_numbered_over_as_many_tasks_as_they_need(spark, monkeypatch):
+    monkeypatch.setattr("rowwright.functions.ranking.TASK_ROWS", 100, raising=False)
+    ranked = rank_in_groups(spark.range(2000).selectExpr("id % 400 as g", "id"), ["g"], [F.col("id")], "n", ["g"])
+    assert ranked.rdd.getNumPartitions() == 20
+    assert [tuple(r) for r in ranked.groupBy("n").count().orderBy("n").collect()] == [(n, 400) for n in range(1, 6)]
+
+
 def test_components_of_names_that_share_a_number(spark):
     edges = spark.createDataFrame([("a", "b"), ("c", "d"), ("e", "e"), ("d", "f")], "a string, b string")
     nodes, links = keygraph._numbered_graph(edges, lambda name: F.ascii(name) % 3)

@@ -202,17 +202,17 @@ def score_result_tables(t):
         F.concat(F.lit("order "), "o_orderkey").alias("item"), F.explode(F.array(F.lit(0), F.lit(1))).alias("row"),
         F.col("o_custkey") % 10, "o_orderstatus", "o_totalprice").toDF("item", "row", "kind", "status", "price")
 
-    def cells(df):
-        return df.select("item", "row", F.inline(F.array(
+    def cells(df, without=F.lit(False)):
+        named = F.array(
             F.struct(F.lit("status").alias("column"), F.col("status").alias("value")),
-            F.struct(F.lit("price").alias("column"), (F.col("price") + F.col("row")).cast("string").alias("value")))))
+            F.struct(F.lit("price").alias("column"), (F.col("price") + F.col("row")).cast("string").alias("value")))
+        return df.select("item", "row", F.inline(F.when(without, F.slice(named, 1, 1)).otherwise(named)))
 
     made = rows.filter("kind <> 7").withColumns({
         "row": 1 - F.col("row"),  # the order of rows does not matter
         "price": F.col("price") + F.expr("case kind when 3 then 10D else 1e-8D end"),
         "status": F.expr("case kind when 4 then 'X' else status end")})
-    got = cells(made.filter("not (kind = 2 and row = 0)")).join(
-        rows.filter("kind = 1").select("item").distinct().withColumn("column", F.lit("price")), ["item", "column"], "left_anti")
+    got = cells(made.filter("not (kind = 2 and row = 0)"), without=F.col("kind") == 1)  # some results have no price
     return scoring.score_results(got, cells(rows))
 
 
