@@ -347,3 +347,29 @@ def test_outer_joins_on_ranges_store_no_pairs(spark, monkeypatch):
     got = rw.join_tables(left, right, on="x.p >= y.lo AND x.p < y.hi", how="outer", names=("x", "y"))
     assert got.count() == 200 * 149 + 1
     assert sum(stored) == 350
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "right", "outer"])
+def test_a_heavy_bucket_of_a_range_join_is_cut_into_tiles(spark, monkeypatch, how):
+    from rowwright.operators import ranges
+    monkeypatch.setattr(ranges, "HEAVY", 500)
+    monkeypatch.setattr(ranges, "TILE", (16, 8))
+    # one bucket holds nearly all rows; some come twice, some have no end, some meet nothing
+    left = spark.range(120, numPartitions=1).select((F.col("id") % 100).alias("i"), F.expr("case when id % 11 <> 3 then 10.0D + id % 40 / 10 when id % 2 = 0 then 500.0D end").alias("p"))
+    right = spark.range(60, numPartitions=1).select((F.col("id") % 50).alias("j"), F.expr("11.0D + id % 3").alias("lo"), F.expr("case when id % 7 <> 2 then 12.5D + id % 5 end").alias("hi"))
+    condition = "x.p >= y.lo AND x.p < y.hi"
+    got = rw.join_tables(left, right, on=condition, how=how, names=("x", "y"))
+    want = left.alias("x").join(right.alias("y"), F.expr(condition), how)
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, map(tuple, want.collect())))
+    if how == "inner":
+        assert got.select(F.spark_partition_id()).distinct().count() > 2
+
+
+def test_rows_beyond_all_spans_of_a_level_are_in_none_of_its_buckets(spark):
+    from rowwright.operators import ranges
+    left = spark.range(1000).select("id", (F.col("id") * 1.0).alias("p")).alias("x")
+    right = spark.range(20).select(F.expr("500.0D + id").alias("lo"), F.expr("505.0D + id + if(id = 3, 70, 0)").alias("hi")).alias("y")
+    ends = ranges.bounds(left, right, "x.p >= y.lo AND x.p < y.hi", ("x", "y"))
+    (visiting, _), = ranges._meetings(left, right, ends, ({"l0": "x.id", "l1": "x.p"}, {"r0": "y.lo", "r1": "y.hi"}))
+    seen = {(r["__at"], r.l0) for r in visiting.select("__at", "l0").collect()}
+    assert seen == {(1, i) for i in range(500, 525)} | {(3, i) for i in range(503, 579)}
